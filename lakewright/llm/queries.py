@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,65 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), word_tokenizer_spec(), digests=True)
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.chat import format_conversations, probe, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(rows.unionByName(probe(spark))))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.session import cut
+    from lakewright.llm.warc import read_archives, write_archives
+
+    return read_archives(cut(write_archives(table(spark, sf_dir, "pages"))))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.language import fit, fold, predict
+
+    docs = table(spark, sf_dir, "documents")
+    out = predict(docs, fit(docs))
+    return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lakewright.llm.token_counts import count_tokens
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    return count_tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_neardup": op2_embedding_neardup,
     "op3_bpe": op3_bpe,
+    "op4_mixing": op4_mixing,
+    "op5_topk": op5_topk,
+    "op7_chat": op7_chat,
+    "op8_warc": op8_warc,
+    "op9_language": op9_language,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL where SQL can say the same.
