@@ -3,9 +3,9 @@
 Every source's words share the mix by weight, a source giving at most ``cap`` times its own words; what
 a capped source can't give is shared again among the others. A source's documents are then copied
 ``rate = target / size of the source`` times each: floor(rate) times for sure and once more with the
-fractional probability. Pivotal rounding fixes those: two undecided documents exchange mass at random
-until one is decided, so the number of copies stays the sum of the probabilities and neighbours in
-size stand in for one another. Documents meet in bounded chunks of a source; the one document that
+fractional probability. Pivotal rounding fixes those: two undecided documents exchange words at random
+until one is decided, so the expected words stay the target's and all but the last document's are
+taken exactly. Documents meet, larger ones first, in bounded chunks of a source; the one document that
 each chunk leaves undecided goes up a reduction tree of fixed fan-in to a single one per source.
 """
 
@@ -25,6 +25,8 @@ from lakewright.llm.text import count_words, slices, texts_of
 
 #: Documents that meet in one chunk on average, and chunks that one node of the tree combines.
 CHUNK, FAN_IN = 20_000, 64
+#: Documents of a chunk, the largest, that meet all others of it at once.
+MANY = 200
 
 ROWS = "doc_id long, source string, size long, whole long, p double, chunk long, copies long"
 
@@ -67,47 +69,52 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float
     return per.withColumn("target", F.when(full, most).otherwise(F.col("weight") * F.lit(level))).select("source", "source_size", "n_docs", "target")
 
 
-def pivot_round(p: np.ndarray, uniform: np.ndarray) -> tuple[np.ndarray, int]:
-    """Sequential pivotal rounding in the given order.
+def pivot_round(p: np.ndarray, size: np.ndarray, uniform: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sequential pivotal rounding in the given order; changes ``p`` in place.
 
-    Returns 0/1 decisions (-1: undecided) and the index of the one document left undecided, or -1.
-    Each probability's expectation stays and the total changes by no more than rounding.
+    Returns 0/1 decisions (-1: undecided) and the index of the one document left undecided, or -1. In
+    each meeting words move from one document to the other, in a direction drawn so that both
+    probabilities keep their expectation, until one of the two is decided; the sum of p * size stays.
+    Documents without words are rounded on their own. The first ``MANY`` documents meet all that come
+    after them at once where those can hold the words, so that a very long document isn't left over.
     """
-    out, eps = np.full(len(p), -1, np.int64), 1e-9
-    held, mass = -1, 0.0
-    for i, q in enumerate(p):
-        if q <= eps or q >= 1 - eps:
-            out[i] = int(q > 0.5)
+    out, eps, held = np.full(len(p), -1, np.int64), 1e-9, -1
+    for i in range(len(p)):
+        if size[i] <= 0:
+            out[i] = int(uniform[i] < p[i])
             continue
-        if held < 0:
-            held, mass = i, float(q)
-            continue
-        both = mass + float(q)
-        if both < 1:
-            keep_new = uniform[i] < q / both
-            gone, value = (held, 0) if keep_new else (i, 0)
-            mass = both
-        else:
-            keep_new = uniform[i] < (1 - q) / (2 - both) if both < 2 else True
-            gone, value = (held, 1) if keep_new else (i, 1)
-            mass = both - 1
-        out[gone] = value
-        held = i if keep_new else held
-        if mass <= eps or mass >= 1 - eps:
-            out[held] = int(mass > 0.5)
-            held = -1
-    if held >= 0:
-        p[held] = mass
+        if i < MANY and held < 0 and eps < p[i] < 1 - eps:
+            rest, words = p[i + 1 :], size[i + 1 :]
+            room = np.minimum(rest * words / (1 - p[i]), (1 - rest) * words / p[i])
+            if room.sum() >= size[i]:
+                part = room * (size[i] / room.sum())
+                rise = uniform[i] < p[i]
+                change = part * (-(1 - p[i]) if rise else p[i])
+                rest += np.divide(change, words, out=np.zeros_like(words), where=words > 0)
+                np.clip(rest, 0, 1, out=rest)
+                out[i] = int(rise)
+                continue
+        if held >= 0 and eps < p[i] < 1 - eps:
+            up = min((1 - p[held]) * size[held], p[i] * size[i])
+            down = min(p[held] * size[held], (1 - p[i]) * size[i])
+            move = up if uniform[i] * (up + down) < down else -down
+            p[held] += move / size[held]
+            p[i] -= move / size[i]
+        for k in (held, i):
+            if k >= 0 and not eps < p[k] < 1 - eps:
+                out[k] = int(p[k] > 0.5)
+        if held < 0 or out[held] >= 0:
+            held = i if out[i] < 0 else -1
     return out, held
 
 
 def _round_group(seed: int, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], kind="stable", na_position="first").reset_index(drop=True)
+        rows = rows.sort_values(["size", "doc_id"], ascending=False, kind="stable").reset_index(drop=True)
         name = f"{seed}|{level}|{rows.source[0]!r}|{rows.chunk[0]}"
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
         p = rows.p.to_numpy(dtype=float, copy=True)
-        decided, held = pivot_round(p, rng.random(len(rows)))
+        decided, held = pivot_round(p, rows["size"].to_numpy(dtype=float), rng.random(len(rows)))
         rows["p"] = p
         rows["copies"] = pd.array(np.where(decided < 0, 0, decided) + rows.whole.to_numpy(), dtype="Int64")
         if held >= 0:
@@ -123,7 +130,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3
     Null or empty texts have size 0 and take 0 words; a null source is a source of its own, last in
     order; null ids and repeated rows are rows like others; an empty table gives an empty one; columns
     other than the three named are not read. Reruns agree: random numbers come from ``seed``, the source
-    and the chunk, and the order in a chunk is by (size, doc_id).
+    and the chunk, and the order in a chunk is by falling (size, doc_id).
     """
     sized = cut(sizes(docs, id_col, text_col, source_col))
     per = cut(targets(sized, weights, cap))
