@@ -45,6 +45,13 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.substring import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewright.llm.chat import format_conversations, probe, read_back
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_chat": op7_chat,
     "op8_warc": op8_warc,
     "op9_language": op9_language,
