@@ -27,6 +27,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), word_tokenizer_spec(), digests=True)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.ngram_join import ngram_jaccard_join
+
+    documents, _ = ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewright.llm.neardup import near_duplicates
 
@@ -85,6 +92,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_embedding_neardup": op2_embedding_neardup,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
