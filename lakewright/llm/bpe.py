@@ -16,7 +16,6 @@ Decoding emits the labels of the arcs.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from bisect import bisect_right
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What the tokenizer file's own pre-tokenizer pattern says.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -258,16 +258,15 @@ def load_spec(path: str) -> dict:
 
 
 ENCODED = "doc_id long, n_tokens long, ids string, decoded string"
-DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode(docs: DataFrame, spec: dict, *, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, spec: dict, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text; one row out for each row in, no shuffle.
 
-    ``spec``: a parsed tokenizer file of the word-end kind. Returns ids joined by a space and the
-    decoded text, or with ``digests`` their SHA-256. A null or empty text has no tokens; a null id
-    stays; repeated rows are each encoded; other columns are not read. The compiled automaton goes to
-    the executors once; a worker's word cache is bounded.
+    ``spec``: a parsed tokenizer file of the word-end kind. Returns ids in decimal joined by a space and
+    the decoded text. A null or empty text has no tokens; a null id stays; repeated rows are each
+    encoded; an empty table gives none; other columns are not read. The merges go to the executors once
+    and are compiled there; a worker's word cache is bounded.
     """
     shared = docs.sparkSession.sparkContext.broadcast(json.dumps(spec))
 
@@ -281,12 +280,8 @@ def encode(docs: DataFrame, spec: dict, *, id_col: str = "doc_id", text_col: str
                 for text in texts.slice(lo, 256).to_pylist():
                     got = tok.pieces(text) if text else []
                     counts.append(sum([x[0] for x in got]))
-                    a, b = " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
-                    ids.append(hashlib.sha256(a.encode()).hexdigest() if digests else a)
-                    decoded.append(hashlib.sha256(b.encode()).hexdigest() if digests else b)
-                names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names)
+                    ids.append(" ".join([x[1] for x in got]))
+                    decoded.append(" ".join([x[2] for x in got]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    from pyspark.sql import functions as F
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, DIGESTS if digests else ENCODED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENCODED)

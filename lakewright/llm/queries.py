@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sha256(column: str) -> Column:
+    return F.sha2(F.col(column).cast("binary"), 256)
+
+
 def word_tokenizer_spec() -> dict:
     """The public word-end tokenizer's file, read where it is installed."""
     import public_tokenizers
@@ -24,7 +28,8 @@ def word_tokenizer_spec() -> dict:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewright.llm.bpe import encode
 
-    return encode(table(spark, sf_dir, "documents"), word_tokenizer_spec(), digests=True)
+    out = encode(table(spark, sf_dir, "documents"), word_tokenizer_spec())
+    return out.select("doc_id", "n_tokens", sha256("ids").alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewright.llm.substring import remove_repeats
 
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
