@@ -11,8 +11,10 @@ selective where tokens are common. The number of groups follows the set's size c
 for the size classes of all larger partners, so that partners always meet under one grouping.
 
 Equal sets are one class and only classes are indexed. In an index bucket members are compared with a
-leader first; buckets whose members are all in one component then need no more, others go on with new
-leaders and in the end with all pairs between components, so that no link between components is lost.
+leader first; buckets whose members are all in one component then need no more. Those that still mix
+components are joined into families, and a family's sets of different components are compared inside
+tiles of bounded size, which give one link between components that any link connects. So no link
+between components is lost, and what is written is in proportion to the sets, not to their pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ from lakewright.llm.text import mix64, ngram_hashes, ngram_starts, slices, texts
 KEY_BITS = 40
 #: log2 of the document frequency from which on a token is frequent.
 FREQUENT = 6
+#: Bytes of sets on a side of a tile.
+TILE_BYTES = 8 << 20
 #: Token groups per token of a size class.
 GROUPS = 0.05
 
@@ -198,11 +203,87 @@ def _verify(num: int, den: int):
     return run
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted sets left[i] and right[j].
+
+    By binary search pair by pair, or by products of 0/1 matrices over blocks of tokens, whichever costs
+    less arithmetic.
+    """
+    vocabulary, back = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    if len(i) * 30e-6 <= 1e-3 + 1e-10 * len(left) * len(right) * len(vocabulary):
+        out = np.empty(len(i), np.int64)
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            x, y = (left[a], right[b]) if len(left[a]) > len(right[b]) else (right[b], left[a])
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            out[k] = (x[at] == y).sum()
+        return out
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(back, kind="stable")
+    back, owner = back[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(vocabulary), 2048):
+        a, b = np.searchsorted(back, [lo, lo + 2048])
+        block = np.zeros((len(left) + len(right), 2048), np.float32)
+        block[owner[a:b], back[a:b] - lo] = 1
+        both += block[: len(left)] @ block[len(left) :].T
+    return both[i, j].astype(np.int64)
+
+
+def component_links(cid: np.ndarray, n: np.ndarray, c: np.ndarray, sets: list[np.ndarray], cut_at: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different components that join all components which links join.
+
+    ``cut_at``: compare the first so many sets with the others, or all with all where it is 0.
+    """
+    one = np.arange(len(cid)) if cut_at == 0 else np.arange(cut_at)
+    two = np.arange(len(cid)) if cut_at == 0 else np.arange(cut_at, len(cid))
+    held = np.array([len(x) for x in sets])
+    least = lambda a, b: -(-num * (n[a] + n[b]) // (num + den))  # noqa: E731  the intersection that a link takes
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for lo in range(0, len(one), 256):
+        rows = one[lo : lo + 256]
+        a, b = np.meshgrid(rows, two, indexing="ij")
+        maybe = (c[a] != c[b]) & (np.minimum(held[a], held[b]) >= least(a, b))
+        if cut_at == 0:
+            maybe &= a < b
+        i, j = np.nonzero(maybe)
+        if not len(i):
+            continue
+        both = overlaps([sets[k] for k in rows], [sets[k] for k in two], i, j)
+        hit = both >= least(rows[i], two[j])
+        for x, y in zip(rows[i[hit]].tolist(), two[j[hit]].tolist(), strict=True):
+            p, q = root(int(c[x])), root(int(c[y]))
+            if p != q:
+                parent[p] = q
+                out.append((int(cid[x]), int(cid[y])))
+    return out
+
+
+def _search(num: int, den: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "cid"], kind="stable").reset_index(drop=True)
+        ti, tj = group.ti.iloc[0], group.tj.iloc[0]
+        cut_at = 0 if ti == tj else int((group.side == ti).sum())
+        if ti != tj and cut_at in (0, len(group)):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sets = [np.sort(np.frombuffer(split_blobs(b)[0], np.uint64)) for b in group.body]
+        found = component_links(group.cid.to_numpy(), group.n.to_numpy(), group.c.to_numpy(), sets, cut_at, num, den)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _near_sizes(x: str, y: str, num: int, den: int) -> Column:
     return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
 
-def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, links) of the Jaccard join at num / den over sets of lower-cased n-word shingles.
 
     documents: doc_id, n_shingles, class_id, component_id, one row for each row in. component_id is the
@@ -237,32 +318,22 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     tested = cut(signed.join(leaders, "sig").filter((F.col("cid") != F.col("a")) & _near_sizes("n", "na", num, den)).select("a", F.col("cid").alias("b")).distinct())
     links = cut(verified(tested))
     release(spark)
-    parts_of = cut(connected_components(links))
-    open_ = signed.select("sig", "cid", "n")
-    for r in range(rounds + 1):
-        named = open_.join(parts_of.withColumnRenamed("node", "cid"), "cid", "left").select("sig", "cid", "n", F.coalesce("component", "cid").alias("c"))
-        mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("cid", "sig", F.lit(r)).alias("h"), "cid", "n", "c")).alias("lead")).filter("lo < hi and m > 2").select("sig", F.col("lead.cid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.c").alias("ca"))
-        named = cut(named.join(mixed, "sig"))
-        open_ = named.select("sig", "cid", "n")
-        if r < rounds:
-            pairs = named.filter((F.col("c") != F.col("ca")) & _near_sizes("n", "na", num, den)).select(F.col("a").alias("x"), F.col("cid").alias("y"))
-        else:
-            left = named.select("sig", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-            right = named.select("sig", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-            pairs = left.join(right, "sig").filter((F.col("cx") < F.col("cy")) & _near_sizes("nx", "ny", num, den)).select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = cut(pairs.join(done, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if r >= rounds or named.isEmpty():
-                break
-            continue
-        found = cut(verified(new))
-        release(spark)
-        tested, links = tested.unionByName(new), links.unionByName(found)
-        if not found.isEmpty():
-            parts_of = cut(connected_components(links))
-    rows = profiles.select("doc_id", "n", "cid").join(parts_of.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("c", F.coalesce("component", "cid"))
+    parts_of = cut(connected_components(links)).withColumnRenamed("node", "cid")
+    # buckets that still mix components; those of one kind of family are searched together, by tiles
+    named = signed.select("sig", "cid").join(parts_of, "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("c"))
+    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min("cid").alias("a")).filter("lo < hi and m > 2")
+    family = cut(connected_components(named.join(mixed, "sig").select(F.col("cid").alias("b"), "a").distinct()))
+    release(spark)
+    members = family.withColumnRenamed("node", "cid").withColumnRenamed("component", "family").join(parts_of, "cid", "left").join(sets.drop("alone"), "cid")
+    members = members.select("family", "cid", "n", F.coalesce("component", "cid").alias("c"), "body")
+    sides = members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("body")) / F.lit(TILE_BYTES)).alias("g"))
+    placed = members.join(sides, "family").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("g")))
+    tiled = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    tiled = tiled.select("family", F.least("side", "k").alias("ti"), F.greatest("side", "k").alias("tj"), "side", "cid", "n", "c", "body")
+    between = cut(tiled.groupBy("family", "ti", "tj").applyInPandas(_search(num, den), "a long, b long"))
+    links = links.unionByName(between)
+    parts_of = cut(connected_components(links)).withColumnRenamed("node", "cid")
+    rows = profiles.select("doc_id", "n", "cid").join(parts_of, "cid", "left").withColumn("c", F.coalesce("component", "cid"))
     least = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("least", "doc_id").alias("component_id"))
     return out, links

@@ -86,6 +86,43 @@ def test_similar_sets_share_a_signature(frequent, monkeypatch):
             assert sig(x, nx) & sig(y, ny), (n, nx, ny, both)
 
 
+@pytest.mark.parametrize("cost", [1, 200])
+def test_component_links_join_what_links_join(cost):
+    rng = np.random.default_rng(cost)
+    for cut_at in (0, 9):
+        sets = [np.unique(rng.integers(0, 60, 40 * cost, dtype=np.uint64) * np.uint64(7)) if rng.random() < 0.3 else np.unique(rng.choice(np.arange(50, dtype=np.uint64), 45, replace=False)) for _ in range(30)]
+        n, c = np.array([len(x) for x in sets]), rng.integers(0, 12, 30)
+        got = nj.component_links(np.arange(30), n, c, sets, cut_at, 80, 100)
+        joined = {int(x): {int(x)} for x in c}
+
+        def merge(p, q):
+            both = joined[p] | joined[q]
+            for x in both:
+                joined[x] = both
+
+        for a, b in got:
+            assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+            merge(int(c[a]), int(c[b]))
+        for a in range(30):
+            for b in range(a):
+                if (cut_at == 0 or (b < cut_at <= a)) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])):
+                    assert int(c[b]) in joined[int(c[a])]
+
+
+def test_tiles(spark, monkeypatch):
+    monkeypatch.setattr(nj, "TILE_BYTES", 4000)
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    docs = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3])):
+            w[rng.randrange(60)] = f"x{rng.randint(0, 10**6)}"
+        docs.append((i, " ".join(w)))
+    rows, _ = ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == brute(docs)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d e f"), (4, "A b c d e f"), (2, "x")], "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS cid")
     rows, links = ngram_jaccard_join(df)
