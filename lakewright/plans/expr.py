@@ -33,6 +33,9 @@ class Expr:
             _nodes[key] = found
         return found
 
+    def __reduce__(self):
+        return Expr, (self.op, *self.args)
+
     def __hash__(self):
         return id(self)
 

@@ -39,19 +39,25 @@ class GroupedLaplace:
         self.u = X.random(self.effect)
         self.theta = [X.param(p) for p in self.params]
         used = sorted({d.args[0] for d in X.leaves(self.row, "data")})
-        self.obs = self.rows.select(F.col(self.group).alias("__g"), *[F.col(c).cast("double").alias(c) for c in used])
+        # dealt by group once: no later aggregation by group or join with modes moves the observations
+        self.obs = self.rows.select(F.col(self.group).alias("__g"), *[F.col(c).cast("double").alias(c) for c in used]).repartition("__g").persist()
         self.used = used
 
-    def _values(self, theta: np.ndarray) -> dict[X.Expr, object]:
-        values: dict[X.Expr, object] = {p: F.lit(float(t)) for p, t in zip(self.theta, theta, strict=True)}
+    def _values(self) -> dict[X.Expr, object]:
+        values: dict[X.Expr, object] = {p: F.col(f"__t{k}") for k, p in enumerate(self.theta)}
         values[self.u] = F.col(self.effect)
         return values | {X.data(c): F.col(c) for c in self.used}
 
     def _by_group(self, modes: DataFrame, theta: np.ndarray, parts: dict[str, tuple[X.Expr, X.Expr]]) -> DataFrame:
-        """Sums of row expressions plus prior expressions for each group at its mode."""
-        v = self._values(theta)
-        met = self.obs.join(modes, "__g")
-        sums = met.groupBy("__g").agg(F.first(self.effect).alias(self.effect), *[F.sum(X.to_column(r, v)).alias(n) for n, (r, _) in parts.items()])
+        """Sums of row expressions plus prior expressions for each group at its mode.
+
+        Parameters come as a row of one, not as literals: the generated code stays the same and is
+        compiled once for all evaluations.
+        """
+        v, names = self._values(), [f"__t{k}" for k in range(len(self.theta))]
+        point = F.broadcast(self.rows.sparkSession.createDataFrame([tuple(float(t) for t in theta)], ", ".join(f"{n} double" for n in names)))
+        met = self.obs.join(modes, "__g").crossJoin(point)
+        sums = met.groupBy("__g").agg(F.first(self.effect).alias(self.effect), *[F.first(n).alias(n) for n in names], *[F.sum(X.to_column(r, v)).alias(n) for n, (r, _) in parts.items()])
         return sums.select("__g", self.effect, *[(F.col(n) + X.to_column(p, v)).alias(n) for n, (_, p) in parts.items()])
 
     def _pair(self, *by: X.Expr) -> tuple[X.Expr, X.Expr]:
@@ -75,8 +81,13 @@ class GroupedLaplace:
         if modes is None:
             modes = self.obs.select("__g").distinct().withColumn(self.effect, F.lit(0.0))
         parts = {"f": self._pair(), "g": self._pair(self.u), "h": self._pair(self.u, self.u)}
+        if self.is_quadratic():
+            # one step is exact from anywhere, and cheap enough not to be kept
+            start = self.obs.select("__g").distinct().withColumn(self.effect, F.lit(0.0))
+            now = self._by_group(start, theta, {k: parts[k] for k in "gh"})
+            return now.select("__g", (-F.col("g") / F.col("h")).alias(self.effect))
         state = None
-        for _ in range(1 if self.is_quadratic() else most):
+        for _ in range(most):
             now = self._by_group(modes, theta, parts)
             if state is not None:
                 now = now.join(state.select("__g", F.col("f").alias("f0"), F.col(self.effect).alias("u0"), F.col("step").alias("s0")), "__g")
