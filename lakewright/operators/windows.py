@@ -48,9 +48,9 @@ def split_chains(draws: DataFrame, parameter: list[str], chain: str, iteration:
 
 def split_rhat(split: DataFrame, parameter: list[str], value: str) -> DataFrame:
     """sqrt(((n - 1) / n W + B / n) / W): 1 where nothing varies, +infinity where only means do."""
-    per = split.groupBy(*parameter, "split").agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count("*").alias("n"))
-    both = per.groupBy(*parameter).agg(F.avg("v").alias("w"), F.var_samp("m").alias("b_over_n"), F.min("n").alias("n"))
-    n, w, b = F.col("n"), F.col("w"), F.col("b_over_n")
+    per = split.groupBy(*parameter, "split").agg(F.avg(value).alias("__m"), F.var_samp(value).alias("__v"), F.count("*").alias("__n"))
+    both = per.groupBy(*parameter).agg(F.avg("__v").alias("__w"), F.var_samp("__m").alias("__b_over_n"), F.min("__n").alias("__n"))
+    n, w, b = F.col("__n"), F.col("__w"), F.col("__b_over_n")
     rhat = F.when(w > 0, F.sqrt(((n - 1) / n * w + b) / F.when(w > 0, w))).when(b > 0, F.lit(float("inf"))).otherwise(1.0)
     return both.select(*parameter, rhat.alias("rhat"))
 
@@ -62,27 +62,27 @@ def effective_sample_size(split: DataFrame, parameter: list[str], value: str) ->
     size is capped at the number of draws. Each chain's draws become one array in order, so a lag is an
     offset in it, not a self join of the draws.
     """
-    chains = split.groupBy(*parameter, "split").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", F.col(value).cast("double").alias("x")))), lambda s: s["x"]).alias("x"))
-    n = F.size("x")
-    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / n
-    chains = chains.withColumn("m", mean).withColumn("n", n)
-    dev = F.transform("x", lambda v: v - F.col("m"))
-    chains = chains.withColumn("d", dev).withColumn("lag", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    product = F.zip_with(F.slice("d", 1, F.col("n") - F.col("lag")), F.slice("d", F.col("lag") + 1, F.col("n") - F.col("lag")), lambda a, b: a * b)
-    acov = F.aggregate(product, F.lit(0.0), lambda s, v: s + v) / (F.col("n") - F.col("lag"))
-    lags = chains.groupBy(*parameter, "lag").agg(F.avg(acov).alias("acov"), F.avg(F.when(F.col("lag") == 0, acov * F.col("n") / (F.col("n") - 1))).alias("w"), F.var_samp("m").alias("b_over_n"), F.first("n").alias("n"), F.count("*").alias("chains"))
+    chains = split.groupBy(*parameter, "split").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", F.col(value).cast("double").alias("__x")))), lambda s: s["__x"]).alias("__x"))
+    n = F.size("__x")
+    mean = F.aggregate("__x", F.lit(0.0), lambda s, v: s + v) / n
+    chains = chains.withColumn("__m", mean).withColumn("__n", n)
+    dev = F.transform("__x", lambda v: v - F.col("__m"))
+    chains = chains.withColumn("__d", dev).withColumn("__lag", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    product = F.zip_with(F.slice("__d", 1, F.col("__n") - F.col("__lag")), F.slice("__d", F.col("__lag") + 1, F.col("__n") - F.col("__lag")), lambda a, b: a * b)
+    acov = F.aggregate(product, F.lit(0.0), lambda s, v: s + v) / (F.col("__n") - F.col("__lag"))
+    lags = chains.groupBy(*parameter, "__lag").agg(F.avg(acov).alias("__acov"), F.avg(F.when(F.col("__lag") == 0, acov * F.col("__n") / (F.col("__n") - 1))).alias("__w"), F.var_samp("__m").alias("__b_over_n"), F.first("__n").alias("__n"), F.count("*").alias("__chains"))
     top = Window.partitionBy(*parameter)
-    w = F.max("w").over(top)
-    plus = (F.col("n") - 1) / F.col("n") * w + F.coalesce("b_over_n", F.lit(0.0))
-    rho = F.when(plus > 0, 1 - (w - F.col("acov")) / plus).otherwise(0.0)
-    lags = lags.withColumn("rho", rho)
-    pair = F.floor((F.col("lag") - 1) / 2)
-    pairs = lags.filter("lag >= 1").groupBy(*parameter, pair.alias("pair")).agg(F.sum("rho").alias("p"), F.count("*").alias("k")).filter("k = 2")
-    up = Window.partitionBy(*parameter).orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("ended", F.max((F.col("p") < 0).cast("int")).over(up)).withColumn("fall", F.min("p").over(up))
-    sums = pairs.groupBy(*parameter).agg(F.sum(F.when(F.col("ended") == 0, F.col("fall")).otherwise(0.0)).alias("s"))
-    out = lags.filter("lag = 0").select(*parameter, (F.col("n") * F.col("chains")).cast("double").alias("total")).join(sums, parameter, "left")
-    return out.select(*parameter, (F.col("total") / (1 + 2 * F.coalesce("s", F.lit(0.0)))).alias("ess"))
+    w = F.max("__w").over(top)
+    plus = (F.col("__n") - 1) / F.col("__n") * w + F.coalesce("__b_over_n", F.lit(0.0))
+    rho = F.when(plus > 0, 1 - (w - F.col("__acov")) / plus).otherwise(0.0)
+    lags = lags.withColumn("__rho", rho)
+    pair = F.floor((F.col("__lag") - 1) / 2)
+    pairs = lags.filter("__lag >= 1").groupBy(*parameter, pair.alias("__pair")).agg(F.sum("__rho").alias("__p"), F.count("*").alias("__k")).filter("__k = 2")
+    up = Window.partitionBy(*parameter).orderBy("__pair").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = pairs.withColumn("__ended", F.max((F.col("__p") < 0).cast("int")).over(up)).withColumn("__fall", F.min("__p").over(up))
+    sums = pairs.groupBy(*parameter).agg(F.sum(F.when(F.col("__ended") == 0, F.col("__fall")).otherwise(0.0)).alias("__s"))
+    out = lags.filter("__lag = 0").select(*parameter, (F.col("__n") * F.col("__chains")).cast("double").alias("__total")).join(sums, parameter, "left")
+    return out.select(*parameter, (F.col("__total") / (1 + 2 * F.coalesce("__s", F.lit(0.0)))).alias("ess"))
 
 
 def tail_indicators(split: DataFrame, parameter: list[str], value: str, p: float, lower: bool) -> DataFrame:
@@ -98,11 +98,11 @@ def chain_diagnostics(draws: DataFrame, parameter: list[str], chain: str, iterat
     middle = split.groupBy(*parameter).agg(F.percentile(F.col(value).cast("double"), 0.5).alias("__m"))
     folded = split.join(middle, parameter).withColumn("__f", F.abs(F.col(value) - F.col("__m"))).drop("__m")
     z, zf = rank_normalize(split, parameter, value), rank_normalize(folded, parameter, "__f")
-    out = split_rhat(z, parameter, "z").withColumnRenamed("rhat", "r1").join(split_rhat(zf, parameter, "z").withColumnRenamed("rhat", "r2"), parameter)
+    out = split_rhat(z, parameter, "z").withColumnRenamed("rhat", "__r1").join(split_rhat(zf, parameter, "z").withColumnRenamed("rhat", "__r2"), parameter)
     out = out.join(effective_sample_size(z, parameter, "z").withColumnRenamed("ess", "bulk_ess"), parameter)
-    for name, p, lower in (("t1", 0.05, True), ("t2", 0.95, False)):
+    for name, p, lower in (("__t1", 0.05, True), ("__t2", 0.95, False)):
         out = out.join(effective_sample_size(tail_indicators(split, parameter, value, p, lower), parameter, "tail").withColumnRenamed("ess", name), parameter)
-    return out.select(*parameter, F.greatest("r1", "r2").alias("rhat"), "bulk_ess", F.least("t1", "t2").alias("tail_ess"))
+    return out.select(*parameter, F.greatest("__r1", "__r2").alias("rhat"), "bulk_ess", F.least("__t1", "__t2").alias("tail_ess"))
 
 
 def energy_bfmi(rows: DataFrame, chain: list[str], iteration: list[str], energy: str) -> DataFrame:
