@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the least id of each component of similar documents."""
-    rows, _ = ngram_join.ngram_jaccard_join(docs)
+    rows = ngram_join.ngram_jaccard_join(docs)
     kept = rows.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 

@@ -1,7 +1,8 @@
-"""Connected components of an undirected link table by alternating large and small stars."""
+"""Connected components: of a link table by alternating large and small stars, and inside one task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least member of each node's component, for nodes 0 to n - 1 and links (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        after = root.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        np.minimum.at(after, root[i], low)
+        np.minimum.at(after, root[j], low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
+def least_reached(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least id that links between positions i and j reach from each position."""
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    return ids[order][local_roots(len(ids), rank[i], rank[j])][rank]

@@ -139,8 +139,14 @@ def fit(docs: DataFrame, *, per_language: int = 300, held_out: int = 2, id_col:
     what comes to the driver: ``per_language`` texts of each language.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter((fold("i") != held_out) & F.col("t").isNotNull() & F.col("l").isNotNull())
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    ids = rows.select("i", "l").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    # hashes that a language's row count says are too large go before the window
+    known = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
+    share = F.lit(1.0)
+    for name, count in known.items():
+        share = F.when(F.col("l") == name, F.lit(min(1.0, 4.0 * per_language / count))).otherwise(share)
+    few = rows.select("i", "l").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) <= share * (1 << 30))
+    order = Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 30)), "i")
+    ids = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
     chosen = rows.join(F.broadcast(ids.select(F.col("i").alias("j")).distinct()), F.col("i") == F.col("j"), "left_semi")
     samples: dict[str, list[bytes]] = {}
     for r in chosen.select("l", "t").toLocalIterator():

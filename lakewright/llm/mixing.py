@@ -24,7 +24,7 @@ from lakewright.llm.session import cut
 from lakewright.llm.text import count_words, slices, texts_of
 
 #: Documents that meet in one chunk on average, and chunks that one node of the tree combines.
-CHUNK, FAN_IN = 20_000, 64
+CHUNK, FAN_IN = 2_000, 64
 #: Documents of a chunk, the largest, that meet all others of it at once.
 MANY = 200
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.graph import connected_components
+from lakewright.llm.graph import connected_components, least_reached
 from lakewright.llm.session import cut
 from lakewright.llm.vectors import rows_of
 
@@ -105,22 +105,6 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, centre: np.ndarray, turn: np
     return np.concatenate(left), np.concatenate(right), again
 
 
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least member of each node's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        np.minimum.at(after, root[i], low)
-        np.minimum.at(after, root[j], low)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 CLASSED = "vec_id long, digest binary, dim int, v binary"
 
 
@@ -215,10 +199,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, probes: int =
             np.add.at(links, a[counts], copies[b[counts]])
             np.add.at(links, b[counts], copies[a[counts]])
         rep = group.rep.to_numpy()
-        by_rep = np.argsort(rep, kind="stable")
-        rank = np.empty(len(rep), np.int64)
-        rank[by_rep] = np.arange(len(rep))
-        root = rep[by_rep][local_roots(len(rep), rank[i], rank[j])][rank]
+        root = least_reached(rep, i, j)
         told = (links > 0) | (root != rep)
         return pd.DataFrame({"rep": rep[told], "links": links[told], "root": root[told]})
 

@@ -10,11 +10,10 @@ tokens are indexed by themselves and frequent ones by pairs within a group, whic
 selective where tokens are common. The number of groups follows the set's size class; a set is indexed
 for the size classes of all larger partners, so that partners always meet under one grouping.
 
-Equal sets are one class and only classes are indexed. In an index bucket members are compared with a
-leader first; buckets whose members are all in one component then need no more. Those that still mix
-components are joined into families, and a family's sets of different components are compared inside
-tiles of bounded size, which give one link between components that any link connects. So no link
-between components is lost, and what is written is in proportion to the sets, not to their pairs.
+Equal sets are one class and only classes are indexed. Classes that share index keys, directly or by
+way of others, are a family; the family's sets meet in tiles of bounded size, where all links are found
+by exact intersection sizes. A tile writes sums and one root per class, so no link is lost and what is
+written is in proportion to the sets, not to their pairs.
 """
 
 from __future__ import annotations
@@ -25,18 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.exchange import CHUNKS, answer, chunks_of, join_blobs, meet, pack_array, packed_rows, ranges, send, split_blobs, stage, unpack_array
-from lakewright.llm.graph import connected_components
+from lakewright.llm.graph import connected_components, least_reached
 from lakewright.llm.session import cut, partitions, release
 from lakewright.llm.text import mix64, ngram_hashes, ngram_starts, slices, texts_of, word_hashes, word_spans
 
 #: Bits of a token's key while frequencies are counted; a chance collision only makes a token look less rare.
 KEY_BITS = 40
 #: log2 of the document frequency from which on a token is frequent.
-FREQUENT = 6
+FREQUENT = 3
 #: Bytes of sets on a side of a tile.
 TILE_BYTES = 8 << 20
 #: Token groups per token of a size class.
@@ -92,31 +91,30 @@ def _frequency_codes(keys: list[np.ndarray], extras: list[bytes]) -> list[np.nda
     return np.split(code[back], np.cumsum([len(k) for k in keys])[:-1])
 
 
-PROFILES = "doc_id long, n long, cid long, alone int, body binary"
+PROFILES = "doc_id long, n long, cid long, body binary"
 
 
 def _profile(n: int, num: int, den: int):
-    """Per document: set size, class, share of tokens no other document has, and the tokens that others have
-    (by code, then value) where the set can have a partner at all."""
+    """Per document: set size, class, and the tokens that other documents have (by code, then value) where the
+    set can have a partner at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, docs, answers in chunks_of(batches):
             tokens, at = _chunk_sets(docs, n)
             keys = np.unique(tokens >> np.uint64(64 - KEY_BITS))
             code = answers[0][np.searchsorted(keys, tokens >> np.uint64(64 - KEY_BITS))] if answers else np.zeros(len(tokens), np.uint8)
-            size, cid, alone, body = np.diff(at), [], [], []
+            size, cid, body = np.diff(at), [], []
             for d in range(docs.num_rows):
                 t, c, k = tokens[at[d] : at[d + 1]], code[at[d] : at[d + 1]], int(size[d])
                 cid.append(int.from_bytes(hashlib.blake2b(t.tobytes(), digest_size=8).digest(), "big", signed=True) if k else None)
                 shared = np.flatnonzero(c > 0)
-                alone.append(1000 * (k - len(shared)) // k if k else 0)
                 # others hold too few of the tokens, or the nearest different set is too far
                 if k - needed(k, num, den) + 1 - (k - len(shared)) <= 0 or den * k < num * (k + 1):
                     body.append(None)
                 else:
                     order = shared[np.lexsort((t[shared], c[shared]))]
                     body.append(join_blobs(t[order].tobytes(), c[order].tobytes()))
-            yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(alone, pa.int32()), pa.array(body, pa.binary())], names=["doc_id", "n", "cid", "alone", "body"])
+            yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(body, pa.binary())], names=["doc_id", "n", "cid", "body"])
 
     return run
 
@@ -157,18 +155,17 @@ def signatures(n: int, tokens: np.ndarray, codes: np.ndarray, num: int, den: int
     return np.unique(np.concatenate(out))
 
 
-SIGNED = "sig long, cid long, n long, alone int"
+SIGNED = "sig long, cid long"
 
 
 def _sign(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, count = [], 0
-            for cid, n, alone, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for cid, n, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 t, c = split_blobs(body)
-                sig = signatures(n, np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint8), num, den)
-                held.append((sig.view(np.int64), cid, n, alone))
-                count += len(sig)
+                held.append((signatures(n, np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint8), num, den).view(np.int64), cid))
+                count += len(held[-1][0])
                 if count > 100_000:
                     yield _signed(held)
                     held, count = [], 0
@@ -178,29 +175,9 @@ def _sign(num: int, den: int):
     return run
 
 
-def _signed(held: list[tuple]) -> pa.RecordBatch:
-    lens = [len(x[0]) for x in held]
-    cols = [pa.array(np.concatenate([x[0] for x in held]))] + [pa.array(np.repeat([x[k] for x in held], lens), t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))]
-    return pa.RecordBatch.from_arrays(cols, names=["sig", "cid", "n", "alone"])
-
-
-def _verify(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, known = [], None, None
-            for k, (a, na, nb, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True)):
-                if a != last:
-                    last, known = a, np.sort(np.frombuffer(split_blobs(x.as_py())[0], np.uint64))
-                other = np.frombuffer(split_blobs(y.as_py())[0], np.uint64)
-                if len(known) and len(other):
-                    at = np.minimum(np.searchsorted(known, other), len(known) - 1)
-                    both = int((known[at] == other).sum())
-                    if den * both >= num * (na + nb - both):
-                        keep.append(k)
-            taken = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(taken.columns, names=["a", "b"])
-
-    return run
+def _signed(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    sig, cid = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.repeat(np.array(cid, np.int64), [len(x) for x in sig]))], names=["sig", "cid"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -229,67 +206,53 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     return both[i, j].astype(np.int64)
 
 
-def component_links(cid: np.ndarray, n: np.ndarray, c: np.ndarray, sets: list[np.ndarray], cut_at: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between different components that join all components which links join.
-
-    ``cut_at``: compare the first so many sets with the others, or all with all where it is 0.
-    """
-    one = np.arange(len(cid)) if cut_at == 0 else np.arange(cut_at)
-    two = np.arange(len(cid)) if cut_at == 0 else np.arange(cut_at, len(cid))
+def tile_links(n: np.ndarray, sets: list[np.ndarray], cut_at: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links (i, j) between the first ``cut_at`` sets and the others, or i < j among all where it is 0."""
+    one = np.arange(len(n)) if cut_at == 0 else np.arange(cut_at)
+    two = np.arange(len(n)) if cut_at == 0 else np.arange(cut_at, len(n))
     held = np.array([len(x) for x in sets])
-    least = lambda a, b: -(-num * (n[a] + n[b]) // (num + den))  # noqa: E731  the intersection that a link takes
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    out = []
+    left, right = [], []
     for lo in range(0, len(one), 256):
         rows = one[lo : lo + 256]
-        a, b = np.meshgrid(rows, two, indexing="ij")
-        maybe = (c[a] != c[b]) & (np.minimum(held[a], held[b]) >= least(a, b))
+        # the intersection that a link takes
+        least = -(-num * (n[rows][:, None] + n[two][None, :]) // (num + den))
+        maybe = np.minimum(held[rows][:, None], held[two][None, :]) >= least
         if cut_at == 0:
-            maybe &= a < b
+            maybe &= rows[:, None] < two[None, :]
         i, j = np.nonzero(maybe)
-        if not len(i):
-            continue
-        both = overlaps([sets[k] for k in rows], [sets[k] for k in two], i, j)
-        hit = both >= least(rows[i], two[j])
-        for x, y in zip(rows[i[hit]].tolist(), two[j[hit]].tolist(), strict=True):
-            p, q = root(int(c[x])), root(int(c[y]))
-            if p != q:
-                parent[p] = q
-                out.append((int(cid[x]), int(cid[y])))
-    return out
+        if len(i):
+            hit = overlaps([sets[k] for k in rows], [sets[k] for k in two], i, j) >= least[i, j]
+            left.append(rows[i[hit]])
+            right.append(two[j[hit]])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
 def _search(num: int, den: int):
+    """Links of a tile as sums: per class the copies that it links to and the least class it reaches here."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "cid"], kind="stable").reset_index(drop=True)
-        ti, tj = group.ti.iloc[0], group.tj.iloc[0]
-        cut_at = 0 if ti == tj else int((group.side == ti).sum())
-        if ti != tj and cut_at in (0, len(group)):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = [np.sort(np.frombuffer(split_blobs(b)[0], np.uint64)) for b in group.body]
-        found = component_links(group.cid.to_numpy(), group.n.to_numpy(), group.c.to_numpy(), sets, cut_at, num, den)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        cid, copies = group.cid.to_numpy(), group.copies.to_numpy()
+        cut_at = 0 if group.ti.iloc[0] == group.tj.iloc[0] else int((group.side == group.ti).sum())
+        links, root = np.zeros(len(cid), np.int64), cid
+        if group.ti.iloc[0] == group.tj.iloc[0] or cut_at not in (0, len(group)):
+            sets = [np.sort(np.frombuffer(split_blobs(b)[0], np.uint64)) for b in group.body]
+            i, j = tile_links(group.n.to_numpy(), sets, cut_at, num, den)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            root = least_reached(cid, i, j)
+        on = links > 0
+        return pd.DataFrame({"cid": cid[on], "links": links[on], "root": root[on]})
 
     return run
 
 
-def _near_sizes(x: str, y: str, num: int, den: int) -> Column:
-    return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
+def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Jaccard join at num / den over sets of lower-cased n-word shingles, one row for each row in.
 
-
-def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, links) of the Jaccard join at num / den over sets of lower-cased n-word shingles.
-
-    documents: doc_id, n_shingles, class_id, component_id, one row for each row in. component_id is the
-    smallest doc_id that links reach, the document's own included; equal sets share a class. links:
-    pairs of class ids that were found similar and that connect the components (links inside a component
-    that is known to be connected are not looked for).
+    doc_id, n_shingles, n_links (other documents linked directly), class_id (equal sets share one) and
+    component_id (the smallest doc_id that links reach, the document's own included).
 
     Only A-Z is folded; a document of fewer than n words has one shingle, all of it; without words, or
     null, it has none and links with nothing. A null id never is a component's id but its row takes part;
@@ -304,36 +267,25 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     profiles = cut(meet(staged, codes).mapInArrow(_profile(n, num, den), PROFILES))
     del staged, codes
     release(spark)
-    sets = cut(profiles.filter("body is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("body").alias("body")))
-    signed = sets.select("cid", "n", "alone", "body").mapInArrow(_sign(num, den), SIGNED)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("body").alias("x"))
-        y = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("body").alias("y"))
-        both = pairs.join(y, "b").join(x, "a")
-        return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
-
-    # the leader of a bucket is a set with few tokens of its own: of copies with edits, the original
-    leaders = signed.groupBy("sig").agg(F.min(F.struct("alone", "cid", "n")).alias("lead"), F.count("*").alias("m")).filter("m > 1").select("sig", F.col("lead.cid").alias("a"), F.col("lead.n").alias("na"))
-    tested = cut(signed.join(leaders, "sig").filter((F.col("cid") != F.col("a")) & _near_sizes("n", "na", num, den)).select("a", F.col("cid").alias("b")).distinct())
-    links = cut(verified(tested))
+    sets = cut(profiles.filter("body is not null").groupBy("cid").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("body").alias("body")))
+    signed = sets.select("cid", "n", "body").mapInArrow(_sign(num, den), SIGNED)
+    # classes that share index keys are a family; a star from each key's least class says so without pairs
+    buckets = signed.groupBy("sig").agg(F.min("cid").alias("a"), F.count("*").alias("m")).filter("m > 1").select("sig", "a")
+    family = cut(connected_components(signed.join(buckets, "sig").select("a", F.col("cid").alias("b")).distinct()))
     release(spark)
-    parts_of = cut(connected_components(links)).withColumnRenamed("node", "cid")
-    # buckets that still mix components; those of one kind of family are searched together, by tiles
-    named = signed.select("sig", "cid").join(parts_of, "cid", "left").select("sig", "cid", F.coalesce("component", "cid").alias("c"))
-    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min("cid").alias("a")).filter("lo < hi and m > 2")
-    family = cut(connected_components(named.join(mixed, "sig").select(F.col("cid").alias("b"), "a").distinct()))
-    release(spark)
-    members = family.withColumnRenamed("node", "cid").withColumnRenamed("component", "family").join(parts_of, "cid", "left").join(sets.drop("alone"), "cid")
-    members = members.select("family", "cid", "n", F.coalesce("component", "cid").alias("c"), "body")
+    members = family.select(F.col("node").alias("cid"), F.col("component").alias("family")).join(sets, "cid")
     sides = members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("body")) / F.lit(TILE_BYTES)).alias("g"))
     placed = members.join(sides, "family").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("g")))
     tiled = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    tiled = tiled.select("family", F.least("side", "k").alias("ti"), F.greatest("side", "k").alias("tj"), "side", "cid", "n", "c", "body")
-    between = cut(tiled.groupBy("family", "ti", "tj").applyInPandas(_search(num, den), "a long, b long"))
-    links = links.unionByName(between)
-    parts_of = cut(connected_components(links)).withColumnRenamed("node", "cid")
-    rows = profiles.select("doc_id", "n", "cid").join(parts_of, "cid", "left").withColumn("c", F.coalesce("component", "cid"))
-    least = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.coalesce("least", "doc_id").alias("component_id"))
-    return out, links
+    tiled = tiled.select("family", F.least("side", "k").alias("ti"), F.greatest("side", "k").alias("tj"), "side", "cid", "n", "copies", "body")
+    found = cut(tiled.groupBy("family", "ti", "tj").applyInPandas(_search(num, den), "cid long, links long, root long"))
+    release(spark)
+    component = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    # classes are few beside documents that share one: ids and counts are gathered class by class first
+    classes = profiles.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    classes = classes.join(component.withColumnRenamed("node", "cid"), "cid", "left").join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
+    classes = cut(classes.select("cid", "first", F.coalesce("component", "cid").alias("c"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    least = cut(classes.groupBy("c").agg(F.min("first").alias("component_id")))
+    per = cut(classes.join(least, "c").select("cid", "n_links", "component_id"))
+    out = profiles.select("doc_id", "n", "cid").join(per, "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("cid").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.llm.oracles import ORACLE_SQL  # noqa: F401  read with QUERIES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,8 +37,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakewright.llm.ngram_join import ngram_jaccard_join
 
-    documents, _ = ngram_jaccard_join(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
 }
-
-#: DuckDB SQL where SQL can say the same.
-ORACLE_SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ def shingles(text, n=5):
 
 def brute(docs, num=80, den=100):
     sets = [shingles(t) for _, t in docs]
-    comp = list(range(len(docs)))
+    comp, links = list(range(len(docs))), [0] * len(docs)
 
     def root(i):
         while comp[i] != i:
@@ -29,10 +29,12 @@ def brute(docs, num=80, den=100):
             both = len(sets[i] & sets[j])
             if sets[i] and sets[j] and den * both >= num * len(sets[i] | sets[j]):
                 comp[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(docs):
         least[root(i)] = min(d, least.get(root(i), d))
-    return {d: (len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(docs)}
+    return {d: (len(sets[i]), links[i], least[root(i)]) for i, (d, _) in enumerate(docs)}
 
 
 def corpus(rng, families, vocabulary=400):
@@ -58,8 +60,8 @@ def test_like_brute_force(spark, seed, frequent, monkeypatch):
     docs = corpus(random.Random(seed), 60)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(nj, "FREQUENT", frequent)
-    rows, _ = ngram_jaccard_join(df)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == brute(docs)
+    rows = ngram_jaccard_join(df)
+    assert {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in rows.collect()} == brute(docs)
 
 
 @pytest.mark.parametrize("frequent", [0, 2, 6])
@@ -87,26 +89,13 @@ def test_similar_sets_share_a_signature(frequent, monkeypatch):
 
 
 @pytest.mark.parametrize("cost", [1, 200])
-def test_component_links_join_what_links_join(cost):
+def test_tile_links(cost):
     rng = np.random.default_rng(cost)
     for cut_at in (0, 9):
-        sets = [np.unique(rng.integers(0, 60, 40 * cost, dtype=np.uint64) * np.uint64(7)) if rng.random() < 0.3 else np.unique(rng.choice(np.arange(50, dtype=np.uint64), 45, replace=False)) for _ in range(30)]
-        n, c = np.array([len(x) for x in sets]), rng.integers(0, 12, 30)
-        got = nj.component_links(np.arange(30), n, c, sets, cut_at, 80, 100)
-        joined = {int(x): {int(x)} for x in c}
-
-        def merge(p, q):
-            both = joined[p] | joined[q]
-            for x in both:
-                joined[x] = both
-
-        for a, b in got:
-            assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
-            merge(int(c[a]), int(c[b]))
-        for a in range(30):
-            for b in range(a):
-                if (cut_at == 0 or (b < cut_at <= a)) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])):
-                    assert int(c[b]) in joined[int(c[a])]
+        sets = [np.unique(rng.integers(0, 60 * cost, 40 * cost, dtype=np.uint64) * np.uint64(7)) if rng.random() < 0.3 else np.unique(rng.choice(np.arange(50, dtype=np.uint64), 45, replace=False)) for _ in range(30)]
+        i, j = nj.tile_links(np.array([len(x) for x in sets]), sets, cut_at, 80, 100)
+        want = {(a, b) for b in range(30) for a in range(b) if (cut_at == 0 or a < cut_at <= b) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
 def test_tiles(spark, monkeypatch):
@@ -119,16 +108,15 @@ def test_tiles(spark, monkeypatch):
         for _ in range(rng.choice([1, 1, 2, 2, 3])):
             w[rng.randrange(60)] = f"x{rng.randint(0, 10**6)}"
         docs.append((i, " ".join(w)))
-    rows, _ = ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == brute(docs)
+    rows = ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in rows.collect()} == brute(docs)
 
 
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d e f"), (4, "A b c d e f"), (2, "x")], "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS cid")
-    rows, links = ngram_jaccard_join(df)
-    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in rows.collect()) == [("2", 1, 2), ("4", 2, 4), ("4", 2, 4), ("None", 2, 4)]
-    assert links.count() == 0
-    assert ngram_jaccard_join(df.limit(0))[0].count() == 0
+    rows = ngram_jaccard_join(df)
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links, r.component_id) for r in rows.collect()) == [("2", 1, 0, 2), ("4", 2, 2, 4), ("4", 2, 2, 4), ("None", 2, 2, 4)]
+    assert ngram_jaccard_join(df.limit(0)).count() == 0
 
 
 def test_needed():
