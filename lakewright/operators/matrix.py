@@ -6,7 +6,10 @@ size is checked (``to_numpy``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +21,54 @@ TARGETS = (0.90, 0.95, 0.99, 0.999, 1.0)
 DRIVER_SIDE = 4096
 
 
+def _stacked(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows of a batch's list column without nulls, as a matrix; all must have one length."""
+    column = batch.column(0).drop_null()
+    offsets = np.asarray(column.offsets)
+    width = np.diff(offsets)
+    if not len(width):
+        return np.zeros((0, 0))
+    if (width != width[0]).any():
+        raise ValueError("vectors differ in length")
+    flat = np.asarray(column.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(pa.float64()).fill_null(float("nan")))
+    x = flat.reshape(len(width), width[0])
+    return x[~np.isnan(x).any(1)]
+
+
 def covariance(rows: DataFrame, vector: str) -> DataFrame:
     """Sample covariance (i, j, value) of array columns, positions from 0.
 
-    One pass of sums of products by pair of positions; partial sums bound what is shuffled to the square
-    of the dimension per task.
+    Two passes: means, then centred cross products, one small matrix per task by a matrix product; only
+    those are shuffled, and the means (one number per position) are what comes to the driver. Rows that
+    are null or hold a null or NaN are left out.
     """
-    entry = F.explode(F.flatten(F.transform(F.col(vector), lambda x, i: F.transform(F.col(vector), lambda y, j: F.struct(i.alias("i"), j.alias("j"), x.cast("double").alias("x"), y.cast("double").alias("y"))))))
-    e = rows.select(entry.alias("e")).select("e.*")
-    return e.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("value"))
+    x = rows.select(vector)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, None
+        for batch in batches:
+            m = _stacked(batch)
+            if len(m):
+                n, total = n + len(m), m.sum(0) if total is None else total + m.sum(0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total), pa.array(np.full(len(total), n), pa.int64())], names=["i", "s", "n"])
+
+    got = x.mapInArrow(sums, "i int, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m"), F.sum("n").alias("n")).orderBy("i").collect()
+    means = np.array([r.m for r in got])
+    count = got[0].n if got else 0
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cross = np.zeros((len(means), len(means)))
+        for batch in batches:
+            m = _stacked(batch)
+            if len(m):
+                m = m - means
+                cross += m.T @ m
+        i, j = np.divmod(np.arange(cross.size), max(len(means), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(cross.reshape(-1))], names=["i", "j", "c"])
+
+    out = x.mapInArrow(products, "i int, j int, c double").groupBy("i", "j")
+    return out.agg(F.try_divide(F.sum("c"), F.lit(float(count - 1))).alias("value"))
 
 
 def with_diagonal(cov: DataFrame) -> DataFrame:
