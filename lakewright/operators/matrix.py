@@ -235,6 +235,31 @@ def geometry(hessian: DataFrame) -> DataFrame:
     return per.withColumn("share", F.try_divide("norm", F.sum("norm").over(Window.partitionBy())))
 
 
+def to_bands(coo: DataFrame, width: int) -> DataFrame:
+    """(band, values): the diagonals 0 to width of the lower triangle as arrays in order of position."""
+    near = coo.filter((F.col("i") >= F.col("j")) & (F.col("i") - F.col("j") <= width))
+    return near.groupBy((F.col("i") - F.col("j")).alias("band")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda s: s["value"]).alias("values"))
+
+
+def active_directions(stack: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Directions of (direction, i, j, value) whose matrix has a Frobenius norm above the tolerance."""
+    return stack.groupBy("direction").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("norm")).filter(F.col("norm") > tolerance)
+
+
+def needed_columns(stack: DataFrame) -> DataFrame:
+    """Columns in which any of the matrices has a non-zero entry."""
+    return stack.filter("value <> 0").select("j").distinct()
+
+
+def random_walk_traces(states: DataFrame, by: str, inverse: str, u: str, du: str, *, weight: float, weight_slope: float, rate: float, rate_slope: float) -> DataFrame:
+    """trace(H**-1 dH) of a random walk with Poisson-like curvature, by direction, in one sum.
+
+    Only the diagonal's own term moves: weight * weight_slope + rate * exp(u) * (rate_slope + du).
+    """
+    term = F.col(inverse) * (F.lit(weight * weight_slope) + rate * F.exp(u) * (rate_slope + F.col(du)))
+    return states.groupBy(by).agg(F.sum(term).alias("trace"))
+
+
 def to_numpy(coo: DataFrame, n: int) -> np.ndarray:
     """A dense array on the driver; refuses sides above ``DRIVER_SIDE``."""
     if n > DRIVER_SIDE:

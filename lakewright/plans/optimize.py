@@ -136,3 +136,39 @@ def multistart(f: Objective, starts: list[np.ndarray], phases: list[np.ndarray],
         if best is None or (np.isfinite(v) and v < best.value):
             best = r
     return best
+
+
+def bounded(f: Objective, low: np.ndarray, high: np.ndarray) -> tuple[Objective, Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+    """(objective of unconstrained x, to natural values, from natural values) with logit bounds."""
+    low, width = np.asarray(low, float), np.asarray(high, float) - np.asarray(low, float)
+
+    def to(x: np.ndarray) -> np.ndarray:
+        return low + width * 0.5 * (1 + np.tanh(0.5 * np.asarray(x, float)))
+
+    def back(y: np.ndarray) -> np.ndarray:
+        p = (np.asarray(y, float) - low) / width
+        if ((p <= 0) | (p >= 1)).any():
+            raise ValueError("a value is not inside its bounds")
+        return np.log(p) - np.log1p(-p)
+
+    def inner(x: np.ndarray) -> tuple[float, np.ndarray]:
+        y = to(x)
+        value, g = f(y)
+        p = (y - low) / width
+        return value, g * width * p * (1 - p)
+
+    return inner, to, back
+
+
+def scaled(f: Objective, x0: np.ndarray, metric: np.ndarray) -> tuple[Objective, Callable[[np.ndarray], np.ndarray]]:
+    """(objective of z, to x) with x = x0 + L z and L L' the metric, for preconditioning by a covariance."""
+    factor = np.linalg.cholesky(metric)
+
+    def to(z: np.ndarray) -> np.ndarray:
+        return x0 + factor @ z
+
+    def inner(z: np.ndarray) -> tuple[float, np.ndarray]:
+        value, g = f(to(z))
+        return value, factor.T @ g
+
+    return inner, to

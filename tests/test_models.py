@@ -116,3 +116,62 @@ def test_spatial(spark):
     assert np.allclose(sim.catch, spatial.simulate(d, spatial.SpatialFit(*true), 3).catch)
     table = spatial.residual_table(sim, best)
     assert len(table) == 2 * d.catch.size and abs(table.residual.std() - 1) < 0.15
+
+
+def test_dense_laplace_like_chain():
+    from lakewright.models.examples import latent_abundance
+    from lakewright.plans.dense import DenseLaplace
+
+    rng, model = np.random.default_rng(2), latent_abundance()
+    u = np.cumsum(rng.normal(size=8) * 0.2)
+    data = {"log_index": u + 0.1 * rng.normal(size=8), "log_cpue": u - 1 + 0.2 * rng.normal(size=8)}
+    theta = np.array([-1.0, 0.0, -1.5, -2.0, -1.5])
+    value, grad, mode = model.evaluate(theta, data, np.zeros(8))
+    dense = DenseLaplace(lambda t, x: model.joint(t, x, data), np.zeros(8))
+    assert dense.value(theta) == pytest.approx(value, abs=1e-3)
+    assert np.allclose(dense.gradient(theta), grad, atol=2e-2)
+    assert np.allclose(dense.sensitivity(theta), model.sensitivity(theta, mode, data), atol=1e-2)
+
+
+def test_model_library(spark):
+    from lakewright.models.examples import CatchAtAge, Recruitment, random_year_effects, selectivity_random_walk
+    from lakewright.plans.dense import DenseLaplace
+    from lakewright.plans.optimize import finite_gradient
+
+    rng = np.random.default_rng(4)
+    rows = [(y, float(1 + 0.5 * x + 0.2 * z + 0.1 * rng.normal()), float(x)) for y in range(6) for z in [rng.normal()] for x in rng.normal(size=5)]
+    m = random_year_effects(spark.createDataFrame(rows, "year int, y double, x double"), "year", "y", "x")
+    t = np.array([1.0, 0.5, -2.0, -1.5])
+    assert np.allclose(m.evaluate(t)[1], finite_gradient(lambda p: m.evaluate(p)[0], t), rtol=1e-3, atol=1e-3)
+    s, age = selectivity_random_walk(), np.arange(1.0, 11)
+    k = np.round(20 / (1 + np.exp(-(age - 4))))
+    t = np.array([4.0, 1.0, -1.0])
+    data = {"age": age, "n": np.full(10, 20.0), "k": k}
+    _, g, u = s.evaluate(t, data, np.zeros(10))
+    assert np.allclose(g, finite_gradient(lambda p: s.evaluate(p, data, u)[0], t), atol=1e-4)
+    weight = np.array([0.2, 0.45, 0.75, 1.1, 1.45, 1.75, 2.0])
+    base = Recruitment(np.ones(6), np.ones(6), weight)
+    b, c = base.series(np.array([8.0, -3.0]), np.zeros(6))
+    r = Recruitment(np.exp(-8.78) * b, c, weight)
+    fit = DenseLaplace(r.joint, np.zeros(6)).fit(np.array([7.5, -3.3]), most=15, tol=0.05)
+    assert np.allclose(fit.x, [8.0, -3.0], atol=0.3)
+    caa = CatchAtAge(np.ones((4, 5)))
+    seen = caa.expected(np.array([5.0, -1.0, -2.0]), np.zeros(8))
+    caa = CatchAtAge(seen)
+    u = DenseLaplace(caa.joint, np.full(8, 0.1)).mode(np.array([5.0, -1.0, -2.0]))
+    assert np.abs(u).max() < 0.02 and caa.derived(np.array([5.0, -1.0, -2.0]), u)["fishing"].shape == (4,)
+    assert caa.simulator()(np.concatenate([[5.0, -1.0, -2.0], u]), rng).shape == (4,)
+
+
+def test_bounds_and_scaling():
+    from lakewright.plans.optimize import bounded, finite_gradient, lbfgs, scaled
+
+    f = lambda x: (float(((x - 3) ** 2).sum()), 2 * (x - 3))
+    inner, to, back = bounded(f, np.zeros(2), np.array([2.0, 5.0]))
+    x = np.array([0.3, -0.4])
+    assert np.allclose(back(to(x)), x) and np.allclose(inner(x)[1], finite_gradient(lambda z: inner(z)[0], x), atol=1e-6)
+    assert np.allclose(to(lbfgs(inner, x, tol=1e-6).x), [2, 3], atol=1e-2)
+    with pytest.raises(ValueError):
+        back(np.array([0.0, 1.0]))
+    g, to = scaled(f, np.zeros(2), np.array([[4.0, 1.0], [1.0, 2.0]]))
+    assert np.allclose(to(lbfgs(g, np.ones(2), tol=1e-8).x), 3)

@@ -168,3 +168,14 @@ def test_sets(spark):
     out = sets.union_align({"a": a, "b": b}, {"b": {"key": "id"}}).orderBy("id").collect()
     assert out[0].x == 2.0 and out[0].y is None and out[1].engine == "b"
     assert sets.metrics(a, ["x"], "s").first()[:] == ("s", "x", 2.0)
+
+
+def test_stacks(spark):
+    stack = spark.createDataFrame([(0, 0, 1, 2.0), (0, 1, 3, 0.0), (1, 0, 0, 0.0)], "direction int, i int, j int, value double")
+    assert [r.direction for r in matrix.active_directions(stack).collect()] == [0]
+    assert [r.j for r in matrix.needed_columns(stack).collect()] == [1]
+    a = coo(spark, np.diag([1.0, 2.0, 3.0]) + np.diag([4.0, 5.0], -1))
+    assert {r.band: r["values"] for r in matrix.to_bands(a, 1).collect()} == {0: [1, 2, 3], 1: [4, 5]}
+    s = spark.createDataFrame([("d", 0.5, 0.0, 1.0), ("d", 0.25, math.log(2), 0.0)], "d string, inv double, u double, du double")
+    got = matrix.random_walk_traces(s, "d", "inv", "u", "du", weight=2.0, weight_slope=0.5, rate=3.0, rate_slope=0.1).first()
+    assert got["trace"] == pytest.approx(0.5 * (1 + 3 * 1.1) + 0.25 * (1 + 6 * 0.1))
