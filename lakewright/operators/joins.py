@@ -26,15 +26,15 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str, missi
 def last_override(rows: DataFrame, overrides: DataFrame, keys: list[str], *, at: str | None = None, since: str | None = None, order: str, value: str, default: Column) -> DataFrame:
     """``value`` of the last override (by ``order``) of a row's keys whose ``since`` is not after ``at``.
 
-    The join is by key with a range condition, its winner one aggregate per row; ``rows`` needs distinct
-    rows. Without a match the default holds.
+    Overrides are packed in one sorted array per key, which a row must hold; a row of ``rows`` then meets
+    one packed row, so matches are never spread out and no aggregation by row follows. Without a match
+    the default holds. Null keys match nothing.
     """
-    o = overrides.select(*[F.col(k).alias(f"__{k}") for k in keys], *([F.col(since).alias("__since")] if since else []), F.col(order).alias("__order"), F.col(value).alias("__value"))
-    on = [rows[k] == o[f"__{k}"] for k in keys]
-    if since:
-        on.append(F.col("__since") <= rows[at])
-    met = rows.join(o, on, "left").groupBy(*[rows[c] for c in rows.columns]).agg(F.max_by("__value", "__order").alias(value))
-    return met.withColumn(value, F.coalesce(value, default))
+    entry = F.struct(F.col(order).alias("o"), F.col(value).alias("v"), *([F.col(since).alias("s")] if since else []))
+    packed = overrides.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__all"))
+    met = rows.join(packed, keys, "left")
+    valid = F.filter("__all", lambda e: e["s"] <= F.col(at)) if since else F.col("__all")
+    return met.withColumn(value, F.coalesce(F.try_element_at(valid, F.lit(-1))["v"], default)).select(*rows.columns, value)
 
 
 def interval_blocks(rows: DataFrame, blocks: DataFrame, *, at: str, low: str = "lo", high: str = "hi", base: str, most: int = 10_000) -> DataFrame:
