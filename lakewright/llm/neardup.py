@@ -139,8 +139,8 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, probes: int =
 
     n_links: other vectors with cosine >= ``threshold`` that the index brings together (equal vectors
     are counted, not compared); component_id: the least id that links reach; kept: whether that is the
-    row's own. Every row is indexed; only the centroids are fitted on at most ``sample`` classes, those of
-    the smallest digests. ``probes`` cells per vector and ``sureness`` (in standard errors) set the
+    row's own. Every row is indexed; only the centroids are fitted on at most ``sample`` classes, drawn
+    by digest. ``probes`` cells per vector and ``sureness`` (in standard errors) set the
     recall; precision is exact. Vectors that are null, empty, zero or hold null or non-finite components,
     and rows of null id, link with nothing and are their own component; vectors of different lengths never
     link; repeated rows are linked rows of their own; an empty table gives no rows; other columns are not
@@ -152,7 +152,10 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, probes: int =
     classes = cut(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v")))
     index: dict[int, np.ndarray] = {}
     for dim, n in classes.groupBy("dim").count().collect():
-        got = [r.v for r in classes.filter(F.col("dim") == dim).orderBy("digest").limit(sample).select("v").collect()]
+        # tasks first drop what the class count says is too many, so that together they send a bounded sample
+        share = min(1.0, 4.0 * sample / n)
+        drawn = classes.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) <= int(share * (1 << 30))))
+        got = [r.v for r in drawn.orderBy("digest").limit(sample).select("v").collect()]
         index[dim] = fit_centroids(matrix(got, dim), max(1, min(-(-n // CELL), max(1, len(got) // 8))), seed)
     shared = spark.sparkContext.broadcast(index)
 
