@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lakewright.operators import joins, matrix, windows
-from lakewright.plans.catalog import embedding_covariance, query, random_intercept, rounded, table
+from lakewright.plans.catalog import embedding_covariance, query, rounded, table
 from lakewright.sinks import writers
 
 # ---- report shapes
@@ -117,15 +117,20 @@ def projection_comparison(spark, sf):
 
 @query("laplace_fit")
 def laplace_fit(spark, sf):
-    """Fit of the random-intercept model by L-BFGS on exact marginal gradients, with its report."""
+    """Fit of intercept and residual sd, the sd between customers held at 0.1, by L-BFGS on exact marginal gradients."""
+    from lakewright.plans import expr as X
     from lakewright.plans import inference, optimize
-
-    model = random_intercept(spark, sf)
-    mean, sd = model.rows.agg(F.avg("y"), F.stddev_samp("y")).first()
-    r = optimize.lbfgs(model.evaluate, np.array([mean, math.log(sd), math.log(sd / 10)]), tol=1e-1, most=30)
-    h = optimize.gradient_hessian(lambda x: model.evaluate(x)[1], r.x)
-    c = inference.covariance_from_hessian(h)
-    return rounded(inference.fixed_effect_report(spark, ["mu", "log_sigma", "log_tau"], r.x, c.covariance), 4)
+    from lakewright.plans.laplace import GroupedLaplace
+
+    rows = table(spark, sf, "orders").select("o_custkey", F.ln("o_totalprice").alias("y"))
+    mean, sd, n = rows.agg(F.avg("y"), F.stddev_samp("y"), F.count("*")).first()
+    u = X.random("u")
+    model = GroupedLaplace(rows, "o_custkey", X.normal_nll(X.data("y"), X.param("mu") + u, X.param("log_sigma")), X.normal_nll(u, 0.0, math.log(0.1)), ["mu", "log_sigma"])
+    # steps are measured in rough standard errors
+    f, back = optimize.scaled(model.evaluate, np.array([mean, math.log(sd)]), np.diag([sd * sd / n, 0.5 / n]))
+    x = back(optimize.lbfgs(f, np.zeros(2), tol=1e-3, most=30).x)
+    c = inference.covariance_from_hessian(optimize.gradient_hessian(lambda t: model.evaluate(t)[1], x))
+    return rounded(inference.fixed_effect_report(spark, model.params, x, c.covariance), 4)
 
 
 def _target():
