@@ -22,14 +22,12 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with an identified language: those without letters, or of no likely language, go."""
-    model = language.fit(docs)
-    found = language.predict(docs, model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    """Keep documents with an identified language: null and letterless texts, and those of no likely language, go."""
+    return language.keep_identified(docs.select(*COLUMNS), language.fit(docs), least_score=LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each component of similar documents."""
+    """Keep the document of the least id of each component of similar documents; documents without an id go."""
     rows = ngram_join.ngram_jaccard_join(docs)
     kept = rows.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

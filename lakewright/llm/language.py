@@ -177,3 +177,22 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PREDICTED)
+
+
+def keep_identified(docs: DataFrame, model: Model | None, *, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows with an identified language whose posterior is at least ``least_score``, all columns unchanged.
+
+    Rows go where ``predict`` would say ``und``. No shuffle: rows are filtered as they pass.
+    """
+    shared, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, at, _ = texts_of(batch.column(at_text))
+            keep = []
+            for i, j in slices(at):
+                langs, scores = predict_batch(shared.value, buf[at[i] : at[j]], at[i : j + 1] - at[i])
+                keep += [x != UNKNOWN and s >= least_score for x, s in zip(langs, scores, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
