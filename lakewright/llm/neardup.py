@@ -1,7 +1,10 @@
-"""Near-duplicate vectors by randomised-rotation binary codes.
+"""Near-duplicate vectors by cross-polytope hashing and randomised-rotation binary codes.
 
-Equal vectors are one class. Classes are dealt to the ``probes`` nearest of an index's cells. In a cell
-a vector's residual to the centroid is rotated at random and kept as its signs, with two correction
+Equal vectors are one class. Several tables each deal every class to one cell: a random rotation's
+coordinate of largest size, with its sign, or several such. How often two vectors share a table's cell
+depends on their cosine alone, whatever the other vectors are, so the tables are as many as pairs at the
+threshold need for a wanted recall; groups of near copies are cut no worse than lone pairs. In a cell
+a vector's residual to the mean is rotated at random and kept as its signs, with two correction
 factors: the residual's length and the inner product of code and residual. Code and a rotated query
 give an unbiased estimate of the inner product and a confidence bound on its error; only pairs whose
 bound reaches the threshold are computed again from the exact vectors, in double precision, and only
@@ -39,17 +42,54 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def fit_centroids(sample: np.ndarray, cells: int, seed: int, rounds: int = 6) -> np.ndarray:
-    """Spherical k-means on a sample of unit vectors."""
-    rng = np.random.default_rng(seed)
-    centres = sample[rng.choice(len(sample), cells, replace=False)].copy()
-    for _ in range(rounds):
-        own = np.concatenate([(sample[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(sample), 4096)])
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, sample)
-        norm = np.linalg.norm(sums, axis=1)
-        centres = np.where(norm[:, None] > 1e-12, sums / np.maximum(norm, 1e-12)[:, None], centres)
-    return centres
+@dataclass
+class Tables:
+    """Hash tables over vectors of one length: ``sizes`` coordinates in each hash of a table."""
+
+    dim: int
+    sizes: list[int]
+    tables: int
+
+    @classmethod
+    def of(cls, dim: int, classes: int, threshold: float, recall: float, seed: int) -> Tables:
+        """About ``classes / CELL`` cells a table, and tables that bring together ``recall`` of the pairs at the threshold.
+
+        One cell for all, which is exact, where as many tables as cells would be needed.
+        """
+        sizes, cells = [], -(-classes // CELL)
+        while cells > 1:
+            sizes.append(min(dim, -(-cells // 2)))
+            cells = -(-cells // (2 * sizes[-1]))
+        rng = np.random.default_rng([seed, dim])
+        x, w = unit(rng.standard_normal((1 << 13, dim))), rng.standard_normal((1 << 13, dim))
+        w -= (w * x).sum(1)[:, None] * x
+        y = x if dim == 1 else threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * unit(w)
+        p = float(np.prod([(polar(x[:, :m]) == polar(y[:, :m])).mean() for m in sizes]))
+        needed = 1 if p >= recall else int(np.ceil(np.log1p(-recall) / np.log1p(-p))) if p > 0 and recall < 1 else 1 << 62
+        whole = needed >= np.prod([2.0 * m for m in sizes])
+        return cls(dim, [], 1) if whole else cls(dim, sizes, needed)
+
+    @property
+    def cells(self) -> int:
+        return int(np.prod([2 * m for m in self.sizes], dtype=np.int64))
+
+    def turns(self, seed: int) -> list[list[np.ndarray]]:
+        return [[np.linalg.qr(np.random.default_rng([seed, self.dim, t, h]).standard_normal((self.dim, m)))[0] for h, m in enumerate(self.sizes)] for t in range(self.tables)]
+
+    def deal(self, x: np.ndarray, turns: list[list[np.ndarray]]) -> np.ndarray:
+        """The cell of each row in each table; table t's are t * cells and up."""
+        out = np.zeros((len(x), self.tables), np.int64)
+        for t, hashes in enumerate(turns):
+            for m, turn in zip(self.sizes, hashes, strict=True):
+                out[:, t] = out[:, t] * 2 * m + polar(x @ turn)
+            out[:, t] += t * self.cells
+        return out
+
+
+def polar(x: np.ndarray) -> np.ndarray:
+    """Position of the coordinate of largest size, doubled, and one more where it is negative."""
+    best = np.abs(x).argmax(1)
+    return 2 * best + (x[np.arange(len(x)), best] < 0)
 
 
 @dataclass
@@ -134,14 +174,14 @@ def matrix(raw: list[bytes], dim: int) -> np.ndarray:
     return unit(np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in raw]))
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, probes: int = 6, sureness: float = 4.0, sample: int = 16_384, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float = 0.99, sureness: float = 4.0, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row in.
 
     n_links: other vectors with cosine >= ``threshold`` that the index brings together (equal vectors
     are counted, not compared); component_id: the least id that links reach; kept: whether that is the
-    row's own. Every row is indexed; only the centroids are fitted on at most ``sample`` classes, drawn
-    by digest. ``probes`` cells per vector and ``sureness`` (in standard errors) set the
-    recall; precision is exact. Vectors that are null, empty, zero or hold null or non-finite components,
+    row's own. Every row is indexed and nothing is fitted. ``recall`` is the expected part of pairs right
+    at the threshold that meet in some table (closer pairs meet more often), whatever groups the vectors
+    form; ``sureness`` (in standard errors) bounds what codes may miss of them; precision is exact. Vectors that are null, empty, zero or hold null or non-finite components,
     and rows of null id, link with nothing and are their own component; vectors of different lengths never
     link; repeated rows are linked rows of their own; an empty table gives no rows; other columns are not
     read.
@@ -150,29 +190,23 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, probes: int =
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e")).mapInArrow(_classes, CLASSED))
     usable = rows.filter("digest is not null and vec_id is not null")
     classes = cut(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v")))
-    index: dict[int, np.ndarray] = {}
-    for dim, n in classes.groupBy("dim").count().collect():
-        # tasks first drop what the class count says is too many, so that together they send a bounded sample
-        share = min(1.0, 4.0 * sample / n)
-        drawn = classes.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) <= int(share * (1 << 30))))
-        got = [r.v for r in drawn.orderBy("digest").limit(sample).select("v").collect()]
-        index[dim] = fit_centroids(matrix(got, dim), max(1, min(-(-n // CELL), max(1, len(got) // 8))), seed)
-    shared = spark.sparkContext.broadcast(index)
+    index = {dim: Tables.of(dim, n, threshold, recall, seed) for dim, n in classes.groupBy("dim").count().collect()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, list[list[np.ndarray]]] = {}
         for batch in batches:
             dims = np.asarray(batch.column(2))
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                centres = shared.value[int(dim)]
+                tables = index[int(dim)]
+                if tables.dim not in turns:
+                    turns[tables.dim] = tables.turns(seed)
                 for lo in range(0, part.num_rows, 2048):
                     some = part.slice(lo, 2048)
-                    close = matrix(some.column(3).to_pylist(), int(dim)) @ centres.T
-                    t = min(probes, len(centres))
-                    cells = np.sort(np.argpartition(-close, t - 1, axis=1)[:, :t], axis=1)
-                    yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["rep", "copies", "dim", "v", "cells"])
+                    cells = tables.deal(matrix(some.column(3).to_pylist(), tables.dim), turns[tables.dim])
+                    yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["rep", "copies", "dim", "v", "cells"])
 
-    placed = cut(classes.select("rep", "copies", "dim", "v").mapInArrow(assign, "rep long, copies long, dim int, v binary, cells array<int>"))
+    placed = cut(classes.select("rep", "copies", "dim", "v").mapInArrow(assign, "rep long, copies long, dim int, v binary, cells array<long>"))
     placed = placed.withColumn("cell", F.explode("cells"))
     tiles = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("g"))
     placed = placed.join(tiles, ["dim", "cell"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("g")))
@@ -183,7 +217,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, probes: int =
         dim, cell = int(group.dim.iloc[0]), int(group.cell.iloc[0])
         group = group.sort_values(["side", "rep"], kind="stable").reset_index(drop=True)
         x = matrix(list(group.v), dim)
-        centre, turn = shared.value[dim][cell], rotation(dim, seed)
+        centre, turn = x.mean(0), rotation(dim, seed)
         cut_at = int((group.side == group.ti).sum())
         if group.ti.iloc[0] == group.tj.iloc[0]:
             i, j, _ = tile_links(x, None, centre, turn, threshold, sureness)
@@ -194,11 +228,10 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, probes: int =
             j = j + cut_at
         cells = np.array(group.cells.tolist())
         links, copies = np.zeros(len(group), np.int64), group.copies.to_numpy()
-        # a pair that shares several cells counts in the least of them
+        # a pair that shares several cells counts in its first table
         for lo in range(0, len(i), 1 << 18):
             a, b = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
-            both = (cells[a][:, :, None] == cells[b][:, None, :]).any(2)
-            counts = np.where(both, cells[a], np.iinfo(np.int32).max).min(1) == cell
+            counts = (cells[a] == cells[b]).argmax(1) == cell // index[dim].cells
             np.add.at(links, a[counts], copies[b[counts]])
             np.add.at(links, b[counts], copies[a[counts]])
         rep = group.rep.to_numpy()

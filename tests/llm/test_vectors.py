@@ -54,6 +54,36 @@ def test_near_duplicates_like_brute_force(spark, cell, monkeypatch):
     assert got[None].n_links == 0 and got[None].kept
 
 
+def test_near_duplicates_in_a_hot_group_over_many_cells(spark, monkeypatch):
+    """A third of the vectors are near copies of one, spread over more than 50 cells."""
+    monkeypatch.setattr(nd, "CELL", 4)
+    monkeypatch.setattr(nd, "TILE", 256)
+    rng = np.random.default_rng(7)
+    u = unit(rng.standard_normal((1, 64)))
+    hot = u + rng.uniform(0.18, 0.32, (1200, 1)) * unit(rng.standard_normal((1200, 64)))
+    x = np.concatenate([hot, rng.standard_normal((2400, 64))])
+    df = spark.createDataFrame([(int(i), [float(v) for v in r], 0) for i, r in enumerate(x)], VECTORS).repartition(3)
+    got = {r.vec_id: r for r in near_duplicates(df).collect()}
+    link = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(link, False)
+    assert link[:1200, :1200].mean() > 0.95
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= link.sum(1)).all() and n.sum() >= 0.95 * link.sum()
+    assert all(got[i].component_id == 0 for i in range(1200))
+
+
+@pytest.mark.parametrize("dim", [1, 2, 16, 64])
+def test_tables_bring_threshold_pairs_together(dim, monkeypatch):
+    monkeypatch.setattr(nd, "CELL", 4)
+    rng = np.random.default_rng(dim)
+    x, w = unit(rng.standard_normal((3000, dim))), rng.standard_normal((3000, dim))
+    w -= (w * x).sum(1)[:, None] * x
+    y = x if dim == 1 else 0.9 * x + np.sqrt(0.19) * unit(w)
+    tables = nd.Tables.of(dim, 3000, 0.9, 0.99, 0)
+    turns = tables.turns(0)
+    assert (tables.deal(x, turns) == tables.deal(y, turns)).any(1).mean() > 0.97
+
+
 def test_bounds_hold():
     x = unit(np.random.default_rng(0).standard_normal((400, 64)))
     codes = Codes.of(x, x[:50].mean(0), rotation(64, 1))
