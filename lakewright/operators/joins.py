@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -26,15 +26,28 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str, missi
 def last_override(rows: DataFrame, overrides: DataFrame, keys: list[str], *, at: str | None = None, since: str | None = None, order: str, value: str, default: Column) -> DataFrame:
     """``value`` of the last override (by ``order``) of a row's keys whose ``since`` is not after ``at``.
 
-    Overrides are packed in one sorted array per key, which a row must hold; a row of ``rows`` then meets
-    one packed row, so matches are never spread out and no aggregation by row follows. Without a match
-    the default holds. Null keys match nothing.
+    Distinct times of rows and of overrides are dealt by key and by ranges of time with about equally many
+    of them; in a range the last override so far is a running maximum, and what earlier ranges hold is one
+    entry each. Rows then join one value by key and time, so neither a key's overrides nor its rows
+    come together in one task. Without a match the default holds. Null keys and times match nothing.
     """
-    entry = F.struct(F.col(order).alias("o"), F.col(value).alias("v"), *([F.col(since).alias("s")] if since else []))
-    packed = overrides.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__all"))
-    met = rows.join(packed, keys, "left")
-    valid = F.filter("__all", lambda e: e["s"] <= F.col(at)) if since else F.col("__all")
-    return met.withColumn(value, F.coalesce(F.try_element_at(valid, F.lit(-1))["v"], default)).select(*rows.columns, value)
+    overrides = overrides.dropna(subset=keys)
+    hit = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    if not since:
+        found = overrides.groupBy(*keys).agg(F.max(hit)["v"].alias("__v"))
+        return rows.join(found, keys, "left").withColumn(value, F.coalesce("__v", default)).select(*rows.columns, value)
+    points = rows.select(*keys, F.col(at).alias("__at")).dropna().distinct()
+    starts = overrides.filter(F.col(since).isNotNull()).groupBy(*keys, F.col(since).alias("__t")).agg(F.max(hit).alias("__hit"))
+    events = points.withColumn("__t", F.col("__at")).unionByName(starts, allowMissingColumns=True)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = events.agg(F.percentile_approx("__t", [k / ranges for k in range(1, ranges)] or [1.0]).alias("__bounds"))
+    events = events.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col("__t")))).drop("__bounds")
+    so_far = F.max("__hit").over(Window.partitionBy(*keys, "__range").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    earlier = F.max("__hit").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    carried = events.groupBy(*keys, "__range").agg(F.max("__hit").alias("__hit")).select(*keys, "__range", earlier.alias("__earlier"))
+    last = events.withColumn("__last", so_far).filter(F.col("__at").isNotNull()).join(carried, [*keys, "__range"])
+    found = last.select(*keys, F.col("__at").alias(at), F.greatest("__last", "__earlier")["v"].alias("__v"))
+    return rows.join(found, [*keys, at], "left").withColumn(value, F.coalesce("__v", default)).select(*rows.columns, value)
 
 
 def interval_blocks(rows: DataFrame, blocks: DataFrame, *, at: str, low: str = "lo", high: str = "hi", base: str, most: int = 10_000) -> DataFrame:

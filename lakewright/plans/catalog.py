@@ -629,6 +629,20 @@ def asof_override(spark, sf):
     return rounded(out.select("o_orderkey", "weight"))
 
 
+@query(
+    "asof_override_all",
+    """WITH v AS (SELECT p_partkey AS row_no, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][(p_partkey % 5 + 1)::INTEGER] AS pr, TIMESTAMP '1992-01-01' + INTERVAL (p_partkey * 7) DAY AS since, p_retailprice / 1000 AS weight FROM part)
+SELECT o_orderkey, round(coalesce(arg_max(weight, row_no), 1), 6) AS weight FROM orders LEFT JOIN v ON o_orderpriority = pr AND since <= o_orderdate GROUP BY 1""",
+)
+def asof_override_all(spark, sf):
+    """As ``asof_override``, over all orders and all of part."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    names = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
+    over = table(spark, sf, "part").select(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("o_orderpriority"), F.expr("timestamp_ntz'1992-01-01' + make_dt_interval(cast(p_partkey * 7 as int))").alias("since"), F.col("p_partkey").alias("row_no"), (F.col("p_retailprice") / 1000).alias("weight"))
+    out = joins.last_override(rows, over, ["o_orderpriority"], at="o_orderdate", since="since", order="row_no", value="weight", default=F.lit(1.0))
+    return rounded(out.select("o_orderkey", "weight"))
+
+
 @query(
     "interval_block",
     """WITH b AS (SELECT * FROM (VALUES (1, 1993, 1995, 1, 0.5), (2, 1995, 1996, 0, 0.25), (3, 1997, 1997, 2, 9.0)) t(block, lo, hi, code, adjustment)), r AS (SELECT l_orderkey, l_linenumber, year(l_shipdate) AS y, l_quantity AS q FROM lineitem),

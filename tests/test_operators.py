@@ -1,4 +1,6 @@
+import datetime
 import math
+import random
 
 import numpy as np
 import pytest
@@ -83,6 +85,47 @@ def test_overrides_and_blocks(spark):
     assert late.season == 4 and late.time == pytest.approx(5 / 6)
 
 
+def test_overrides_like_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(60)])) for i in range(400)]
+    over = [(rng.randrange(80), rng.choice(["a", "a", "b", None]), rng.choice([None, *map(float, range(70))]), rng.choice([None, rng.random()])) for _ in range(300)]
+    r = spark.createDataFrame(rows, "id int, k string, phase int").repartition(3)
+    o = spark.createDataFrame(over, "n int, k string, since double, w double").repartition(3)
+    for timed in (True, False):
+        got = joins.last_override(r, o, ["k"], at="phase", since="since" if timed else None, order="n", value="w", default=F.lit(-1.0))
+        assert got.columns == ["id", "k", "phase", "w"]
+        want = {}
+        for i, k, at in rows:
+            met = [(n, w is not None, w or 0.0) for n, key, s, w in over if k is not None and key == k and (not timed or (s is not None and at is not None and s <= at))]
+            want[i] = max(met)[2] if met and max(met)[1] else -1.0
+        assert {x.id: x.w for x in got.collect()} == want and got.count() == len(rows)
+
+
+def test_overrides_of_a_key_are_not_collected(spark, capsys):
+    """A key's overrides don't become one array that all its rows hold."""
+    r = spark.createDataFrame([(1, "a", 5)], "id int, k string, phase int")
+    o = spark.createDataFrame([(1, "a", 2, 0.5)], "n int, k string, since int, w double")
+    joins.last_override(r, o, ["k"], at="phase", since="since", order="n", value="w", default=F.lit(1.0)).explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
+def test_overrides_over_whole_tables(spark, tmp_path):
+    from lakewright.plans import catalog
+
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    day = datetime.datetime(1992, 1, 1)
+    orders = [(k, names[k % 5], day + datetime.timedelta(days=9 * k)) for k in range(600)]
+    part = [(p, 900.0 + p) for p in range(1, 701)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(part, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.o_orderkey: r.weight for r in catalog.QUERIES["asof_override_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, pr, at in orders:
+        met = [(p, price / 1000) for p, price in part if names[p % 5] == pr and day + datetime.timedelta(days=7 * p) <= at]
+        want[k] = pytest.approx(max(met)[1] if met else 1.0)
+    assert got == want
+
+
 def test_summaries_handle_odd_values(spark):
     nan, inf = float("nan"), float("inf")
     rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", nan, 1.0), ("a", 3.0, inf), ("b", None, 1.0)], "g string, r double, e double")
