@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakewright.llm import bpe, language, mixing, ngram_join, substring
 from lakewright.llm.queries import sha256, word_tokenizer_spec
-from lakewright.llm.session import checkpoint_dir
+from lakewright.llm.session import checkpoint_dir, cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,11 +26,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_identified(docs.select(*COLUMNS), language.fit(docs), least_score=LEAST_SCORE)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row_key of each row: doc_id where ids are unique and not null, else places in the
+    order of id (null ids last) and text, checkpointed so that all uses see the same keys."""
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id"))
+    return cut(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("row_key", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each component of similar documents; documents without an id go."""
-    rows = ngram_join.ngram_jaccard_join(docs)
-    kept = rows.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keep the document of the least id of each component of similar documents; null ids come last, rows of
+    one id are documents of their own."""
+    keyed = _keyed(docs)
+    rows = ngram_join.ngram_jaccard_join(keyed, id_col="row_key")
+    kept = rows.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("row_key"))
+    return keyed.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +54,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    taken = docs.select(*COLUMNS).join(copies, "doc_id")
+    """Each document as often as the mix takes it; rows of null or repeated ids have copies of their own."""
+    keyed = _keyed(docs)
+    copies = mixing.mix(keyed, id_col="row_key").filter("copies > 0").select(F.col("doc_id").alias("row_key"), "copies")
+    taken = keyed.join(copies, "row_key")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 

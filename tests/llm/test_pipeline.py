@@ -69,6 +69,19 @@ def test_pipeline_decisions(spark, tmp_path):
     assert final.count() == four.count() and final.filter("n_tokens > 0").count() == final.count()
 
 
+def test_null_and_repeated_ids_keep_their_rows(spark, tmp_path):
+    rng = random.Random(6)
+    say = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    rows = [(i, say(), "xx", "s0", 1) for i in range(20)]
+    rows += [(3, say(), "xx", "s0", 1), (3, rows[3][1], "xx", "s0", 1), (None, say(), "xx", "s0", 1), (None, say(), "xx", "s0", 1), (None, rows[5][1], "xx", "s0", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    want = sorted(map(str, rows[:21] + rows[22:24]))
+    assert sorted(str(tuple(r)) for r in kept.collect()) == want
+    # one source of equal sizes is taken once
+    assert sorted(str(tuple(r)) for r in corpus_pipeline.mix_sources(spark, kept, str(tmp_path)).collect()) == want
+
+
 def test_pipeline_over_small_documents(spark, small):
     assert len(corpus_pipeline.STAGES) == 5
     out = corpus_pipeline.run(spark, small)
