@@ -1,9 +1,10 @@
 """Exact top-k search by inner product with vector-approximation files.
 
-Every chunk of candidates carries, beside its exact vectors, one byte per component: the cell of a
-uniform grid that the component falls in. For a block of queries a scan of the cells gives each
-candidate an upper and a lower bound of its score. Exact vectors are then read in the order of the
-bounds, best first, until the k-th exact score is above every bound that is left.
+For every chunk of candidates and block of queries one byte per component is computed in memory from the
+exact vectors: the cell of a uniform grid that the component falls in. A scan of the cells gives each
+candidate an upper and a lower bound of its score. Exact scores are then computed in the order of the
+bounds, best first, until the k-th exact score is above every bound that is left. Cells are not stored, so
+they save inner products, not reading.
 """
 
 from __future__ import annotations
