@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions.biology import surplus_production
@@ -53,21 +53,30 @@ def project(stocks: DataFrame, scenarios: DataFrame, *, years: int, start_year:
     return out.select(*keys, "scenario", (F.col("t") + start_year).alias("year"), "catch_mt", "biomass", (F.col("q") * F.col("biomass")).alias("index"))
 
 
+def _normal(*keys) -> Column:
+    """A standard normal number that the keys determine: Box and Muller's on two hashes."""
+    one, two = ((F.pmod(F.xxhash64(F.lit(k), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52) for k in (1, 2))
+    return F.sqrt(-2.0 * F.ln(one)) * F.cos(2 * math.pi * two)
+
+
 def projection_envelopes(projection: DataFrame, terminal_log_b: float, variance: float, q: float, *, samples: int = 1000, seed: int = 8675309) -> DataFrame:
     """Envelope per scenario, year and quantity from lognormal draws of the terminal state.
 
-    Each draw follows the point projection's yearly increments with a floor of 1e-12. Without a usable
-    variance the statistics are null.
+    Each draw follows the point projection's yearly increments, whole paths of any length, with a floor of
+    1e-12. Draws come from hashes of seed, scenario and draw, so they don't depend on partitioning.
+    Without a usable variance the statistics are null.
     """
     if not (math.isfinite(variance) and variance >= 0 and samples > 1):
         point = projection.select("scenario", "year", F.explode(F.array(F.struct(F.lit("biomass").alias("quantity"), F.col("biomass").alias("estimate")), F.struct(F.lit("index").alias("quantity"), F.col("index").alias("estimate")))).alias("e"))
         return point.select("scenario", "year", "e.*", *[F.lit(None).cast("double").alias(c) for c in ("mean", "median", "lwr_95", "upr_95", "se")], F.lit(samples).cast("long").alias("n_samples"))
-    paths = projection.groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("year", "biomass"))).alias("path"))
-    start = math.exp(terminal_log_b)
-    draws = paths.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("z", F.randn(seed))
-    steps = F.transform("path", lambda p, k: F.struct(p["year"].alias("year"), (p["biomass"] - F.when(k == 0, F.lit(start)).otherwise(F.col("path")[k - 1]["biomass"])).alias("d"), p["biomass"].alias("estimate")))
-    walked = F.aggregate(steps, F.array(F.struct(F.lit(0).alias("year"), F.exp(terminal_log_b + math.sqrt(variance) * F.col("z")).alias("b"), F.lit(0.0).alias("estimate"))), lambda acc, st: F.concat(acc, F.array(F.struct(st["year"].alias("year"), F.greatest(F.lit(1e-12), F.element_at(acc, -1)["b"] + st["d"]).alias("b"), st["estimate"].alias("estimate")))))
-    rows = draws.select("scenario", F.explode(F.slice(walked, 2, 10_000)).alias("w")).select("scenario", "w.*")
+    start, floor = math.exp(terminal_log_b), 1e-12
+    # a walk with a floor is the free walk lifted by the largest shortfall so far, so steps need no loop
+    free = F.col("biomass") - start
+    shortfall = F.max(F.lit(floor) - free).over(Window.partitionBy("scenario").orderBy("year").rowsBetween(Window.unboundedPreceding, 0))
+    path = projection.select("scenario", "year", F.col("biomass").alias("estimate"), free.alias("free"), shortfall.alias("shortfall"))
+    first = F.exp(F.lit(terminal_log_b) + math.sqrt(variance) * _normal(F.lit(seed), "scenario", "s"))
+    rows = path.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    rows = rows.select("scenario", "year", "estimate", F.greatest(F.lit(floor), F.col("free") + F.greatest(first, "shortfall")).alias("b"))
     long = rows.select("scenario", "year", F.explode(F.array(F.struct(F.lit("biomass").alias("quantity"), F.col("estimate"), F.col("b").alias("value")), F.struct(F.lit("index").alias("quantity"), (q * F.col("estimate")).alias("estimate"), (q * F.col("b")).alias("value")))).alias("e")).select("scenario", "year", "e.*")
     return envelope(long, ["scenario", "year", "quantity", "estimate"], "value")
 

@@ -19,13 +19,26 @@ from pyspark.sql import functions as F
 
 from lakewright.plans import expr as X
 from lakewright.plans.linalg import NotPositiveDefinite, Tridiagonal
+from lakewright.session import cut
 
 LOG_2PI = math.log(2 * math.pi)
 
 
+#: Rows of a group that one task sums at most; a larger group is dealt over several.
+SLICE_ROWS = 1 << 20
+
+
+class NotConverged(ValueError):
+    pass
+
+
 @dataclass
 class GroupedLaplace:
-    """f(theta, u) = sum of ``row`` over observations + sum of ``prior`` over groups, u named ``effect``."""
+    """f(theta, u) = sum of ``row`` over observations + sum of ``prior`` over groups, u named ``effect``.
+
+    Rows of null group are left out. ``converged`` says whether the last search for modes ended within
+    its tolerance. ``close`` gives the kept observations back.
+    """
 
     rows: DataFrame
     group: str
@@ -34,14 +47,28 @@ class GroupedLaplace:
     params: list[str]
     effect: str = "u"
     modes: DataFrame | None = field(default=None, repr=False)
+    converged: bool = field(default=False, init=False)
 
     def __post_init__(self):
         self.u = X.random(self.effect)
         self.theta = [X.param(p) for p in self.params]
-        used = sorted({d.args[0] for d in X.leaves(self.row, "data")})
-        # dealt by group once: no later aggregation by group or join with modes moves the observations
-        self.obs = self.rows.select(F.col(self.group).alias("__g"), *[F.col(c).cast("double").alias(c) for c in used]).repartition("__g").persist()
-        self.used = used
+        self.used = sorted({d.args[0] for d in X.leaves(self.row, "data")})
+        obs = self.rows.select(F.col(self.group).alias("__g"), *[F.col(c).cast("double").alias(c) for c in self.used]).filter("__g is not null")
+        # dealt by group (large ones in slices) once: no later aggregation or join with modes moves the observations
+        counts = obs.groupBy("__g").agg(F.count("*").alias("__n"))
+        large = counts.filter(F.col("__n") > SLICE_ROWS).select("__g", F.ceil(F.col("__n") / F.lit(SLICE_ROWS)).alias("__slices"))
+        self.sliced = not large.isEmpty()
+        if self.sliced:
+            # groups above SLICE_ROWS rows: no more of them than the table has rows over SLICE_ROWS
+            self.large = cut(large)
+            obs = obs.join(F.broadcast(self.large), "__g", "left").withColumn("__s", F.when(F.col("__slices").isNotNull(), F.pmod(F.xxhash64(F.spark_partition_id(), *self.used), F.col("__slices"))).otherwise(F.lit(0)).cast("int")).drop("__slices")
+            self.keys = ["__g", "__s"]
+        else:
+            self.keys = ["__g"]
+        self.obs = obs.repartition(*self.keys).persist()
+
+    def close(self) -> None:
+        self.obs.unpersist()
 
     def _values(self) -> dict[X.Expr, object]:
         values: dict[X.Expr, object] = {p: F.col(f"__t{k}") for k, p in enumerate(self.theta)}
@@ -56,8 +83,14 @@ class GroupedLaplace:
         """
         v, names = self._values(), [f"__t{k}" for k in range(len(self.theta))]
         point = F.broadcast(self.rows.sparkSession.createDataFrame([tuple(float(t) for t in theta)], ", ".join(f"{n} double" for n in names)))
-        met = self.obs.join(modes, "__g").crossJoin(point)
-        sums = met.groupBy("__g").agg(F.first(self.effect).alias(self.effect), *[F.first(n).alias(n) for n in names], *[F.sum(X.to_column(r, v)).alias(n) for n, (r, _) in parts.items()])
+        at = modes
+        if self.sliced:
+            at = modes.join(F.broadcast(self.large), "__g", "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)).cast("int") - 1))).drop("__slices")
+        met = self.obs.join(at, self.keys).crossJoin(point)
+        firsts = [F.first(self.effect).alias(self.effect), *[F.first(n).alias(n) for n in names]]
+        sums = met.groupBy(*self.keys).agg(*firsts, *[F.sum(X.to_column(r, v)).alias(n) for n, (r, _) in parts.items()])
+        if self.sliced:
+            sums = sums.groupBy("__g").agg(*firsts, *[F.sum(n).alias(n) for n in parts])
         return sums.select("__g", self.effect, *[(F.col(n) + X.to_column(p, v)).alias(n) for n, (_, p) in parts.items()])
 
     def _pair(self, *by: X.Expr) -> tuple[X.Expr, X.Expr]:
@@ -74,38 +107,50 @@ class GroupedLaplace:
     def solve_modes(self, theta: np.ndarray, *, most: int = 25, tol: float = 1e-8) -> DataFrame:
         """(__g, u): the mode of each group by damped Newton steps, all groups at once.
 
-        Modes start where the last call ended. Each round is one aggregation; a step is halved in groups
-        where the previous one raised the objective.
+        Modes start where the last call ended. Each round is one aggregation; a step goes against the
+        gradient whatever the sign of the curvature, is bounded, and is halved in groups where the
+        previous one raised the objective. ``converged`` is false where some group's step was still above
+        the tolerance, or still being halved, after ``most`` rounds.
         """
         modes = self.modes
+        zero = self.obs.select("__g").distinct().withColumn(self.effect, F.lit(0.0))
         if modes is None:
-            modes = self.obs.select("__g").distinct().withColumn(self.effect, F.lit(0.0))
+            modes = zero
         parts = {"f": self._pair(), "g": self._pair(self.u), "h": self._pair(self.u, self.u)}
         if self.is_quadratic():
             # one step is exact from anywhere, and cheap enough not to be kept
-            start = self.obs.select("__g").distinct().withColumn(self.effect, F.lit(0.0))
-            now = self._by_group(start, theta, {k: parts[k] for k in "gh"})
-            return now.select("__g", (-F.col("g") / F.col("h")).alias(self.effect))
-        state = None
+            now = self._by_group(zero, theta, {k: parts[k] for k in "gh"})
+            self.converged = True
+            return now.select("__g", F.try_divide(-F.col("g"), F.col("h")).alias(self.effect))
+        u = F.col(self.effect)
+        newton = -F.col("g") / F.greatest(F.abs("h"), F.abs("g") / (10 * (1 + F.abs(u))), F.lit(1e-300))
+        state, self.converged = None, False
         for _ in range(most):
             now = self._by_group(modes, theta, parts)
             if state is not None:
-                now = now.join(state.select("__g", F.col("f").alias("f0"), F.col(self.effect).alias("u0"), F.col("step").alias("s0")), "__g")
-                worse = F.col("f") > F.col("f0") + 1e-10 * (1 + F.abs("f0"))
-                step = F.when(worse, F.col("s0") / 2).otherwise(-F.col("g") / F.greatest("h", F.lit(1e-10)))
-                now = now.select("__g", F.when(worse, F.col("u0")).otherwise(F.col(self.effect)).alias(self.effect), F.when(worse, F.col("f0")).otherwise(F.col("f")).alias("f"), "g", "h", step.alias("step"))
+                now = now.join(state.select("__g", F.col("f").alias("f0"), u.alias("u0"), F.col("step").alias("s0")), "__g")
+                worse = ~F.coalesce(F.col("f") <= F.col("f0") + 1e-10 * (1 + F.abs("f0")), F.lit(False))
+                now = now.select("__g", F.when(worse, F.col("u0")).otherwise(u).alias(self.effect), F.when(worse, F.col("f0")).otherwise(F.col("f")).alias("f"), F.when(worse, F.col("s0") / 2).otherwise(newton).alias("step"), worse.alias("worse"))
             else:
-                now = now.withColumn("step", -F.col("g") / F.greatest("h", F.lit(1e-10)))
-            state = _kept(now)
-            modes = state.select("__g", (F.col(self.effect) + F.col("step")).alias(self.effect))
-            if state.agg(F.max(F.abs("step") / (1 + F.abs(self.effect)))).first()[0] <= tol:
+                now = now.select("__g", self.effect, "f", newton.alias("step"), F.lit(False).alias("worse"))
+            state = cut(now)
+            modes = state.select("__g", (u + F.col("step")).alias(self.effect))
+            left = state.agg(F.count_if(F.col("worse") | ~F.coalesce(F.abs("step") <= tol * (1 + F.abs(u)), F.lit(False)))).first()[0]
+            if left == 0:
+                self.converged = True
                 break
-        self.modes = _kept(modes)
+        self.modes = cut(modes)
         return self.modes
 
     def evaluate(self, theta: np.ndarray, *, gradient: bool = True, envelope: bool = False) -> tuple[float, np.ndarray]:
-        """(value, gradient): value = f + log det H / 2 - G log(2 pi) / 2 at the modes."""
+        """(value, gradient): value = f + log det H / 2 - G log(2 pi) / 2 at the modes.
+
+        NotConverged where the search for modes didn't end; NotPositiveDefinite where a group's curvature
+        at its mode is not positive, as the approximation is not defined there. Without groups both are 0.
+        """
         modes = self.solve_modes(theta)
+        if not self.converged:
+            raise NotConverged("modes were not found within the rounds allowed")
         u, t = self.u, self.theta
         parts = {"f": self._pair(), "h": self._pair(u, u)}
         if gradient:
@@ -113,13 +158,18 @@ class GroupedLaplace:
             for k, p in enumerate(t):
                 parts |= {f"f{k}": self._pair(p), f"hu{k}": self._pair(u, p), f"hh{k}": self._pair(u, u, p)}
         per = self._by_group(modes, theta, parts)
-        total = [F.sum("f"), F.sum(F.ln("h")), F.count("*")]
+        total = [F.sum("f"), F.sum(F.ln("h")), F.count("*"), F.count_if(~F.coalesce(F.col("h") > 0, F.lit(False)))]
         if gradient:
+            h = F.when(F.col("h") > 0, F.col("h"))
             for k in range(len(t)):
-                du = -F.col(f"hu{k}") / F.col("h")
-                extra = 0.0 if envelope else 0.5 * (F.col(f"hh{k}") + F.col("h3") * du) / F.col("h")
+                du = -F.col(f"hu{k}") / h
+                extra = 0.0 if envelope else 0.5 * (F.col(f"hh{k}") + F.col("h3") * du) / h
                 total.append(F.sum(F.col(f"f{k}") + extra))
-        f, logdet, groups, *g = per.agg(*total).first()
+        f, logdet, groups, bad, *g = per.agg(*total).first()
+        if bad:
+            raise NotPositiveDefinite(f"the curvature of {bad} of {groups} groups is not positive at the mode")
+        if not groups:
+            return 0.0, np.zeros(len(t) if gradient else 0)
         return f + 0.5 * logdet - 0.5 * groups * LOG_2PI, np.array(g, dtype=float)
 
     def mode_sensitivity(self, theta: np.ndarray) -> DataFrame:
@@ -129,16 +179,6 @@ class GroupedLaplace:
         return per.select(F.col("__g").alias(self.group), self.effect, (1 / F.col("h")).alias("conditional_variance"), *[(-F.col(f"hu{k}") / F.col("h")).alias(f"d_{p}") for k, p in enumerate(self.params)])
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the plan reliably: in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
-
-
 @dataclass
 class ChainLaplace:
     """A series u_0..u_{n-1}: ``start`` in u, ``step`` in (u, v) with v the next state, ``observe`` in u and data.
@@ -160,8 +200,8 @@ class ChainLaplace:
         """For each tuple of variables: derivative arrays of start (one), steps (n - 1) and observations (n)."""
         base = {p: float(t) for p, t in zip(self.theta, theta, strict=True)}
         full = {X.data(k): np.asarray(x, float) for k, x in data.items()}
-        cut = {k: x[:-1] for k, x in full.items()}
-        places = ((self.start, base | {self.u: u[:1]} | {k: x[:1] for k, x in full.items()}, 1), (self.step, base | {self.u: u[:-1], self.v: u[1:]} | cut, len(u) - 1), (self.observe, base | {self.u: u} | full, len(u)))
+        early = {k: x[:-1] for k, x in full.items()}
+        places = ((self.start, base | {self.u: u[:1]} | {k: x[:1] for k, x in full.items()}, 1), (self.step, base | {self.u: u[:-1], self.v: u[1:]} | early, len(u) - 1), (self.observe, base | {self.u: u} | full, len(u)))
         known: list[dict] = [{}, {}, {}]
         out = []
         for variables in by:

@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from lakewright.plans.laplace import NotConverged
+from lakewright.plans.linalg import NotPositiveDefinite
+
 Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
@@ -36,6 +39,18 @@ def two_loop(g: np.ndarray, s: list[np.ndarray], y: list[np.ndarray]) -> np.ndar
     return -q
 
 
+def failed_is_infinite(f: Objective) -> Objective:
+    """``f`` with an infinite value where it can't be told: no mode found, or curvature not positive there."""
+
+    def safe(x: np.ndarray) -> tuple[float, np.ndarray]:
+        try:
+            return f(x)
+        except (NotConverged, NotPositiveDefinite):
+            return float("inf"), np.full(len(x), np.nan)
+
+    return safe
+
+
 def lbfgs(f: Objective, x0: np.ndarray, *, memory: int = 20, tol: float = 1e-4, most: int = 100, linesearch: int = 50, c1: float = 1e-4, recoveries: int = 2, switch: tuple[float, Objective] | None = None) -> Result:
     """Minimise ``f``; converged means the gradient norm is at most ``tol`` and nothing else.
 
@@ -47,6 +62,7 @@ def lbfgs(f: Objective, x0: np.ndarray, *, memory: int = 20, tol: float = 1e-4,
     x = np.array(x0, dtype=float)
     exact = switch is None
     value, g = f(x)
+    f, switch = failed_is_infinite(f), switch and (switch[0], failed_is_infinite(switch[1]))
     out = Result(x, value, g, 0, 1, False)
     s: list[np.ndarray] = []
     y: list[np.ndarray] = []
