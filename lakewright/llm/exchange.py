@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.session import cut
+from lakewright.llm.session import cut, partitions
 from lakewright.llm.text import slices, texts_of
 
 #: Text bytes of a chunk; a longer document is a chunk of its own.
@@ -71,6 +71,18 @@ def packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(payload, pa.binary())], names=["chunk", "part", "payload"])
 
 
+#: Packed bytes of documents per key range: what a range's task holds follows from it, whatever the input's size.
+RANGE_BYTES = 4 << 20
+#: The most tasks of an exchange; beyond as many ranges a task answers several, one after another.
+MOST_TASKS = 1 << 14
+
+
+def range_count(staged: DataFrame) -> int:
+    """Key ranges for staged documents: one per ``RANGE_BYTES`` packed bytes, at least one per shuffle partition."""
+    packed = staged.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    return min(1 << 20, max(partitions(staged.sparkSession), -(-packed // RANGE_BYTES)))
+
+
 def ranges(parts: int, bits: int) -> np.ndarray:
     """Least key of each of ``parts`` equal ranges of ``bits``-bit keys."""
     return np.array([-(-(p << bits) // parts) for p in range(parts)], np.uint64)
@@ -136,7 +148,7 @@ def send(keys: np.ndarray, extra: Callable[[slice], bytes], bounds: np.ndarray)
 def answer(sent: DataFrame, parts: int, decide: Callable[[list[np.ndarray], list[bytes]], list[np.ndarray]]) -> DataFrame:
     """Let each key range answer: ``decide`` gets the keys and extras of all chunks, gives an array for each.
 
-    Rows are dealt by range. A task holds one range's packed keys at a time.
+    Rows are dealt by range. A task holds one range's keys at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +157,8 @@ def answer(sent: DataFrame, parts: int, decide: Callable[[list[np.ndarray], list
             given = decide([unpack_keys(k) for k, _ in split], [e for _, e in split])
             yield packed_rows([(r[0], part, pack_array(g)) for r, g in zip(rows, given, strict=True)])
 
-    return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "chunk").mapInArrow(run, CHUNKS)
+    tasks = min(parts, MOST_TASKS)
+    return sent.repartitionById(tasks, F.pmod(F.col("part"), F.lit(tasks))).sortWithinPartitions("part", "chunk").mapInArrow(run, CHUNKS)
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:

@@ -1,67 +1,10 @@
-"""Connected components: of a link table by alternating large and small stars, and inside one task."""
+"""Connected components: of a link table by the core's stars, and inside one task."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lakewright.llm.session import cut, release
-
-
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (u, v). Large: u's larger neighbours go to the least of u and its neighbours;
-    small: u and its smaller neighbours go to the least of them. The least is found by aggregation, so a
-    node with any number of neighbours is no task's burden."""
-    if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): component is the least node that links reach.
-
-    Loops, repeated and two-way links are fine; null ends link nothing; without links there are no rows.
-    Rounds go on until all links are stars around their least node. Each round is checkpointed; only two
-    numbers of it come to the driver.
-    """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    rounds = 0
-    while True:
-        # a node hangs on one other at most, and nothing hangs on what hangs itself
-        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
-        per = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
-        if per.filter("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty():
-            break
-        now = cut(_stars(_stars(now, True), False))
-        rounds += 1
-        if rounds % 4 == 0:
-            release(edges.sparkSession)
-    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return leaves.unionByName(roots)
-
-
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least member of each node's component, for nodes 0 to n - 1 and links (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        np.minimum.at(after, root[i], low)
-        np.minimum.at(after, root[j], low)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
+from lakewright.operators.graph import connected_components, local_roots  # noqa: F401
 
 
 def least_reached(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

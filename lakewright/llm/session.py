@@ -1,35 +1,3 @@
-"""Session helpers: the shared checkpoint folder, plan cutting and shuffle clean-up."""
+"""Session helpers of the core, under the names this package uses."""
 
-from __future__ import annotations
-
-import gc
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    known = sc.getCheckpointDir()
-    if known:
-        return known
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakewright-ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage; survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished phases that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+from lakewright.session import checkpoint_dir, cut, join_counted, partitions, release  # noqa: F401

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.exchange import CHUNKS, answer, chunks_of, join_blobs, meet, pack_array, packed_rows, ranges, send, split_blobs, stage, unpack_array
-from lakewright.llm.session import cut, partitions, release
+from lakewright.llm.exchange import CHUNKS, answer, chunks_of, join_blobs, meet, pack_array, packed_rows, range_count, ranges, send, split_blobs, stage, unpack_array
+from lakewright.llm.session import cut, release
 from lakewright.llm.text import ngram_hashes, ngram_starts, texts_of, word_hashes, word_spans
 
 #: Perfect difference sets: every residue is a difference of two members.
@@ -188,8 +188,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id",
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     extras = [F.col(c).alias(f"x{k}") for k, c in enumerate(keep_columns)]
-    parts = partitions(spark)
     staged = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *extras), 1)
+    parts = range_count(staged)
     first = cut(answer(staged.mapInArrow(_send_anchors(window, ranges(parts, ANCHOR_BITS)), CHUNKS), parts, _shared))
     release(spark)
     second = cut(answer(meet(staged, first).mapInArrow(_send_windows(window, ranges(parts, 64)), CHUNKS), parts, _held_before))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import lakewright.llm.ngram_join as nj
-from lakewright.llm.ngram_join import needed, ngram_jaccard_join, signatures
+from lakewright.llm.ngram_join import HOME, SEEK, index_keys, needed, ngram_jaccard_join
 
 
 def shingles(text, n=5):
@@ -80,12 +80,14 @@ def test_similar_sets_share_a_signature(frequent, monkeypatch):
         if 100 * both < 80 * (nx + ny - both):
             continue
 
-        def sig(s, size):
+        def keys(s, size, role):
             t = np.array(sorted(s, key=lambda v: (code[v], v)), np.uint64)
-            return set(signatures(size, t, np.array([code[int(v)] for v in t], np.uint8), 80, 100).tolist())
+            key, roles = index_keys(size, t, np.array([code[int(v)] for v in t], np.uint8), 80, 100)
+            return set(key[(roles & role) > 0].tolist())
 
         if x != y or own:
-            assert sig(x, nx) & sig(y, ny), (n, nx, ny, both)
+            (small, m), (large, k) = sorted(((x, nx), (y, ny)), key=lambda s: s[1])
+            assert keys(small, m, HOME) & keys(large, k, SEEK), (n, nx, ny, both)
 
 
 @pytest.mark.parametrize("cost", [1, 200])
@@ -93,9 +95,10 @@ def test_tile_links(cost):
     rng = np.random.default_rng(cost)
     for cut_at in (0, 9):
         sets = [np.unique(rng.integers(0, 60 * cost, 40 * cost, dtype=np.uint64) * np.uint64(7)) if rng.random() < 0.3 else np.unique(rng.choice(np.arange(50, dtype=np.uint64), 45, replace=False)) for _ in range(30)]
-        i, j = nj.tile_links(np.array([len(x) for x in sets]), sets, cut_at, 80, 100)
+        i, j, _ = nj.tile_links(np.array([len(x) for x in sets]), sets, cut_at, 80, 100)
         want = {(a, b) for b in range(30) for a in range(b) if (cut_at == 0 or a < cut_at <= b) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
-        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+        pairs = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert pairs == want and len(pairs) == len(i)
 
 
 def test_tiles(spark, monkeypatch):
@@ -121,3 +124,27 @@ def test_edges(spark):
 
 def test_needed():
     assert [needed(n, 80, 100) for n in (1, 4, 5, 10)] == [1, 4, 4, 8]
+
+
+def test_templates_without_links_are_not_compared(spark):
+    """Pages of one template with words of their own: no two link, and next to none are compared."""
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(200)]
+    docs = [(i, " ".join(template + [f"o{i}x{k}" for k in range(33)])) for i in range(600)]
+    docs += [(1000 + i, docs[i][1].replace("t7 ", "u7 ")) for i in rng.sample(range(600), 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = ngram_jaccard_join(df)
+    assert {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in rows.collect()} == brute(docs)
+    n = np.full(600, 229)
+    assert nj.tile_links(n, [np.arange(192, dtype=np.uint64)] * 600, 0, 80, 100)[2] == 0
+    t = np.arange(1, 193, dtype=np.uint64)
+    _, roles = index_keys(229, t, np.full(192, 9, np.uint8), 80, 100)
+    assert not (roles & HOME).any()
+
+
+def test_hot_keys_are_spread(spark):
+    """One text and one near text in very many copies beside a few others."""
+    base = " ".join(f"w{k}" for k in range(60))
+    docs = [(i, base if i % 2 else base + " z") for i in range(700)] + [(5000 + i, f"other {i} " + base[: 40 + i]) for i in range(40)]
+    rows = ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in rows.collect()} == brute(docs)
