@@ -14,7 +14,7 @@ those that reach it exactly are links. Cells are cut into tiles of bounded size.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.graph import connected_components, least_reached
-from lakewright.llm.session import cut
+from lakewright.llm.graph import connected_components, local_roots
+from lakewright.llm.session import cut, join_counted
 from lakewright.llm.vectors import rows_of
 
 #: Classes per cell that the number of cells aims at, and rows of a tile's side.
 CELL, TILE = 1024, 2048
+#: Pairs whose exact cosines are computed at once.
+PAIRS = 1 << 14
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -119,8 +121,10 @@ class Codes:
         return 1 - (a * a + b * b - 2 * a * b * inner) / 2
 
 
-def tile_links(x: np.ndarray, y: np.ndarray | None, centre: np.ndarray, turn: np.ndarray, threshold: float, sureness: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Links (i, j) between rows of x and y, or i < j inside x, and the number of pairs computed again."""
+def tile_links(x: np.ndarray, y: np.ndarray | None, centre: np.ndarray, turn: np.ndarray, threshold: float, sureness: float, mine: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links (i, j) between rows of x and y, or i < j inside x, and the number of pairs computed again.
+
+    ``mine`` says of pairs (i, j) whether they are this tile's to compute; all are without it."""
     a = Codes.of(x, centre, turn)
     b = a if y is None else Codes.of(y, centre, turn)
     other, left, right, again = x if y is None else y, [], [], 0
@@ -130,14 +134,13 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, centre: np.ndarray, turn: np
         if y is None:
             maybe &= np.arange(len(other))[None, :] > np.arange(rows.start, rows.stop)[:, None]
         i, j = np.nonzero(maybe)
+        if mine is not None and len(i):
+            ours = np.concatenate([mine(i[k : k + PAIRS] + lo, j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)])
+            i, j = i[ours], j[ours]
         again += len(i)
         if not len(i):
             continue
-        if len(i) > maybe.size // 32:
-            exact = (x[rows] @ other.T)[i, j]
-        else:
-            exact = np.einsum("ij,ij->i", x[rows][i], other[j])
-        hit = exact >= threshold
+        hit = np.concatenate([np.einsum("ij,ij->i", x[rows][i[k : k + PAIRS]], other[j[k : k + PAIRS]]) for k in range(0, len(i), PAIRS)]) >= threshold
         left.append(i[hit] + lo)
         right.append(j[hit])
     if not left:
@@ -181,15 +184,18 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
     are counted, not compared); component_id: the least id that links reach; kept: whether that is the
     row's own. Every row is indexed and nothing is fitted. ``recall`` is the expected part of pairs right
     at the threshold that meet in some table (closer pairs meet more often), whatever groups the vectors
-    form; ``sureness`` (in standard errors) bounds what codes may miss of them; precision is exact. Vectors that are null, empty, zero or hold null or non-finite components,
+    form; ``sureness`` (in standard errors) bounds what codes may miss of them; precision is exact. A pair
+    is compared in the first table that it shares, and counts for links and components alike. Vectors that are null, empty, zero or hold null or non-finite components,
     and rows of null id, link with nothing and are their own component; vectors of different lengths never
-    link; repeated rows are linked rows of their own; an empty table gives no rows; other columns are not
-    read.
+    link; rows that repeat an id or a vector are linked rows of their own, told apart by their vectors; an
+    empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e")).mapInArrow(_classes, CLASSED))
     usable = rows.filter("digest is not null and vec_id is not null")
-    classes = cut(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v")))
+    # classes of equal vectors, numbered: an id may stand for several vectors, a number stands for one
+    classes = usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("c", F.monotonically_increasing_id()))
     index = {dim: Tables.of(dim, n, threshold, recall, seed) for dim, n in classes.groupBy("dim").count().collect()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,46 +210,55 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, recall: float
                 for lo in range(0, part.num_rows, 2048):
                     some = part.slice(lo, 2048)
                     cells = tables.deal(matrix(some.column(3).to_pylist(), tables.dim), turns[tables.dim])
-                    yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["rep", "copies", "dim", "v", "cells"])
+                    yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), pa.array(cells.tolist(), pa.list_(pa.int64())), some.column(4)], names=["rep", "copies", "dim", "v", "cells", "c"])
 
-    placed = cut(classes.select("rep", "copies", "dim", "v").mapInArrow(assign, "rep long, copies long, dim int, v binary, cells array<long>"))
+    placed = cut(classes.select("rep", "copies", "dim", "v", "c").mapInArrow(assign, "rep long, copies long, dim int, v binary, cells array<long>, c long"))
     placed = placed.withColumn("cell", F.explode("cells"))
-    tiles = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("g"))
-    placed = placed.join(tiles, ["dim", "cell"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("g")))
+    # cells of vectors of one length are numbered apart from those of others
+    placed = placed.withColumn("key", F.struct("dim", "cell"))
+    tiles = cut(placed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("g"), F.count("*").alias("m")))
+    placed = join_counted(placed, tiles, "key", "m", "c", "g").withColumn("side", F.pmod(F.xxhash64("c"), F.col("g")))
     every = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    every = every.select("dim", "cell", F.least("side", "k").alias("ti"), F.greatest("side", "k").alias("tj"), "side", "rep", "copies", "v", "cells")
+    every = every.select("dim", "cell", F.least("side", "k").alias("ti"), F.greatest("side", "k").alias("tj"), "side", "rep", "c", "copies", "v", "cells")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         dim, cell = int(group.dim.iloc[0]), int(group.cell.iloc[0])
-        group = group.sort_values(["side", "rep"], kind="stable").reset_index(drop=True)
+        group = group.sort_values(["side", "rep", "c"], kind="stable").reset_index(drop=True)
         x = matrix(list(group.v), dim)
         centre, turn = x.mean(0), rotation(dim, seed)
         cut_at = int((group.side == group.ti).sum())
-        if group.ti.iloc[0] == group.tj.iloc[0]:
-            i, j, _ = tile_links(x, None, centre, turn, threshold, sureness)
-        elif cut_at in (0, len(group)):
+        cells, inside = np.array(group.cells.tolist()), group.ti.iloc[0] == group.tj.iloc[0]
+        table, after = cell // index[dim].cells, 0 if inside else cut_at
+
+        def mine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # a pair that shares several cells is compared in its first table alone
+            return (cells[a] == cells[b + after]).argmax(1) == table
+
+        if not inside and cut_at in (0, len(group)):
             i = j = np.zeros(0, np.int64)
         else:
-            i, j, _ = tile_links(x[:cut_at], x[cut_at:], centre, turn, threshold, sureness)
-            j = j + cut_at
-        cells = np.array(group.cells.tolist())
+            i, j, _ = tile_links(x if inside else x[:cut_at], None if inside else x[cut_at:], centre, turn, threshold, sureness, mine)
+            j = j + after
         links, copies = np.zeros(len(group), np.int64), group.copies.to_numpy()
-        # a pair that shares several cells counts in its first table
-        for lo in range(0, len(i), 1 << 18):
-            a, b = i[lo : lo + (1 << 18)], j[lo : lo + (1 << 18)]
-            counts = (cells[a] == cells[b]).argmax(1) == cell // index[dim].cells
-            np.add.at(links, a[counts], copies[b[counts]])
-            np.add.at(links, b[counts], copies[a[counts]])
-        rep = group.rep.to_numpy()
-        root = least_reached(rep, i, j)
-        told = (links > 0) | (root != rep)
-        return pd.DataFrame({"rep": rep[told], "links": links[told], "root": root[told]})
-
-    found = cut(every.groupBy("dim", "cell", "ti", "tj").applyInPandas(search, "rep long, links long, root long"))
-    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = classes.select("digest", "rep", "copies").join(linked, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    per = per.select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.col("digest"))).select("vec_id", "digest").join(per, "digest", "left")
-    component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, copies[i])
+        rep, c = group.rep.to_numpy(), group.c.to_numpy()
+        order = np.lexsort((c, rep))
+        rank = np.empty(len(c), np.int64)
+        rank[order] = np.arange(len(c))
+        root = order[local_roots(len(c), rank[i], rank[j])][rank]
+        told = links > 0
+        return pd.DataFrame({"rep": rep[told], "c": c[told], "links": links[told], "root_rep": rep[root[told]], "root": c[root[told]]})
+
+    found = cut(every.groupBy("dim", "cell", "ti", "tj").applyInPandas(search, "rep long, c long, links long, root_rep long, root long"))
+    # nodes are (least id, class), so that the least node of a component has its id
+    parts = connected_components(found.select(F.struct("rep", "c").alias("a"), F.struct(F.col("root_rep").alias("rep"), F.col("root").alias("c")).alias("b")))
+    parts = parts.select(F.col("node.c").alias("c"), F.col("component.rep").alias("component"))
+    linked = found.groupBy("c").agg(F.sum("links").alias("links"))
+    per = classes.select("digest", "rep", "copies", "c").join(linked, "c", "left").join(parts, "c", "left")
+    told = F.struct((F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
+    per = cut(per.select("digest", "copies", told.alias("found")))
+    out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = join_counted(out, per, "digest", "copies", "vec_id", "found")
+    component = F.coalesce("found.c", "vec_id")
+    return out.select("vec_id", F.coalesce("found.n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

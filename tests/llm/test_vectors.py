@@ -72,6 +72,16 @@ def test_near_duplicates_in_a_hot_group_over_many_cells(spark, monkeypatch):
     assert all(got[i].component_id == 0 for i in range(1200))
 
 
+def test_repeated_ids_with_other_vectors_stay_apart(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [0.99, 0.01, 0.0], 0), (3, [0.0, 0.98, 0.02], 0), (4, [0.0, 0.0, 1.0], 0), (4, [0.0, 0.0, 1.0], 0)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, VECTORS)).collect())
+    # each vector of id 1 links with one other; 2 and 3 meet through the id alone, not through a link
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+    rows = [(7, [1.0, 0.0, 0.0], 0), (7, [0.0, 1.0, 0.0], 0), (5, [0.99, 0.01, 0.0], 0), (8, [0.0, 0.98, 0.02], 0)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == [(5, 1, 5, True), (7, 1, 5, False), (7, 1, 7, True), (8, 1, 7, False)]
+
+
 @pytest.mark.parametrize("dim", [1, 2, 16, 64])
 def test_tables_bring_threshold_pairs_together(dim, monkeypatch):
     monkeypatch.setattr(nd, "CELL", 4)
