@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 import lakewright.llm.neardup as nd
+from lakewright.llm import topk
 from lakewright.llm.neardup import Codes, near_duplicates, rotation, unit
-from lakewright.llm.topk import Approximation, exact_scores, top_k
+
+from lakewright.llm.topk import Approximation, top_k
 
 VECTORS = "vec_id long, embedding array<double>, label int"
 
@@ -126,7 +128,7 @@ def test_top_k_like_brute_force(spark, block):
 def test_fewer_than_k_and_huge(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, [3.0], 0), (2, [1e300, 1.0], 0), (3, [1e306, 0.0], 0)], VECTORS).withColumn("score", df_lit())
     got = [(r.rank, r.vec_id, r.score) for r in top_k(df).orderBy("rank").collect()]
-    assert got == [(1, 2, 2**63 - 1), (2, 1, 1024 * 3 * 1024)]
+    assert got == [(1, 2, 2**63 - 1), (2, 3, 2**63 - 1), (3, 1, 1024 * 3 * 1024)]
 
 
 def df_lit():
@@ -138,7 +140,26 @@ def df_lit():
 def test_approximation_bounds():
     rng = random.Random(1)
     x = np.array([[float(rng.randint(-600, 600)) for _ in range(12)] for _ in range(80)])
-    a = Approximation(x)
-    middle, radius = a.bounds(x[:9])
-    exact = np.array([exact_scores(q, x) for q in x[:9]])
-    assert (np.abs(middle - exact) <= radius[:, None]).all()
+    a = Approximation.unpack(Approximation.of(x).pack())
+    lower, upper = a.limits(x[:9])
+    assert ((lower <= x[:9] @ x.T) & (x[:9] @ x.T <= upper)).all()
+
+
+def test_few_exact_vectors_are_read(spark):
+    x = np.random.default_rng(8).standard_normal((3000, 32))
+    df = spark.createDataFrame([(int(i), [float(v) for v in r], 0) for i, r in enumerate(x)], VECTORS)
+    exact, cells = topk.files(df, k=10, scale=1024.0, chunk_rows=256, id_col="vec_id", vector_col="embedding")
+    assert exact.count() == 3000 and cells.selectExpr("sum(octet_length(cells))").first()[0] < 1.3 * 3000 * 32
+    queries = exact.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "x")
+    found = topk.candidates(queries, cells, k=10, block_queries=16)
+    assert 30 * 10 <= found.count() < 0.02 * 30 * 3000
+
+
+def test_equal_vectors_and_repeated_rows(spark):
+    rows = [(i, [1.0, 2.0], 0) for i in range(0, 400)] + [(3, [1.0, 2.0], 1)] * 15 + [(500, [3.0, 0.0], 1), (501, [1.0, 2.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    got = {}
+    for r in top_k(df, query_every=3, k=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert sorted(got[3]) == [(1, 0), (2, 1), (3, 2), (4, 4)] and sorted(got[0]) == [(1, 1), (2, 2), (3, 3), (4, 3)]
+    assert sorted(got[501]) == [(1, 0), (2, 1), (3, 2), (4, 3)]
