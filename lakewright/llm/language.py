@@ -1,10 +1,15 @@
 """Language identification by prediction by partial matching.
 
-One model per language: byte contexts of order 2, 1 and 0 with counts, and escape probabilities of
-method C (distinct symbols over total plus distinct) with exclusion, down to a uniform order -1. The
-statistics are frozen after training, so the exact code length of any symbol in any context is
-tabulated once and a text's code length is a sum of table entries. The language of the shortest code
-wins; the score is its posterior probability under equal priors.
+One model per language over one tree of byte contexts of order 0 to 4: a context is in the tree if some
+language's training texts have it often enough, so contexts are as long as the texts bear out. Escape
+probabilities are those of method C (distinct symbols over total plus distinct) with exclusion, down to a
+uniform order -1. The statistics are frozen after training, so every tree node has the exact code length
+of every symbol under every language; a text's code length is a sum over its bytes, each looked up at the
+deepest node that its context reaches, walking back from it. The language of the shortest code wins; the
+score is its posterior probability under equal priors.
+
+How long codes usually are, in bits a byte, is measured on texts that were not trained on; a text whose
+best code is much longer than that is in none of the languages.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from pyspark.sql import functions as F
 from lakewright.llm.text import BLOCK, slices, texts_of
 
 UNKNOWN = "und"
+#: The longest context, and how often some language must have a context of more than two bytes.
+ORDER, LEAST = 4, 8
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -28,11 +35,19 @@ _LETTER[65:91] = _LETTER[97:123] = True
 
 @dataclass
 class Model:
-    """``symbols``: byte to symbol; ``bits[l]``: code length by (context of two, symbol)."""
+    """``symbols``: byte to symbol. ``child``: by node and symbol, the node of the context that is one symbol
+    longer; nodes from ``nodes`` on are those of walks that have ended, and lead to themselves. ``bits``: by
+    node and symbol, the code length under each language. ``typical``: median bits a byte of each language."""
 
     languages: list[str]
     symbols: np.ndarray
+    child: np.ndarray
     bits: np.ndarray
+    typical: np.ndarray
+
+    @property
+    def alphabet(self) -> int:
+        return int(self.symbols.max()) + 1
 
 
 def _code(data: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -53,8 +68,9 @@ def _ppm(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.where(seen, own, escape * lower / rest), np.broadcast_to(lower, counts.shape))
 
 
-def train(samples: dict[str, list[bytes]]) -> Model | None:
-    """Models of the languages given with texts; None without any."""
+def train(samples: dict[str, list[bytes]], fresh: dict[str, list[bytes]] | None = None) -> Model | None:
+    """Models of the languages given with texts; None without any. ``fresh``: texts of the languages that are
+    not trained on, to measure usual code lengths by; a language without any is measured on its own."""
     languages = sorted(x for x, texts in samples.items() if any(texts))
     if not languages:
         return None
@@ -63,45 +79,80 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
     symbols = np.full(256, len(used), np.uint8)
     symbols[used] = np.arange(len(used))
     a = len(used) + 1  # the last symbol: any byte never seen
-    bits = np.empty((len(languages), a**3), np.float32)
+    # symbols of each language's texts, ORDER spaces before each, and which positions are text
+    gap = np.full(ORDER, 32, np.uint8)
+    text = [symbols[np.concatenate([p for t in joined[x] for p in (gap, t)])].astype(np.int64) for x in languages]
+    real = [np.flatnonzero(np.concatenate([p for t in joined[x] for p in (np.zeros(ORDER, bool), np.ones(len(t), bool))])) for x in languages]
+    at = [np.zeros(len(r), np.int64) for r in real]  # the node of each position, -1 where its walk has ended
+    lower = np.full((len(languages), 1, a), 1.0 / a)
+    tables, links, base, width = [], [], 0, 1
+    for order in range(ORDER + 1):
+        counts = np.zeros((len(languages), width, a))
+        for k, (s, r, node) in enumerate(zip(text, real, at, strict=True)):
+            on = node >= 0
+            counts[k] = np.bincount(node[on] * a + s[r[on]], minlength=width * a).reshape(width, a)
+        lower = _ppm(counts, lower)
+        tables.append(lower)
+        if order == ORDER:
+            break
+        # contexts one symbol longer, by node of this order and the symbol before
+        key = [np.where(node >= 0, node * a + s[r - order - 1], -1) for s, r, node in zip(text, real, at, strict=True)]
+        often = np.max([np.bincount(q[q >= 0], minlength=width * a) for q in key], axis=0)
+        found = np.flatnonzero(often >= (1 if order < 2 else LEAST))
+        number = np.full(width * a + 1, -1)
+        number[found] = np.arange(len(found))
+        links.append((base + found // a, found % a, base + width + np.arange(len(found))))
+        at = [number[q] for q in key]
+        lower = lower[:, found // a]
+        base, width = base + width, len(found)
+        if not width:
+            break
+    p = np.concatenate(tables, 1)
+    nodes = p.shape[1]
+    child = np.repeat(np.arange(2 * nodes, dtype=np.int32)[:, None], a, 1)
+    child[:nodes] += nodes  # a walk ends where there is no longer context
+    for parent, symbol, node in links:
+        child[parent, symbol] = node
+    bits = np.moveaxis(-np.log2(np.maximum(p, 1e-30)), 0, 2).astype(np.float32)
+    model = Model(languages, symbols, child.reshape(-1), np.ascontiguousarray(bits).reshape(nodes * a, len(languages)), np.zeros(len(languages)))
     for k, x in enumerate(languages):
-        c3 = np.zeros(a**3)
-        for t in joined[x]:
-            s = symbols[np.concatenate([[32, 32], t]).astype(np.uint8)].astype(np.int64)
-            c3 += np.bincount((s[:-2] * a + s[1:-1]) * a + s[2:], minlength=a**3)
-        c3 = c3.reshape(a, a, a)
-        c2, c1 = c3.sum(0), c3.sum((0, 1))
-        p = _ppm(c1, np.full(a, 1.0 / a))
-        p = _ppm(c2, p[None, :])
-        p = _ppm(c3, p[None, :, :])
-        bits[k] = -np.log2(np.maximum(p, 1e-30)).reshape(-1)
-    return Model(languages, symbols, bits)
+        texts = [t for t in (fresh or {}).get(x, []) if t] or [t for t in samples[x] if t]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        model.typical[k] = np.median(code_lengths(model, np.frombuffer(b"".join(texts), np.uint8), offsets)[:, k] / np.diff(offsets))
+    return model
 
 
 def code_lengths(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each document under each language: [document, language]."""
-    a, n = int(model.symbols.max()) + 1, len(offsets) - 1
+    a, nodes, n = model.alphabet, len(model.child) // (2 * model.alphabet), len(offsets) - 1
     out = np.zeros((n, len(model.languages)))
     lengths = np.diff(offsets)
     full = np.flatnonzero(lengths > 0)
     if not len(full):
         return out
-    # two spaces come before each text
-    at = np.concatenate([[0], np.cumsum(lengths[full] + 2)])
+    # spaces come before each text
+    at = np.concatenate([[0], np.cumsum(lengths[full] + ORDER)])
     data = np.full(int(at[-1]), 32, np.uint8)
-    data[np.arange(len(buf)) + np.repeat(2 * np.arange(1, len(full) + 1), lengths[full])] = buf
+    data[np.arange(len(buf)) + np.repeat(ORDER * np.arange(1, len(full) + 1), lengths[full])] = buf
     for lo in range(0, len(data), BLOCK):
-        part = _code(data[max(0, lo - 2) : lo + BLOCK], model.symbols).astype(np.int32)
-        idx = (part[:-2] * a + part[1:-1]) * a + part[2:]
-        first = max(0, lo - 2) + 2  # position of idx[0]
-        k0, k1 = int(np.searchsorted(at, first, "right")) - 1, int(np.searchsorted(at, first + len(idx), "left"))
-        if not len(idx):
+        part = _code(data[max(0, lo - ORDER) : lo + BLOCK], model.symbols).astype(np.int64)
+        m = len(part) - ORDER
+        if m <= 0:
             continue
-        doc_from = np.clip(at[k0:k1] + 2 - first, 0, len(idx))
-        doc_to = np.clip(at[k0 + 1 : k1 + 1] - first, 0, len(idx))
-        for k in range(len(model.languages)):
-            sums = np.concatenate([[0.0], np.cumsum(model.bits[k][idx], dtype=np.float64)])
-            out[full[k0:k1], k] += np.where(doc_to > doc_from, sums[doc_to] - sums[np.minimum(doc_from, doc_to)], 0.0)
+        first = max(0, lo - ORDER) + ORDER  # position of the first byte that is coded
+        node = np.zeros(m, np.int64)
+        for back in range(1, ORDER + 1):
+            node = model.child[node * a + part[ORDER - back : ORDER - back + m]]
+        bits = model.bits[np.where(node >= nodes, node - nodes, node) * a + part[ORDER:]]
+        k0, k1 = int(np.searchsorted(at, first, "right")) - 1, int(np.searchsorted(at, first + m, "left"))
+        doc_from = np.clip(at[k0:k1] + ORDER - first, 0, m)
+        doc_to = np.clip(at[k0 + 1 : k1 + 1] - first, 0, m)
+        some = np.flatnonzero(doc_to > doc_from)
+        if len(some):
+            # sums from each text's first byte to its last; what lies between texts is summed and left out
+            edges = np.stack([doc_from[some], doc_to[some]], 1).reshape(-1)
+            sums = np.add.reduceat(np.concatenate([bits, np.zeros((1, bits.shape[1]), np.float32)]), edges, axis=0, dtype=np.float64)[::2]
+            out[full[k0 + some]] += sums
     return out
 
 
@@ -116,15 +167,17 @@ def has_letter(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def predict_batch(model: Model | None, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+def predict_batch(model: Model | None, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, excess) of each document; excess: bits a byte of the best code over the language's usual."""
     n = len(offsets) - 1
     if model is None:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
     bits = code_lengths(model, buf, offsets)
     best = bits.argmin(1)
     score = 1.0 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000.0)).sum(1)
     letter = has_letter(buf, offsets)
-    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)], np.where(letter, score, 0.0)
+    excess = bits[np.arange(n), best] / np.maximum(np.diff(offsets), 1) / np.maximum(model.typical[best], 1e-9)
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)], np.where(letter, score, 0.0), excess
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -132,26 +185,30 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, *, per_language: int = 300, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on at most ``per_language`` whole documents of each language, those of the smallest id hashes.
+def fit(docs: DataFrame, *, per_language: int = 300, fresh: int = 100, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Train on at most ``per_language`` whole documents of each language, those of the smallest id hashes,
+    and measure usual code lengths on at most ``fresh`` more.
 
-    Documents with null text, lang or id and those of the held-out fold are never used. The bound holds
-    what comes to the driver: ``per_language`` texts of each language.
+    Documents with null text, lang or id and those of the held-out fold are never used. The bounds hold
+    what comes to the driver: ``per_language + fresh`` texts of each language.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter((fold("i") != held_out) & F.col("t").isNotNull() & F.col("l").isNotNull())
     # hashes that a language's row count says are too large go before the window
+    both = per_language + fresh
     known = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
     share = F.lit(1.0)
     for name, count in known.items():
-        share = F.when(F.col("l") == name, F.lit(min(1.0, 4.0 * per_language / count))).otherwise(share)
+        share = F.when(F.col("l") == name, F.lit(min(1.0, 4.0 * both / count))).otherwise(share)
     few = rows.select("i", "l").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) <= share * (1 << 30))
     order = Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 30)), "i")
-    ids = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    chosen = rows.join(F.broadcast(ids.select(F.col("i").alias("j")).distinct()), F.col("i") == F.col("j"), "left_semi")
-    samples: dict[str, list[bytes]] = {}
-    for r in chosen.select("l", "t").toLocalIterator():
-        samples.setdefault(r.l, []).append(r.t.encode())
-    return train(samples)
+    ids = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= both)
+    ids = ids.groupBy(F.col("i").alias("j")).agg(F.min("k").alias("k"))
+    chosen = rows.join(F.broadcast(ids), F.col("i") == F.col("j"))
+    trained: dict[str, list[bytes]] = {}
+    measured: dict[str, list[bytes]] = {}
+    for r in chosen.select("l", "t", "k").toLocalIterator():
+        (trained if r.k <= per_language else measured).setdefault(r.l, []).append(r.t.encode())
+    return train(trained, measured)
 
 
 PREDICTED = "doc_id long, lang_pred string, score double"
@@ -171,7 +228,7 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
             buf, at, _ = texts_of(batch.column(1))
             langs, scores = [], []
             for i, j in slices(at):
-                x, s = predict_batch(shared.value, buf[at[i] : at[j]], at[i : j + 1] - at[i])
+                x, s, _ = predict_batch(shared.value, buf[at[i] : at[j]], at[i : j + 1] - at[i])
                 langs += x
                 scores.append(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -179,10 +236,12 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PREDICTED)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, *, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """Rows with an identified language whose posterior is at least ``least_score``, all columns unchanged.
+def keep_identified(docs: DataFrame, model: Model | None, *, least_score: float = 0.3, most_excess: float = 2.0, slack_bits: float = 64.0, text_col: str = "text") -> DataFrame:
+    """Rows in an identified language, all columns unchanged.
 
-    Rows go where ``predict`` would say ``und``. No shuffle: rows are filtered as they pass.
+    Rows go where ``predict`` would say ``und``, where the posterior is below ``least_score`` and where
+    the best code is longer than ``most_excess`` times the language's usual bits a byte and ``slack_bits``
+    more, so that a few odd bytes don't take a short text away. No shuffle: rows are filtered as they pass.
     """
     shared, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
@@ -191,8 +250,11 @@ def keep_identified(docs: DataFrame, model: Model | None, *, least_score: float
             buf, at, _ = texts_of(batch.column(at_text))
             keep = []
             for i, j in slices(at):
-                langs, scores = predict_batch(shared.value, buf[at[i] : at[j]], at[i : j + 1] - at[i])
-                keep += [x != UNKNOWN and s >= least_score for x, s in zip(langs, scores, strict=True)]
+                langs, scores, excess = predict_batch(shared.value, buf[at[i] : at[j]], at[i : j + 1] - at[i])
+                size = np.diff(at[i : j + 1])
+                usual = np.array([0.0 if x == UNKNOWN else shared.value.typical[shared.value.languages.index(x)] for x in langs])
+                long = excess * usual * size > most_excess * usual * size + slack_bits
+                keep += [x != UNKNOWN and s >= least_score and not bad for x, s, bad in zip(langs, scores, long, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

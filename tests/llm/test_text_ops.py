@@ -1,5 +1,5 @@
 import base64
-import hashlib
+import math
 import random
 import zlib
 
@@ -134,19 +134,74 @@ def test_language(spark):
     assert df.select(language.fold("doc_id").alias("f"), "doc_id").filter(F.col("doc_id").isNotNull() & (F.col("f") == 2)).count() >= len(held)
 
 
-def test_code_lengths_are_exact(monkeypatch):
-    model = language.train({"a": [b"abracadabra " * 20], "b": [b"banana bandana " * 20]})
-    a = int(model.symbols.max()) + 1
-    assert np.allclose(np.exp2(-model.bits.astype(float)).reshape(2, a, a, a).sum(-1), 1, atol=1e-4)
-    texts = ["abra banana", "", "q", "banana" * 30]
-    buf, at, _ = text.texts_of(pa.array(texts))
+def by_definition(samples, tested, order, least):
+    """Code lengths in bits by the definition: method C with exclusion over string counts, one symbol at a time."""
+    fold = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in t)
+    texts = {x: [b" " * order + fold(t) for t in ts if t] for x, ts in samples.items()}
+    alphabet = sorted({b for ts in texts.values() for t in ts for b in t}) + [None]
+    counts = {x: {} for x in texts}
+    for x, ts in texts.items():
+        for t in ts:
+            for i in range(order, len(t)):
+                for k in range(order + 1):
+                    at = counts[x].setdefault(t[i - k : i], {})
+                    at[t[i]] = at.get(t[i], 0) + 1
+
+    def known(context):
+        return len(context) < 3 or known(context[1:]) and max(sum(c.get(context, {}).values()) for c in counts.values()) >= least
+
+    def probability(x, symbol, context):
+        seen = counts[x].get(context, {})
+        lower = (lambda s: probability(x, s, context[1:])) if context else (lambda s: 1 / len(alphabet))
+        if not seen:
+            return lower(symbol)
+        n, d = sum(seen.values()), len(seen)
+        if d == len(alphabet):
+            return seen[symbol] / n
+        if symbol in seen:
+            return seen[symbol] / (n + d)
+        return d / (n + d) * lower(symbol) / (1 - sum(lower(s) for s in seen))
+
+    out = []
+    for t in tested:
+        t, bits = b" " * order + fold(t), {x: 0.0 for x in texts}
+        for i in range(order, len(t)):
+            # a byte never seen is the last symbol, in contexts too, where it has no counts
+            context = next(t[i - k : i] for k in range(order, -1, -1) if known(t[i - k : i]) and all(any(t[i - m : i] in c for c in counts.values()) for m in range(1, k + 1)))
+            symbol = t[i] if t[i] in alphabet else None
+            for x in bits:
+                bits[x] -= math.log2(probability(x, symbol, context))
+        out.append([bits[x] for x in sorted(bits)])
+    return np.array(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_code_lengths_are_exact(monkeypatch, seed):
+    rng = random.Random(seed)
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(n)).encode()
+    samples = {"a": [b"Abracadabra " * 4, say("abcr ", 60), b""], "b": [b"banana bandana " * 3, say("abn d", 60)], "c": [b"aab"]}
+    tested = [b"abra banana", b"", b"qq abra", b"BANANA" * 5, b"x", say("abcdnr q", 50), "é a".encode()]
+    monkeypatch.setattr(language, "LEAST", 3)
+    model = language.train(samples)
+    buf, at, _ = text.texts_of(pa.array([t.decode() for t in tested]))
     whole = language.code_lengths(model, buf, at)
-    for k, t in enumerate(texts):
-        s = [int(model.symbols[x]) for x in b"  " + t.encode()]
-        want = [sum(float(model.bits[m][(s[i - 2] * a + s[i - 1]) * a + s[i]]) for i in range(2, len(s))) for m in range(2)]
-        assert np.allclose(whole[k], want, atol=1e-3)
-    monkeypatch.setattr(language, "BLOCK", 7)
-    assert np.allclose(language.code_lengths(model, buf, at), whole)
+    assert np.allclose(whole, by_definition(samples, tested, 4, 3), atol=1e-3)
+    p = np.exp2(-model.bits.astype(float)).reshape(-1, model.alphabet, 3).sum(1)
+    assert np.allclose(p, 1, atol=1e-4)
+    for block in (5, 7, 64):
+        monkeypatch.setattr(language, "BLOCK", block)
+        assert np.allclose(language.code_lengths(model, buf, at), whole)
+
+
+def test_noise_is_in_no_language(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 60))), "x", None) for i in range(400)]
+    noise = [(1000 + i, "".join(rng.choice("klmnopqrstuvwxyz0123456789+/=") for _ in range(300)), None, None) for i in range(20)]
+    odd = [(2000, rows[1][1] + " +49 123", None, None), (2001, "abc", None, None), (2002, "", None, None), (2003, None, None, None)]
+    df = docs(spark, rows + noise + odd)
+    kept = {r.doc_id for r in language.keep_identified(df, language.fit(df, per_language=100)).collect()}
+    assert kept == set(range(400)) | {2000, 2001}
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
@@ -182,4 +237,4 @@ def test_attribution_rules():
     assert token_counts.attribute(ends, bounds, "start")[0].tolist() == [1, 1, 0]
     assert token_counts.attribute(ends, bounds, "majority")[0].tolist() == [1, 1, 0]
     assert token_counts.attribute(ends, bounds, "split")[0] == pytest.approx([0.75, 0.25 + 4 / 6, 2 / 6])
-    assert hashlib.sha256(b"").hexdigest()
+    assert [token_counts.attribute(ends, bounds, r)[0].sum() for r in token_counts.RULES] == pytest.approx([2] * len(token_counts.RULES))
