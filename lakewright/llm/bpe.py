@@ -9,14 +9,17 @@ segmentation. A copy is stored as (parent, removed label, birth), so the automat
 merge at most; arcs of a copy are its parent's. Copies form a tree, numbered in depth-first order, so
 that "was label x removed on the way from the root to state s" is one search in a sorted list.
 
-Encoding a word runs over its symbols from left to right by the transition table (filled as it is
-asked for): for each prefix it keeps the state and label of the one path that spells the prefix.
-Decoding emits the labels of the arcs.
+Encoding a word is one scan over its symbols from left to right. Every prefix has one path that spells
+it, so a prefix is told by the state and last label of its path: the label is the one that ends here and
+whose beginning's state has an arc for it. Labels that end at a symbol are found in a tree of labels read
+backwards, states and arcs in the transition table. Of that table, of states by labels, the rows and
+entries that words reach are filled in when first met. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 #: What the tokenizer file's own pre-tokenizer pattern says.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same over lower-case ASCII.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 SUFFIX = "</w>"
 
 
@@ -38,6 +43,10 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Where a table row keeps its state's number.
+STATE = None
+
+
 class Automaton:
     """The tokenization automaton of a merge list over base symbols."""
 
@@ -63,8 +72,7 @@ class Automaton:
         self.state = state
         self._number(parent, removed, born)
         self.tree = self._tree()
-        #: transition table by state and label: the next state, or -1 where there is no arc
-        self.table: dict[int, dict[str, int]] = {}
+        self.table: dict[int, dict] = {}
 
     def _number(self, parent: list[int], removed: list[str], born: list[int]) -> None:
         children: list[list[int]] = [[] for _ in parent]
@@ -107,68 +115,72 @@ class Automaton:
             label, before = step
 
     def _tree(self) -> dict:
-        """Labels by their symbols: a symbol's (next symbols, the label that ends there or None)."""
+        """Labels by their symbols from the last to the first: a symbol's (symbols before it, the label that begins there or None)."""
         root: dict = {}
         for label in sorted(self.state, key=len):
             symbols = list(label)
             if label.endswith(SUFFIX) and len(label) > len(SUFFIX):
                 symbols = list(label[: -len(SUFFIX) - 1]) + [label[-len(SUFFIX) - 1 :]]
             node = root
-            for x in symbols[:-1]:
+            for x in symbols[:0:-1]:
                 node = node.setdefault(x, ({}, None))[0]
-            node[symbols[-1]] = (node.get(symbols[-1], ({},))[0], label)
+            node[symbols[0]] = (node.get(symbols[0], ({},))[0], label)
         return root
 
-    def path(self, symbols: list[str]) -> list[str]:
-        """Labels of the one path that spells ``symbols`` (each a base symbol, the last with its suffix).
+    def _row(self, s: int) -> dict:
+        """State ``s``'s row of the transition table: the next state's row by label, None where there is no arc."""
+        row = self.table.get(s)
+        if row is None:
+            row = self.table[s] = {STATE: s}
+        return row
 
-        Long labels are tried first. Every prefix has one path only, so a position that leads nowhere
-        is given up for good and the walk takes time in proportion to the word.
-        """
-        n, dead = len(symbols), set()
-        table, has_arc, states = self.table, self.has_arc, self.state
-        at, s, out, rest = 0, 0, [], []
-        while at < n:
-            ends, node, j = [], self.tree, at
-            while j < n:
-                got = node.get(symbols[j])
+    def _arc(self, row: dict, x: str) -> dict | None:
+        to = row[x] = self._row(self.state[x]) if self.has_arc(row[STATE], x) else None
+        return to
+
+    def path(self, symbols: list[str]) -> list[str]:
+        """Labels of the one path that spells ``symbols`` (each a base symbol, the last with its suffix)."""
+        tree, rows, labels, begins = self.tree, [self._row(0)], [""], [0]
+        for end in range(len(symbols)):
+            node, at = tree, end
+            while True:
+                got = node.get(symbols[at])
                 if got is None:
-                    break
+                    raise ValueError("a symbol is missing from the vocabulary")
                 node, x = got
-                j += 1
                 if x is not None:
-                    ends.append((j, x))
-            rest.append((s, ends))
-            while True:
-                s, ends = rest[-1]
-                row = table.get(s)
-                if row is None:
-                    row = table[s] = {}
-                to = -1
-                while ends:
-                    j, x = ends.pop()
-                    if j in dead:
-                        continue
-                    to = row.get(x)
-                    if to is None:
-                        to = row[x] = states[x] if has_arc(s, x) else -1
-                    if to >= 0:
+                    row = rows[at]
+                    to = row[x] if x in row else self._arc(row, x)
+                    if to is not None:
                         break
-                if to >= 0:
-                    break
-                rest.pop()
-                if not rest:
+                at -= 1
+                if at < 0:
                     raise ValueError("a symbol is missing from the vocabulary")
-                dead.add(at)
-                out.pop()
-                at = self._end(out)
-            out.append((j, x))
-            at, s = j, to
-        return [x for _, x in out]
+            rows.append(to)
+            labels.append(x)
+            begins.append(at)
+        out, at = [], len(symbols)
+        while at:
+            out.append(labels[at])
+            at = begins[at]
+        out.reverse()
+        return out
+
+
+class Words(dict):
+    """A bounded cache of (number of tokens, ids, labels) by word."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
 
-    @staticmethod
-    def _end(out: list[tuple[int, str]]) -> int:
-        return out[-1][0] if out else 0
+    def __missing__(self, word: str) -> tuple[int, str, str]:
+        got = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = got
+        return got
 
 
 class WordTokenizer:
@@ -182,28 +194,31 @@ class WordTokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.by_id = {i: x for x, i in self.ids.items()} | {i: x for x, i in self.special.items()}
         self.split = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.word = regex.compile(WORD_PATTERN)
+        self.word, self.ascii = regex.compile(WORD_PATTERN), re.compile(ASCII_PATTERN)
         self.bytes = byte_alphabet()
         self.spec, self.library = spec, None
         self.assigned: set[str] = set()
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.most = cache
+        self.cache = Words(self._of_word, cache)
 
     def labels(self, word: str) -> list[str]:
-        symbols = [self.bytes[b] for b in word.encode()]
+        symbols = [*map(self.bytes.__getitem__, word.encode())]
         symbols[-1] += SUFFIX
         return self.automaton.path(symbols)
 
+    def _of_word(self, word: str) -> tuple[int, str, str]:
+        labels = self.labels(word)
+        return len(labels), " ".join([str(self.ids[x]) for x in labels]), " ".join(labels)
+
     def words(self, segment: str) -> list[str]:
-        if not segment.isascii():
-            new = set(segment) - self.assigned
-            if new:
-                self.assigned |= {c for c in new if unicodedata.category(c) != "Cn"}
-                if not new <= self.assigned:
-                    return self._split_by_library(segment)
-            # lower-casing goes character by character: no final sigma
-            segment = unicodedata.normalize("NFC", segment).replace("Σ", "σ")
-        return self.word.findall(segment.lower())
+        if segment.isascii():
+            return self.ascii.findall(segment.lower())
+        new = set(segment) - self.assigned
+        if new:
+            self.assigned |= {c for c in new if unicodedata.category(c) != "Cn"}
+            if not new <= self.assigned:
+                return self._split_by_library(segment)
+        # lower-casing goes character by character: no final sigma
+        return self.word.findall(unicodedata.normalize("NFC", segment).replace("Σ", "σ").lower())
 
     def _split_by_library(self, segment: str) -> list[str]:
         """Unicode tables differ on characters that Python's has not yet assigned: the library pre-splits such a segment."""
@@ -227,22 +242,15 @@ class WordTokenizer:
         return out + self._known(text[at:])
 
     def _known(self, segment: str) -> list[tuple[int, str, str]]:
-        words, cache = self.words(segment), self.cache
-        out = list(map(cache.get, words))
-        if None in out:
-            for k, got in enumerate(out):
-                if got is None:
-                    w = words[k]
-                    got = cache.get(w)
-                    if got is None:
-                        labels = self.labels(w)
-                        got = (len(labels), " ".join([str(self.ids[x]) for x in labels]), " ".join(labels))
-                        if len(w) <= 64:
-                            if len(cache) >= self.most:
-                                cache.clear()
-                            cache[w] = got
-                    out[k] = got
-        return out
+        return list(map(self.cache.__getitem__, self.words(segment)))
+
+    def encoded(self, text: str) -> tuple[int, str, str]:
+        """(number of tokens, all ids, all labels) of a text."""
+        got = self.pieces(text)
+        if not got:
+            return 0, "", ""
+        counts, ids, labels = zip(*got, strict=True)
+        return sum(counts), " ".join(ids), " ".join(labels)
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.pieces(text or "") for i in ids.split(" ")]
@@ -278,10 +286,10 @@ def encode(docs: DataFrame, spec: dict, *, id_col: str = "doc_id", text_col: str
             for lo in range(0, len(texts), 256):
                 counts, ids, decoded = [], [], []
                 for text in texts.slice(lo, 256).to_pylist():
-                    got = tok.pieces(text) if text else []
-                    counts.append(sum([x[0] for x in got]))
-                    ids.append(" ".join([x[1] for x in got]))
-                    decoded.append(" ".join([x[2] for x in got]))
+                    n, i, d = tok.encoded(text or "")
+                    counts.append(n)
+                    ids.append(i)
+                    decoded.append(d)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ENCODED)
