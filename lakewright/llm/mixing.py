@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.session import cut
@@ -45,16 +45,36 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return rows.mapInArrow(run, "doc_id long, source string, size long")
 
 
+#: Rows that repeat another that one row stands for on the way to being told apart.
+REPEATS = 1000
+
+
+def _told_apart(sized: DataFrame) -> DataFrame:
+    """``sized`` with a number ``copy`` of each row among those equal to it, counted before they are dealt."""
+    counted = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))))
+    blocks = blocks.repartition(F.xxhash64("doc_id", "source", "size", "block"))
+    last = F.least(F.col("n"), (F.col("block") + 1) * REPEATS) - 1
+    return blocks.select("doc_id", "source", "size", F.explode(F.sequence(F.col("block") * REPEATS, last)).alias("copy"))
+
+
 def targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """(source, source_size, n_docs, target) per source.
 
-    Sources by code point, null last, weigh ``weights`` in turn. The level of words per weight rises
-    until no source is above its cap; only a few sums per step come to the driver.
+    Sources by code point, null last, weigh ``weights`` in turn; any number of sources is sorted in ranges.
+    The level of words per weight rises until no source is above its cap; only a few sums per step, and
+    one count per range, come to the driver.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # places over all sources: sorted by ranges, a row's place is that in its partition and what partitions before hold
+    per = cut(per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).cast("int")
+    held = dict(per.groupBy(part.alias("part")).count().collect())
+    before = {p: sum(n for q, n in held.items() if q < p) for p in held}
+    start = F.element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), part) if before else F.lit(0)
+    order = start + F.col("at") - F.shiftleft(part.cast("long"), 33)
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (order % len(weights) + 1).cast("int"))
-    per = cut(per.withColumn("weight", w))
+    per = per.withColumn("weight", w).drop("at")
     most = F.col("source_size") * F.lit(float(cap))
     total, weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
     level = float(total or 0) / weight if weight else 0.0
@@ -128,18 +148,20 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3
     """One row for each row in: doc_id, source, size, source_size, target, copies, taken = copies * size.
 
     Null or empty texts have size 0 and take 0 words; a null source is a source of its own, last in
-    order; null ids and repeated rows are rows like others; an empty table gives an empty one; columns
-    other than the three named are not read. Reruns agree: random numbers come from ``seed``, the source
-    and the chunk, and the order in a chunk is by falling (size, doc_id).
+    order; null ids and repeated rows are rows like others, dealt over chunks however many repeat; an
+    empty table gives an empty one; columns other than the three named are not read. Reruns agree:
+    random numbers come from ``seed``, the source and the chunk, and the order in a chunk is by falling
+    (size, doc_id). In every chunk the ``MANY`` largest documents meet all that come after them at once,
+    the others meet one by one; at any input size a chunk has about ``CHUNK`` documents.
     """
-    sized = cut(sizes(docs, id_col, text_col, source_col))
+    sized = cut(_told_apart(sizes(docs, id_col, text_col, source_col)))
     per = cut(targets(sized, weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = per.select(F.col("source").alias("s"), "source_size", "target", rate.alias("rate"), F.ceil(F.col("n_docs") / F.lit(CHUNK)).alias("chunks"))
     rows = sized.join(plan.select("s", "rate", "chunks"), F.col("source").eqNullSafe(F.col("s")))
     whole = F.floor(F.col("rate") + F.lit(1e-12))
     p = F.greatest(F.lit(0.0), F.col("rate") - whole)
-    rows = rows.select("doc_id", "source", "size", whole.alias("whole"), p.alias("p"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.greatest(F.col("chunks"), F.lit(1))).alias("chunk"), F.lit(None).cast("long").alias("copies"))
+    rows = rows.select("doc_id", "source", "size", whole.alias("whole"), p.alias("p"), F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "copy"), F.greatest(F.col("chunks"), F.lit(1))).alias("chunk"), F.lit(None).cast("long").alias("copies"))
     chunks, level, done = per.agg(F.max(F.ceil(F.col("n_docs") / F.lit(CHUNK)))).first()[0] or 1, 0, []
     while True:
         rows = cut(rows.groupBy("source", "chunk").applyInPandas(_round_group(seed, level), ROWS))
@@ -158,4 +180,4 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3
 
 
 def _uniform(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed + 1), "source", "doc_id", "size"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.pmod(F.xxhash64(F.lit(seed + 1), "source", "doc_id", "size", "chunk"), F.lit(1 << 30)) / F.lit(float(1 << 30))

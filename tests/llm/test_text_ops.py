@@ -1,6 +1,7 @@
 import base64
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -60,6 +61,16 @@ def test_bpe_like_the_library(spark, spec):
     assert bpe.encode(df.limit(0), spec).count() == 0
 
 
+def test_word_patterns_agree(spec):
+    tok, rng = bpe.WordTokenizer(spec), random.Random(4)
+    alphabet = [chr(c) for c in range(128)] + list("éßñçØÿŁжαΣςİ日ªº½٣́ 　")
+    for _ in range(4000):
+        t = "".join(rng.choices(alphabet, k=rng.randint(0, 12)))
+        if all(unicodedata.category(c) != "Cn" for c in t):
+            low = unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
+            assert tok.words(t) == tok.word.findall(low)
+
+
 def test_automaton_by_hand():
     a = bpe.Automaton({"a": 0, "b": 1, "aa": 2, "ab": 3, "aab": 4}, [("a", "a"), ("a", "b"), ("aa", "b")])
     assert a.path(list("aaab")) == ["aa", "ab"] and a.path(list("aab")) == ["aab"] and a.path(list("aaa")) == ["aa", "a"]
@@ -105,6 +116,23 @@ def test_mixing_tree(spark, monkeypatch):
         assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 7
 
 
+def test_mixing_repeated_rows_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(None, "a b c", None, "hot")] * 1000 + [(i, "w " * (1 + i % 5), None, f"s{i % 40:03d}") for i in range(400)]
+    df = docs(spark, rows).repartition(6)
+    apart = mixing._told_apart(mixing.sizes(df))
+    assert apart.filter("source = 'hot'").select("copy").distinct().count() == 1000 and apart.count() == len(rows)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(2)).collect()))
+    hot = [r for r in got if r.source == "hot"]
+    assert len(hot) == 1000 and abs(sum(r.taken for r in hot) - hot[0].target) <= 3
+    level = {s: r.target for r in got for s in [r.source]}
+    free = [s for s in sorted(level) if level[s] < 3 * next(r.source_size for r in got if r.source == s) - 1e-9]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(level))}
+    assert len({round(level[s] / weight[s], 6) for s in free}) == 1
+
+
 def test_pivot_keeps_expectations():
     rng, size = np.random.default_rng(0), np.sort(np.random.default_rng(1).integers(1, 900, 25))[::-1].astype(float)
     p0, total, runs = rng.random(25), np.zeros(25), 4000
