@@ -203,8 +203,10 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 def read_back(pieces: DataFrame) -> DataFrame:
     """Digests of formatted conversations, read from their text and loss mask.
 
-    ``pieces`` come from ``format_conversations`` and still stand in its order. What is hashed is parsed
-    and unescaped from the pieces; nothing comes from the input rows.
+    ``pieces`` come from ``format_conversations``, in any order: they are dealt by conversation and sorted by
+    their places, so they may have been written, read or shuffled meanwhile. A conversation is streamed;
+    pieces that don't follow one another are an error. What is hashed is parsed and unescaped from the
+    pieces; nothing comes from the input rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,10 +221,12 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             for conv, piece, start, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if not started or start == 0:
+                if not started or conv != now:
                     close()
                     now, started, n, chars, total = conv, True, 0, 0, 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
+                if start != total:
+                    raise ValueError("a conversation's pieces don't follow one another")
                 body = piece[len(BOS) :] if start == 0 else piece
                 for turn in split_turns(body):
                     role, text = read_turn(turn)
@@ -239,7 +243,20 @@ def read_back(pieces: DataFrame) -> DataFrame:
         close()
         yield _digests(done)
 
-    return pieces.select("conv_id", "piece", "start", "loss_from", "loss_to").mapInArrow(run, DIGEST)
+    rows = pieces.select("conv_id", "piece", "start", "loss_from", "loss_to")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "start").mapInArrow(run, DIGEST)
+
+
+def conversations(pieces: DataFrame, most_chars: int = 1 << 24) -> DataFrame:
+    """(conv_id, text, loss_spans, attachments): one row per formatted conversation, for those of at most
+    ``most_chars`` code points; longer ones stay in pieces and are an error here."""
+    size = pieces.groupBy("conv_id").agg(F.max(F.col("start") + F.length("piece")).alias("size"))
+    if not size.filter(F.col("size") > most_chars).isEmpty():
+        raise ValueError(f"a conversation has more than {most_chars} code points")
+    turns = F.array_sort(F.collect_list(F.struct("start", "piece", "loss_from", "loss_to", "attachments")))
+    rows = pieces.groupBy("conv_id").agg(turns.alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["loss_from"].isNotNull()), lambda t: F.struct(t["loss_from"].alias("from"), t["loss_to"].alias("to")))
+    return rows.select("conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("text"), spans.alias("loss_spans"), F.flatten(F.transform("turns", lambda t: t["attachments"])).alias("attachments"))
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:
