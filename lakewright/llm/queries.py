@@ -73,10 +73,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lakewright.llm.session import cut
-    from lakewright.llm.warc import read_archives, write_archives
+    import uuid
 
-    return read_archives(cut(write_archives(table(spark, sf_dir, "pages"))))
+    from lakewright.llm.session import checkpoint_dir
+    from lakewright.llm.warc import load_archives, read_archives, save_archives, write_archives
+
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    save_archives(write_archives(table(spark, sf_dir, "pages")), folder)
+    return read_archives(load_archives(spark, folder))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 An archive begins with a skippable frame that holds the dictionary; every record is a frame of its own
 after it, so a record can be read by its offset. The dictionary is trained on a bounded sample of the
 records. Records of equal payloads are stored once: that of the largest page id is a response, others
-are revisits that refer to it.
+are revisits that refer to it. Executors write archives as files, one file each, and read them back.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewright.llm.session import cut, join_counted
+
 #: Fixed values of the published format: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
+SKIPPABLE_MAGIC = 0x184D2A50
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A fixed date makes archives reproducible; pages carry none.
@@ -73,13 +76,12 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def train_dictionary(samples: list[bytes], size: int = 1 << 16) -> bytes:
-    """A dictionary from sample records; empty where there is too little to train on."""
-    if sum(map(len, samples)) < 8 * 1024 or len(samples) < 8:
-        return b""
+    """A dictionary from sample records. Where they are too few or too alike to train on, the end of them is the
+    dictionary as it stands; without any sample there is none."""
     try:
         return zstandard.train_dictionary(min(size, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -106,6 +108,10 @@ def read_archive(data: bytes) -> Iterator[bytes]:
     known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     decompressor, rest = zstandard.ZstdDecompressor(dict_data=known), memoryview(data)[8 + n :]
     while len(rest):
+        magic, n = struct.unpack_from("<II", rest) if len(rest) >= 8 else (0, 0)
+        if SKIPPABLE_MAGIC <= magic < SKIPPABLE_MAGIC + 16:
+            rest = rest[8 + n :]
+            continue
         one = decompressor.decompressobj()
         yield one.decompress(rest)
         rest = rest[len(rest) - len(one.unused_data) :]
@@ -119,15 +125,19 @@ def _plain(pages: DataFrame) -> DataFrame:
 
 
 def sample_records(pages: DataFrame, limit: int = 400, most_bytes: int = 1 << 15) -> list[bytes]:
-    """At most ``limit`` records of at most ``most_bytes`` each, those of the smallest id hashes, to train on.
+    """At most ``limit`` records, those of the smallest id hashes, to train on; of a payload longer than
+    ``most_bytes`` four pieces of a quarter of that, spread over the whole of it.
 
     Tasks first drop the hashes that the row count says can't be among them, so that what they send stays bounded.
     """
-    plain = _plain(pages)
+    plain, piece = _plain(pages), most_bytes // 4
     share = min(1.0, 4.0 * limit / max(1, pages.count()))
     h = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
-    rows = plain.withColumn("h", h).filter((F.col("h") <= F.lit(int(share * (1 << 30)))) & (F.octet_length("html") <= most_bytes)).orderBy("h", "page_id", "url").limit(limit)
-    return [build_record(r.page_id, r.url, r.html.encode(), None, False) for r in rows.collect()]
+    n = F.length("html")
+    spread = F.array(*[F.substring("html", F.lit(1) + F.floor((n - piece) * (k / 3.0)).cast("int"), F.lit(piece)) for k in range(4)])
+    pieces = F.when(n <= most_bytes, F.array("html")).otherwise(spread).alias("pieces")
+    rows = plain.withColumn("h", h).filter(F.col("h") <= F.lit(int(share * (1 << 30)))).select("h", "page_id", "url", pieces).orderBy("h", "page_id", "url").limit(limit)
+    return [x for r in rows.collect() for x in (build_record(r.page_id, r.url, r.pieces[0].encode(), None, False), *(t.encode() for t in r.pieces[1:]))]
 
 
 def write_archives(pages: DataFrame, *, volume_bytes: int = 16 << 20, dictionary: bytes | None = None) -> DataFrame:
@@ -136,12 +146,12 @@ def write_archives(pages: DataFrame, *, volume_bytes: int = 16 << 20, dictionary
     An archive ends once it holds ``volume_bytes``. ``dictionary``: a trained one, else it is trained
     on ``sample_records``. A null html is an empty payload; a null url an unknown target; null page ids
     are smallest, and rows that repeat the largest page id of their payload are all responses; an
-    empty table gives no archives; other columns are not read. Payloads meet by digest: digests are
-    counted before they are dealt and the join splits a digest that many pages share.
+    empty table gives no archives; other columns are not read. Payloads meet by SHA-256: digests are
+    counted before they are dealt, and pages of a digest that very many share stay where they are.
     """
-    plain = _plain(pages).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    best = plain.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1").select("digest", "best")
-    joined = plain.join(best, "digest", "left").select("page_id", "url", "html", "best")
+    plain = _plain(pages).withColumn("digest", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
+    best = cut(plain.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1"))
+    joined = join_counted(plain, best, "digest", "n", "page_id", "best").select("page_id", "url", "html", "best")
     known = train_dictionary(sample_records(pages)) if dictionary is None else dictionary
     shared = pages.sparkSession.sparkContext.broadcast(known)
 
@@ -202,17 +212,37 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(run, RECORDS)
 
 
+#: What Spark's text sink ends a row with: an empty skippable frame, which readers of archives pass over.
+ROW_END = struct.pack("<II", SKIPPABLE_MAGIC, 0).decode("ascii")
+
+
+def save_archives(archives: DataFrame, folder: str) -> None:
+    """Write each archive as a file in ``folder``, from the executors, through Spark's file systems.
+
+    Contents go through the text sink, which writes a string's bytes as they are; a file is one row and
+    ends with an empty skippable frame. An empty table gives a folder without archives.
+    """
+    content = archives.select(F.col("content").cast("string").alias("value"))
+    content.write.option("maxRecordsPerFile", 1).option("lineSep", ROW_END).text(folder)
+
+
+def load_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(content) of the archive files in a folder; empty files are left out."""
+    return spark.read.format("binaryFile").load(folder).filter("length > 0").select("content")
+
+
 def export_archives(archives: DataFrame, folder: str) -> list[str]:
-    """Write archives as files through Spark's own file systems, one at a time from the driver."""
+    """``save_archives``, after which the files are renamed to *.warc.zst; only names come to the driver."""
+    save_archives(archives, folder)
     spark = archives.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf, out = spark.sparkContext._jsc.hadoopConfiguration(), []
-    for row in archives.select("archive", "content").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(folder, row.archive)
-        stream = path.getFileSystem(conf).create(path, True)
-        try:
-            stream.write(bytearray(row.content))
-        finally:
-            stream.close()
-        out.append(str(path))
+    jvm, out = spark.sparkContext._jvm, []
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("part-") and status.getLen():
+            to = jvm.org.apache.hadoop.fs.Path(path, name.rpartition(".")[0] + ".warc.zst")
+            if not fs.rename(status.getPath(), to):
+                raise OSError(f"can't rename {name}")
+            out.append(str(to))
     return out

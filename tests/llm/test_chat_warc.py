@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import random
+import struct
 
 import pytest
 
@@ -44,6 +45,11 @@ def test_conversations(spark):
         assert r.start == len(whole.get(r.conv_id, ""))
         whole[r.conv_id] = whole.get(r.conv_id, "") + r.piece
     assert all(got[c].formatted_chars == len(t) for c, t in whole.items())
+    assert {r.conv_id: r.text for r in chat.conversations(pieces).collect()} == whole
+    with pytest.raises(ValueError):
+        chat.conversations(pieces, most_chars=10)
+    mixed = chat.read_back(pieces.repartition(3, "role").sortWithinPartitions("n")).collect()
+    assert {r.conv_id: r for r in mixed} == got
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
@@ -55,6 +61,8 @@ def test_typed_parts(spark):
     assert [(a.ref, a.kind, a.tokens) for a in first.attachments] == [("i1", "image", 256), ("a1", "audio", 75), ("d1", "document", 768)]
     assert [first.piece[a["at"] :].startswith(chat.PLACEHOLDERS[a.kind]) for a in first.attachments] == [True] * 3
     assert (first.piece + second.piece)[second.loss_from : second.loss_to] == "ok"
+    one = chat.conversations(chat.format_conversations(df, parts_json=True)).first()
+    assert one.text == first.piece + second.piece and [one.text[x["from"] : x["to"]] for x in one.loss_spans] == ["ok"] and [x.ref for x in one.attachments] == ["i1", "a1", "d1"]
     with pytest.raises(ValueError):
         chat.parts_of([{"type": "video"}])
 
@@ -79,11 +87,22 @@ def test_archives(spark, tmp_path):
         new = i == top
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if new else "revisit", None if new else top))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    paths = warc.export_archives(archives, f"file://{tmp_path}")
-    files = sorted(tmp_path.glob("*.zst"))
+    paths = warc.export_archives(archives, f"file://{tmp_path}/out")
+    files = sorted((tmp_path / "out").glob("*.warc.zst"))
     assert len(paths) == len(files) > 1
     assert sum(1 for f in files for _ in warc.read_archive(f.read_bytes())) == len(rows)
-    assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
+    assert sorted(map(str, map(tuple, warc.read_archives(warc.load_archives(spark, f"file://{tmp_path}/out")).collect()))) == sorted(map(str, want))
+    warc.save_archives(warc.write_archives(df.limit(0)), f"file://{tmp_path}/none")
+    assert warc.read_archives(warc.load_archives(spark, f"file://{tmp_path}/none")).count() == 0
+
+
+def test_few_and_long_records_have_a_dictionary(spark):
+    df = spark.createDataFrame([(1, "u", "x" * 100, "d", 1), (2, None, "".join(f"<p>{k}</p>" for k in range(40_000)), "d", 1)], PAGES)
+    samples = warc.sample_records(df)
+    assert len(samples) == 5 and max(map(len, samples)) < 9000 and any(b"<p>39999</p>" in x for x in samples)
+    assert warc.train_dictionary(samples[:2]) and warc.train_dictionary([]) == b""
+    contents = [bytes(r.content) for r in warc.write_archives(df).collect()]
+    assert all(struct.unpack_from("<II", c)[1] > 0 for c in contents) and sum(len(list(warc.read_archive(c))) for c in contents) == 2
 
 
 def test_dictionary_helps():
