@@ -22,7 +22,8 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with an identified language: null and letterless texts, and those of no likely language, go."""
+    """Keep documents with an identified language: null and letterless texts go, and those whose code is much
+    longer than usual in the likeliest language (noise, keys, numbers), or of no likely language at all."""
     return language.keep_identified(docs.select(*COLUMNS), language.fit(docs), least_score=LEAST_SCORE)
 
 
@@ -77,14 +78,21 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's input goes once its result is written."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: SQL can't express language models, tokenization or random rounding; the stages are tested by brute force.
 ORACLE_SQL = None
