@@ -43,6 +43,9 @@ KEY_BITS = 40
 FREQUENT = 3
 #: Bytes of sets on a side of a tile.
 TILE_BYTES = 8 << 20
+#: A family of more classes than this is dealt over several sides, up to ``SIDES``, so that tasks share it;
+#: beyond that bytes alone tell their number.
+SIDE, SIDES = 100, 16
 #: Token groups per token of a size class.
 GROUPS = 0.05
 #: Ratio of the sizes at the ends of a band.
@@ -374,7 +377,7 @@ def ngram_jaccard_join(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     release(spark)
     members = family.select(F.col("node").alias("cid"), F.col("component").alias("family")).join(sets, "cid").select("family", "cid", "first", "n", "copies", "body")
     members = cut(members)
-    sides = cut(members.groupBy("family").agg(F.ceil(F.sum(F.octet_length("body")) / F.lit(TILE_BYTES)).alias("g"), F.count("*").alias("m")))
+    sides = cut(members.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.octet_length("body")) / F.lit(TILE_BYTES)), F.least(F.ceil(F.count("*") / F.lit(SIDE)), F.lit(SIDES).cast("long"))).alias("g"), F.count("*").alias("m")))
     placed = join_counted(members, sides, "family", "m", "cid", "g").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("g")))
     tiled = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     tiled = tiled.select("family", F.least("side", "k").alias("ti"), F.greatest("side", "k").alias("tj"), "side", "cid", "first", "n", "copies", "body")
