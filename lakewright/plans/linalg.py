@@ -1,11 +1,12 @@
 """Structured symmetric matrices on the driver or in a grouped-map task: factor, solve, determinant, inverse entries.
 
-One back-end each for diagonal, tridiagonal, banded and dense matrices, chosen by ``backend_for``; a
-general sparse matrix is treated as dense up to ``DENSE_SIDE``.
+One back-end each for diagonal, tridiagonal, banded, sparse and dense matrices, chosen by ``backend_for``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,42 +46,81 @@ class Diagonal:
 
 @dataclass
 class Tridiagonal:
+    """Symmetric, diagonal d [..., n] and off-diagonal e [..., n - 1]; leading axes are matrices factored at once.
+
+    Every other unknown is eliminated at a time, so a level is a few array operations and there are about
+    log2(n) levels; pivots of all levels are positive just where the matrix is positive definite.
+    """
+
     d: np.ndarray
     e: np.ndarray
-    pivots: np.ndarray = field(init=False)
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False, repr=False)
 
     def __post_init__(self):
-        p = np.empty(len(self.d))
-        last = 0.0
-        for k, (a, b) in enumerate(zip(self.d.tolist(), [0.0, *self.e.tolist()], strict=True)):
-            last = a - (b * b / last if k else 0.0)
-            if not last > 0:
+        d, e, self.levels = np.asarray(self.d, float), np.asarray(self.e, float), []
+        while d.shape[-1] > 1:
+            # unknown 2k + 1 goes; left and right are its couplings to 2k and 2k + 2
+            pivot, left, right = d[..., 1::2], e[..., 0::2], e[..., 1::2]
+            if not (pivot > 0).all():
                 raise NotPositiveDefinite("a pivot is not positive")
-            p[k] = last
-        self.pivots = p
+            self.levels.append((pivot, left, right))
+            rest = d[..., 0::2].copy()
+            k = right.shape[-1]
+            rest[..., : left.shape[-1]] -= left * left / pivot
+            rest[..., 1 : k + 1] -= right * right / pivot[..., :k]
+            d, e = rest, -(left[..., :k] * right / pivot[..., :k])[..., : rest.shape[-1] - 1]
+        if not (d > 0).all():
+            raise NotPositiveDefinite("a pivot is not positive")
+        self.last = d
 
-    def logdet(self) -> float:
-        return float(np.log(self.pivots).sum())
+    def logdet(self) -> float | np.ndarray:
+        out = np.log(self.last).sum(-1) + sum(np.log(p).sum(-1) for p, _, _ in self.levels)
+        return float(out) if out.ndim == 0 else out
 
     def solve(self, b: np.ndarray) -> np.ndarray:
-        x = np.array(b, dtype=float)
-        low = self.e / self.pivots[:-1]
-        for k in range(1, len(x)):
-            x[k] -= low[k - 1] * x[k - 1]
-        x = x / (self.pivots if x.ndim == 1 else self.pivots[:, None])
-        for k in range(len(x) - 2, -1, -1):
-            x[k] -= low[k] * x[k + 1]
+        """Solutions for b of shape [n], [n, m] for one matrix, or [..., n] for several."""
+        b = np.asarray(b, float)
+        if np.ndim(self.d) == 1 and b.ndim == 2:
+            each = Tridiagonal.__new__(Tridiagonal)
+            each.d, each.e, each.last = self.d[None], self.e[None], self.last[None]
+            each.levels = [(p[None], x[None], y[None]) for p, x, y in self.levels]
+            return each.solve(b.T).T
+        held = []
+        for pivot, left, right in self.levels:
+            odd, rest, k = b[..., 1::2], b[..., 0::2].copy(), right.shape[-1]
+            held.append(odd)
+            rest[..., : left.shape[-1]] -= left / pivot * odd
+            rest[..., 1 : k + 1] -= right / pivot[..., :k] * odd[..., :k]
+            b = rest
+        x = b / self.last
+        for (pivot, left, right), odd in zip(reversed(self.levels), reversed(held), strict=True):
+            k = right.shape[-1]
+            mine = odd - left * x[..., : left.shape[-1]]
+            mine[..., :k] -= right * x[..., 1 : k + 1]
+            both = np.empty((*x.shape[:-1], x.shape[-1] + odd.shape[-1]))
+            both[..., 0::2], both[..., 1::2] = x, mine / pivot
+            x = both
         return x
 
     def inverse_band(self) -> tuple[np.ndarray, np.ndarray]:
-        """Diagonal and first off-diagonal of the inverse, backwards through the factor."""
-        n = len(self.d)
-        low = self.e / self.pivots[:-1]
-        diag, off = np.empty(n), np.empty(max(n - 1, 0))
-        diag[-1] = 1 / self.pivots[-1]
-        for k in range(n - 2, -1, -1):
-            off[k] = -low[k] * diag[k + 1]
-            diag[k] = 1 / self.pivots[k] - low[k] * off[k]
+        """Diagonal and first off-diagonal of the inverse, back through the levels."""
+        diag, off = 1 / self.last, np.zeros((*self.last.shape[:-1], 0))
+        for pivot, left, right in reversed(self.levels):
+            k, m = right.shape[-1], left.shape[-1]
+            r = np.zeros_like(left)
+            r[..., :k] = right
+            over = np.zeros_like(left)  # between the neighbours of what was eliminated
+            over[..., :k] = off[..., :k]
+            beyond = np.zeros_like(left)
+            beyond[..., :k] = diag[..., 1 : k + 1]
+            before = diag[..., :m]
+            to_left, to_right = -(left * before + r * over) / pivot, -(left * over + r * beyond) / pivot
+            own = 1 / pivot - (left * to_left + r * to_right) / pivot
+            all_diag = np.empty((*diag.shape[:-1], diag.shape[-1] + m))
+            all_off = np.empty((*diag.shape[:-1], diag.shape[-1] + m - 1))
+            all_diag[..., 0::2], all_diag[..., 1::2] = diag, own
+            all_off[..., 0::2], all_off[..., 1::2] = to_left, to_right[..., : all_off.shape[-1] // 2]
+            diag, off = all_diag, all_off
         return diag, off
 
     def inverse_diagonal(self) -> np.ndarray:
@@ -89,44 +129,202 @@ class Tridiagonal:
 
 @dataclass
 class Banded:
-    """bands[k][i] is the entry (i + k, i)."""
+    """bands[k][i] is the entry (i + k, i). Factored as a block tridiagonal matrix with blocks as wide as the band."""
 
     bands: list[np.ndarray]
-    pivots: np.ndarray = field(init=False)
-    low: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        n, w = len(self.bands[0]), len(self.bands) - 1
-        low, pivots = np.zeros((w + 1, n)), np.empty(n)
-        for j in range(n):
-            first = max(0, j - w)
-            past = np.array([low[j - k, k] for k in range(first, j)])
-            p = self.bands[0][j] - (past * past * pivots[first:j]).sum()
-            if not p > 0:
+        self.n, w = len(self.bands[0]), max(len(self.bands) - 1, 1)
+        self.w, self.count = w, -(-self.n // w)
+        padded = self.count * w
+        # rows of a dense strip: row i holds entries (i, i - w .. i + w), unknowns beyond n alone with 1
+        strip = np.zeros((padded, 2 * w + 1))
+        strip[:, w] = 1.0
+        for k, band in enumerate(self.bands):
+            x = np.asarray(band, float)[: max(self.n - k, 0)]
+            strip[: len(x), w + k] = x
+            strip[k : k + len(x), w - k] = x
+        self.factors: list[np.ndarray] = []
+        self.below: list[np.ndarray] = []
+        i = np.arange(w)
+        for b in range(self.count):
+            rows = strip[b * w : (b + 1) * w]
+            own = rows[i[:, None], np.clip(i[None, :] - i[:, None] + w, 0, 2 * w)]
+            if b:
+                at = i[None, :] - w - i[:, None] + w
+                coupling = np.where(at >= 0, rows[i[:, None], np.clip(at, 0, 2 * w)], 0.0)
+                half = _lower_solve(self.factors[-1], coupling.T)
+                self.below.append(half.T)
+                own = own - half.T @ half
+            try:
+                self.factors.append(np.linalg.cholesky(own))
+            except np.linalg.LinAlgError as e:
+                raise NotPositiveDefinite(str(e)) from e
+
+    def logdet(self) -> float:
+        return float(2 * sum(np.log(np.diagonal(f)).sum() for f in self.factors))
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        x = np.zeros((self.count * self.w, *np.shape(b)[1:]))
+        x[: self.n] = b
+        x = x.reshape(self.count, self.w, -1)
+        for k, f in enumerate(self.factors):
+            x[k] = _lower_solve(f, x[k] - (self.below[k - 1] @ x[k - 1] if k else 0.0))
+        for k in range(self.count - 1, -1, -1):
+            x[k] = np.linalg.solve(self.factors[k].T, x[k] - (self.below[k].T @ x[k + 1] if k + 1 < self.count else 0.0))
+        return x.reshape(self.count * self.w, *np.shape(b)[1:])[: self.n]
+
+    def inverse_diagonal(self) -> np.ndarray:
+        out, own, last = np.empty((self.count, self.w)), np.eye(self.w), None
+        for k in range(self.count - 1, -1, -1):
+            root = _lower_solve(self.factors[k], own)
+            block = root.T @ root
+            if last is not None:
+                through = self.below[k] @ root
+                block = block + through.T @ last @ through
+            out[k], last = np.diagonal(block), block
+        return out.reshape(-1)[: self.n]
+
+
+def _lower_solve(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(factor, b)
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """Elimination order and factor structure of a symmetric sparsity pattern: worked out once, used for any values."""
+
+    n: int
+    order: np.ndarray  # unknowns in the order of elimination
+    place: np.ndarray  # of each unknown in it
+    below: tuple[np.ndarray, ...]  # by place: later places that its factor column reaches
+
+    @classmethod
+    def of(cls, n: int, i: np.ndarray, j: np.ndarray) -> Pattern:
+        """By least degree: the unknown of fewest remaining neighbours goes next, and its neighbours become one clique."""
+        near: list[set[int]] = [set() for _ in range(n)]
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if a != b:
+                near[a].add(b)
+                near[b].add(a)
+        heap = [(len(x), k) for k, x in enumerate(near)]
+        heapq.heapify(heap)
+        place, order, reach = np.full(n, -1), [], []
+        while heap:
+            size, k = heapq.heappop(heap)
+            if place[k] >= 0 or size != len(near[k]):
+                continue
+            place[k] = len(order)
+            order.append(k)
+            reach.append(near[k])
+            for x in near[k]:
+                near[x] |= near[k]
+                near[x] -= {k, x}
+                heapq.heappush(heap, (len(near[x]), x))
+        return cls(n, np.array(order, int), place, tuple(np.sort(place[list(r)]).astype(int) if r else np.zeros(0, int) for r in reach))
+
+
+#: Patterns by what they are of, and how often one was found again or made.
+_patterns: dict[bytes, Pattern] = {}
+PATTERN_USES = {"found": 0, "made": 0}
+MOST_PATTERNS = 64
+
+
+def pattern_for(n: int, i: np.ndarray, j: np.ndarray) -> Pattern:
+    """The pattern of entries (i, j), kept for the next matrix of the same pattern."""
+    key = hashlib.sha256(np.concatenate([[n], np.unique(np.minimum(i, j).astype(np.int64) * n + np.maximum(i, j))]).tobytes()).digest()
+    if key in _patterns:
+        PATTERN_USES["found"] += 1
+        return _patterns[key]
+    PATTERN_USES["made"] += 1
+    if len(_patterns) >= MOST_PATTERNS:
+        _patterns.clear()
+    _patterns[key] = Pattern.of(n, i, j)
+    return _patterns[key]
+
+
+@dataclass
+class Sparse:
+    """L D L' of a symmetric matrix given by entries (i, j, value), each of a pair (i, j) and (j, i) at most once or both."""
+
+    n: int
+    i: np.ndarray
+    j: np.ndarray
+    value: np.ndarray
+
+    def __post_init__(self):
+        p = self.pattern = pattern_for(self.n, self.i, self.j)
+        a, b = p.place[self.i], p.place[self.j]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        key, first = np.unique(low * self.n + high, return_index=True)
+        value = np.asarray(self.value, float)[first]
+        self.pivots = np.zeros(self.n)
+        columns = [np.zeros(len(x)) for x in p.below]
+        for k, v in zip(key.tolist(), value.tolist(), strict=True):
+            c, r = divmod(k, self.n)
+            if c == r:
+                self.pivots[c] = v
+            else:
+                columns[c][np.searchsorted(p.below[c], r)] = v
+        for c, (rows, x) in enumerate(zip(p.below, columns, strict=True)):
+            d = self.pivots[c]
+            if not d > 0:
                 raise NotPositiveDefinite("a pivot is not positive")
-            pivots[j] = p
-            for k in range(1, min(w, n - 1 - j) + 1):
-                i, lo = j + k, max(0, j + k - w)
-                s = sum(low[i - m, m] * low[j - m, m] * pivots[m] for m in range(lo, j))
-                low[k, j] = (self.bands[k][j] - s) / p
-        self.pivots, self.low = pivots, low
+            l = x / d
+            columns[c] = l
+            self.pivots[rows] -= l * x
+            for q in range(len(rows) - 1):
+                to = rows[q]
+                columns[to][np.searchsorted(p.below[to], rows[q + 1 :])] -= l[q + 1 :] * x[q]
+        self.columns = columns
 
     def logdet(self) -> float:
         return float(np.log(self.pivots).sum())
 
     def solve(self, b: np.ndarray) -> np.ndarray:
-        x, n, w = np.array(b, dtype=float), len(self.pivots), len(self.bands) - 1
-        for j in range(n):
-            for k in range(1, min(w, n - 1 - j) + 1):
-                x[j + k] -= self.low[k, j] * x[j]
+        x = np.array(b, float)[self.pattern.order]
+        for c, (rows, l) in enumerate(zip(self.pattern.below, self.columns, strict=True)):
+            if len(rows):
+                x[rows] -= np.multiply.outer(l, x[c])
         x = x / (self.pivots if x.ndim == 1 else self.pivots[:, None])
-        for j in range(n - 1, -1, -1):
-            for k in range(1, min(w, n - 1 - j) + 1):
-                x[j] -= self.low[k, j] * x[j + k]
-        return x
+        for c in range(self.n - 1, -1, -1):
+            rows = self.pattern.below[c]
+            if len(rows):
+                x[c] -= self.columns[c] @ x[rows]
+        return x[self.pattern.place]
+
+    def selected_inverse(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(diagonal, entries below it) of the inverse where the factor has entries, by places, last to first."""
+        below, diag = self.pattern.below, np.empty(self.n)
+        out: list[np.ndarray] = [np.zeros(0)] * self.n
+        for c in range(self.n - 1, -1, -1):
+            rows, l = below[c], self.columns[c]
+            if len(rows):
+                z = np.empty((len(rows), len(rows)))
+                for q, r in enumerate(rows):
+                    z[q, q] = diag[r]
+                    z[q, q + 1 :] = z[q + 1 :, q] = out[r][np.searchsorted(below[r], rows[q + 1 :])]
+                out[c] = -z @ l
+            diag[c] = 1 / self.pivots[c] - l @ out[c]
+        return diag, out
 
     def inverse_diagonal(self) -> np.ndarray:
-        return np.diag(self.solve(np.eye(len(self.pivots))))
+        return self.selected_inverse()[0][self.pattern.place]
+
+    def trace_product(self, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> float:
+        """trace(A**-1 B) for a symmetric B with entries, (i, j) and (j, i) both given, inside A's factor pattern."""
+        diag, out = self.selected_inverse()
+        a, b = self.pattern.place[i], self.pattern.place[j]
+        total = 0.0
+        for low, high, v in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), np.asarray(value).tolist(), strict=True):
+            if low == high:
+                total += diag[low] * v
+                continue
+            at = int(np.searchsorted(self.pattern.below[low], high))
+            if at == len(self.pattern.below[low]) or self.pattern.below[low][at] != high:
+                raise IndexError("an entry is outside the factor's pattern")
+            total += out[low][at] * v
+        return total
 
 
 @dataclass
@@ -159,8 +357,8 @@ def bandwidth(a: np.ndarray, tol: float = 1e-12) -> int:
     return int(np.abs(i - j).max()) if len(i) else 0
 
 
-def backend_for(a: np.ndarray, *, max_band: int = 64, dense_fill: float = 0.25) -> Diagonal | Tridiagonal | Banded | Dense:
-    """The back-end by structure: diagonal, tridiagonal, narrow band, else dense."""
+def backend_for(a: np.ndarray, *, max_band: int = 64, dense_fill: float = 0.25, small: int = 16) -> Diagonal | Tridiagonal | Banded | Sparse | Dense:
+    """The back-end by structure: diagonal, tridiagonal, narrow band, small or full and so dense, else sparse."""
     w, fill = bandwidth(a), np.count_nonzero(np.abs(a) > 1e-12) / max(a.size, 1)
     if w == 0:
         return Diagonal(np.diag(a).copy())
@@ -168,6 +366,9 @@ def backend_for(a: np.ndarray, *, max_band: int = 64, dense_fill: float = 0.25)
         return Tridiagonal(np.diag(a).copy(), np.diag(a, -1).copy())
     if w <= max_band and fill < dense_fill:
         return Banded([np.diag(a, -k).copy() for k in range(w + 1)])
+    if len(a) > small and fill < dense_fill:
+        i, j = np.nonzero(np.abs(np.tril(a)) > 1e-12)
+        return Sparse(len(a), i, j, a[i, j])
     return Dense(a)
 
 
