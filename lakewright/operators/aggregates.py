@@ -144,3 +144,11 @@ def derived_series(rows: DataFrame, by: list[str], year: str, log_state: str, ca
     b = F.exp(log_state)
     out = rows.withColumn("biomass", b).withColumn("index_fit", b * F.exp(F.lit(log_q)))
     return out.withColumn("depletion", F.col("biomass") / F.first("biomass").over(w)).withColumn("fishing_rate", F.try_divide(F.col(catch), F.col("biomass")))
+
+
+def largest_holding(rows: DataFrame, by: list[str], value: str, order: str, shares: dict[str, float]) -> DataFrame:
+    """Per group, how many of the largest absolute values hold each share of their sum."""
+    w = Window.partitionBy(*by)
+    run = w.orderBy(F.desc("__a"), order)
+    out = rows.withColumn("__a", F.abs(value)).withColumn("__run", F.sum("__a").over(run.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("__a").over(w)).withColumn("__k", F.row_number().over(run))
+    return out.groupBy(*by).agg(*[F.min(F.when(F.col("__run") >= t - 1e-12, F.col("__k"))).cast("long").alias(n) for n, t in shares.items()])

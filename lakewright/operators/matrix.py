@@ -208,6 +208,12 @@ def threshold_limits(coo: DataFrame, absolute: tuple[float, ...] = (1e-1, 1e-2,
     return _retained(coo, "threshold", [(F.lit(t), F.abs("value") >= t) for t in absolute])
 
 
+def relative_threshold_limits(coo: DataFrame, shares: tuple[float, ...] = (1e-1, 1e-2, 1e-3, 1e-4, 1e-5, 1e-6)) -> DataFrame:
+    """The same for entries of at least a share of the largest absolute value."""
+    top = coo.agg(F.max(F.abs("value")).alias("__top"))
+    return _retained(coo.crossJoin(F.broadcast(top)), "threshold", [(F.lit(t), F.abs("value") >= t * F.col("__top")) for t in shares])  # one row
+
+
 def _retained(coo: DataFrame, name: str, cases: list[tuple[Column, Column]]) -> DataFrame:
     v = F.col("value")
     each = [F.struct(label.alias(name), F.count_if(keep).alias("kept"), F.try_divide(F.sum(F.when(keep, F.abs(v)).otherwise(0.0)), F.sum(F.abs(v))).alias("share"), F.sqrt(F.try_divide(F.sum(F.when(keep, 0.0).otherwise(v * v)), F.sum(v * v))).alias("frobenius_error")) for label, keep in cases]
@@ -230,7 +236,7 @@ def top_pairs(cov: DataFrame, k: int = 10) -> DataFrame:
 
 
 def geometry(hessian: DataFrame) -> DataFrame:
-    """Column norms, diagonal and share of the squared norm by parameter."""
+    """Column norms, diagonal and each norm's share of their sum by parameter."""
     per = hessian.groupBy("j").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("norm"), F.max(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("diagonal"))
     return per.withColumn("share", F.try_divide("norm", F.sum("norm").over(Window.partitionBy())))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,10 +21,17 @@ def unpivot(rows: DataFrame, ids: list[str], values: list[str], name: str = "par
     return rows.unpivot(ids, values, name, value)
 
 
-def unpivot_arrays(rows: DataFrame, ids: list[str], array: str, names: list[str], name: str = "quantity", value: str = "value") -> DataFrame:
-    """One row per element of an array column, named by position."""
+def unpivot_arrays(rows: DataFrame, ids: list[str], array: str, names: list[str] | str, name: str = "quantity", value: str = "value") -> DataFrame:
+    """One row per element of an array column, named by position: from a list, or a prefix with the position from 0."""
     out = rows.select(*ids, F.posexplode(array).alias("__p", value))
-    return out.select(*ids, F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__p") + 1).alias(name), value)
+    label = F.concat(F.lit(names), F.col("__p").cast("string")) if isinstance(names, str) else F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__p") + 1)
+    return out.select(*ids, label.alias(name), value)
+
+
+def gather(values: Column, positions: list[int]) -> list[Column]:
+    """Elements of an array by position from 0; a position outside it is an error, not a null."""
+    inside = lambda k: F.when((F.size(values) > k) & F.lit(k >= 0), F.get(values, F.lit(k))).otherwise(F.raise_error(F.lit(f"position {k} is out of range")))
+    return [inside(k) for k in positions]
 
 
 def metrics(row: DataFrame, columns: list[str], section: str | None = None) -> DataFrame:

@@ -63,3 +63,12 @@ def apply_scenarios(rows: DataFrame, scenarios: DataFrame, factors: dict[str, st
         raise ValueError("more than 10,000 scenarios")
     out = rows.crossJoin(F.broadcast(scenarios))
     return out.withColumns({c: F.col(c) * F.coalesce(F.col(f), F.lit(1.0)) for c, f in factors.items()}).drop(*set(factors.values()))
+
+
+def start_agreement(fits: DataFrame, by: list[str], *, baseline: Column, starts: int = 3, gradient: float = 1e-4, objective: float = 1e-6) -> DataFrame:
+    """Per model: number of starts, whether all converged, the worst difference of an objective from the baseline,
+    and whether just ``starts`` of them converged with small gradients on the baseline's objective."""
+    worst = F.max(F.abs(F.col("objective") - baseline))
+    out = fits.groupBy(*by).agg(F.count("*").alias("starts"), F.min("converged").alias("converged"), worst.alias("worst_difference"), F.max("gradient_norm").alias("__g"))
+    robust = (F.col("starts") == starts) & F.col("converged") & (F.col("__g") < gradient) & (F.col("worst_difference") < objective)
+    return out.withColumn("robust", robust).drop("__g")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +61,26 @@ def effective_sample_size(split: DataFrame, parameter: list[str], value: str) ->
     """Effective sample size from autocovariances pooled over split chains.
 
     Pairs of correlations begin at lag 1; they are summed until one is negative, made to fall, and the
-    size is capped at the number of draws. Each chain's draws become one array in order, so a lag is an
-    offset in it, not a self join of the draws.
+    size is capped at the number of draws. A chain is a group of a grouped map and must fit a task; all its
+    lags come from one Fourier transform.
     """
-    chains = split.groupBy(*parameter, "split").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", F.col(value).cast("double").alias("__x")))), lambda s: s["__x"]).alias("__x"))
-    n = F.size("__x")
-    mean = F.aggregate("__x", F.lit(0.0), lambda s, v: s + v) / n
-    chains = chains.withColumn("__m", mean).withColumn("__n", n)
-    dev = F.transform("__x", lambda v: v - F.col("__m"))
-    chains = chains.withColumn("__d", dev).withColumn("__lag", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    product = F.zip_with(F.slice("__d", 1, F.col("__n") - F.col("__lag")), F.slice("__d", F.col("__lag") + 1, F.col("__n") - F.col("__lag")), lambda a, b: a * b)
-    acov = F.aggregate(product, F.lit(0.0), lambda s, v: s + v) / (F.col("__n") - F.col("__lag"))
-    lags = chains.groupBy(*parameter, "__lag").agg(F.avg(acov).alias("__acov"), F.avg(F.when(F.col("__lag") == 0, acov * F.col("__n") / (F.col("__n") - 1))).alias("__w"), F.var_samp("__m").alias("__b_over_n"), F.first("__n").alias("__n"), F.count("*").alias("__chains"))
+    kinds = dict(split.dtypes)
+
+    def lags_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("draw", kind="stable")
+        x = pdf["__x"].to_numpy(float)
+        n, m = len(x), x.mean()
+        wide = 1 << (2 * n - 1).bit_length()
+        c = np.fft.irfft(np.abs(np.fft.rfft(x - m, wide)) ** 2, wide)[:n]
+        c[0] = ((x - m) ** 2).sum()
+        # sums that are only the transform's rounding are none
+        c[np.abs(c) <= 1e-13 * c[0]] = 0.0
+        lag = np.arange(n)
+        return pd.DataFrame({**{p: pdf[p].iloc[0] for p in parameter}, "__lag": lag, "__a": c / (n - lag), "__m": m, "__n": n})
+
+    schema = ", ".join([*(f"`{p}` {kinds[p]}" for p in parameter), "__lag int, __a double, __m double, __n int"])
+    chains = split.select(*parameter, "split", "draw", F.col(value).cast("double").alias("__x")).groupBy(*parameter, "split").applyInPandas(lags_of, schema)
+    lags = chains.groupBy(*parameter, "__lag").agg(F.avg("__a").alias("__acov"), F.avg(F.when(F.col("__lag") == 0, F.col("__a") * F.col("__n") / (F.col("__n") - 1))).alias("__w"), F.var_samp("__m").alias("__b_over_n"), F.first("__n").alias("__n"), F.count("*").alias("__chains"))
     top = Window.partitionBy(*parameter)
     w = F.max("__w").over(top)
     plus = (F.col("__n") - 1) / F.col("__n") * w + F.coalesce("__b_over_n", F.lit(0.0))

@@ -64,13 +64,50 @@ m AS (SELECT *, s / {SIGMA**2} / (n / {SIGMA**2} + 1 / {TAU**2}) u, n / {SIGMA**
     + f""" SELECT count(*) AS n_groups, round(sum(n * ({0.5 * LOG_2PI} + ln({SIGMA})) + (ss - 2 * u * s + n * u * u) / (2 * {SIGMA**2}) + {0.5 * LOG_2PI} + ln({TAU}) + u * u / (2 * {TAU**2}) + 0.5 * ln(h) - {0.5 * LOG_2PI}), 3) AS objective FROM m""",
 )
 def laplace_random_intercept(spark, sf):
-    """Marginal negative log likelihood of a random-intercept model in one aggregation: groups' sufficient statistics, then sums."""
-    y = F.ln("o_totalprice") - MU
-    g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
-    h = F.col("n") / SIGMA**2 + 1 / TAU**2
-    u = F.col("s") / SIGMA**2 / h
-    joint = F.col("n") * (0.5 * LOG_2PI + math.log(SIGMA)) + (F.col("ss") - 2 * u * F.col("s") + F.col("n") * u * u) / (2 * SIGMA**2) + 0.5 * LOG_2PI + math.log(TAU) + u * u / (2 * TAU**2)
-    return g.agg(F.count("*").alias("n_groups"), F.round(F.sum(joint + 0.5 * F.ln(h) - 0.5 * LOG_2PI), 3).alias("objective"))
+    """Marginal negative log likelihood of a random-intercept model by the expression engine; the oracle is the closed form."""
+    model = random_intercept(spark, sf)
+    value, _ = model.evaluate(np.array([MU, math.log(SIGMA), math.log(TAU)]), gradient=False)
+    groups = model.obs.select("__g").distinct().count()
+    model.close()
+    return spark.createDataFrame([(groups, round(value, 3))], "n_groups long, objective double")
+
+
+def poisson_intercept(spark: SparkSession, sf: str):
+    """Lines of each order as Poisson counts with a random intercept per customer: a model whose modes take Newton's steps."""
+    from lakewright.plans import expr as X
+    from lakewright.plans.laplace import GroupedLaplace
+
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("y"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey").select("o_custkey", "y")
+    u, mu = X.random("u"), X.param("mu")
+    return GroupedLaplace(rows, "o_custkey", X.exp(mu + u) - X.data("y") * (mu + u), X.normal_nll(u, 0.0, X.param("log_tau")), ["mu", "log_tau"])
+
+
+_POISSON = f"""WITH RECURSIVE g AS (SELECT o_custkey, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS s FROM orders JOIN (SELECT l_orderkey, count(*) AS y FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1),
+w AS (SELECT o_custkey, n, s, 0 AS k, 0.0::DOUBLE AS u FROM g UNION ALL SELECT o_custkey, n, s, k + 1, u - (n * exp(0.8 + u) - s + u / {TAU**2}) / (n * exp(0.8 + u) + 1 / {TAU**2}) FROM w WHERE k < 40),
+m AS (SELECT *, n * exp(0.8 + u) + 1 / {TAU**2} AS h FROM w WHERE k = 40)"""
+
+
+@query("poisson_intercept_mode", _POISSON + " SELECT o_custkey, round(u, 7) AS u, round(1 / h, 7) AS conditional_variance FROM m")
+def poisson_intercept_mode(spark, sf):
+    """Modes by damped Newton steps; the oracle takes forty plain ones."""
+    model = poisson_intercept(spark, sf)
+    s = model.mode_sensitivity(np.array([0.8, math.log(TAU)]))
+    return rounded(s.select("o_custkey", "u", "conditional_variance"), 7)
+
+
+@query(
+    "laplace_poisson",
+    _POISSON
+    + f""" SELECT round(sum(n * exp(0.8 + u) - s * (0.8 + u) + {0.5 * LOG_2PI} + ln({TAU}) + u * u / (2 * {TAU**2}) + 0.5 * ln(h) - {0.5 * LOG_2PI}), 3) AS objective,
+round(sum(n * exp(0.8 + u) - s + 0.5 * (n * exp(0.8 + u) - n * exp(0.8 + u) * n * exp(0.8 + u) / h) / h), 3) AS d_mu, round(sum(1 - u * u / {TAU**2} + 0.5 * (-2 / {TAU**2} + n * exp(0.8 + u) * (2 * u / {TAU**2}) / h) / h), 3) AS d_log_tau FROM m""",
+)
+def laplace_poisson(spark, sf):
+    """Value and exact marginal gradient of a model that is not quadratic; the oracle differentiates by hand."""
+    model = poisson_intercept(spark, sf)
+    value, g = model.evaluate(np.array([0.8, math.log(TAU)]))
+    model.close()
+    return spark.createDataFrame([tuple(round(float(x), 3) for x in (value, *g))], "objective double, d_mu double, d_log_tau double")
 
 
 @query("random_intercept_mode", _GROUPS + " SELECT o_custkey, round(u, 8) AS u, round(1 / h, 8) AS conditional_variance FROM m")
@@ -343,11 +380,60 @@ def ess(spark, sf):
     return rounded(windows.effective_sample_size(split, ["parameter"], "value"), 4)
 
 
-@query("chain_diagnostics")
+def _ess_sql(p: str, t: str, v: str) -> str:
+    """CTEs after which ``{p}ess`` has the effective sample size of column v of t (parameter, split, draw)."""
+    return f""", {p}d AS (SELECT *, {v} - avg({v}) OVER (PARTITION BY parameter, split) AS e FROM {t}),
+{p}v AS (SELECT parameter, avg(w) w, var_samp(m) b, min(n) n, count(*) chains FROM (SELECT parameter, split, var_samp({v}) w, avg({v}) m, count(*) n FROM {t} GROUP BY 1, 2) GROUP BY 1),
+{p}l AS (SELECT a.parameter, a.split, b.draw - a.draw AS lag, sum(a.e * b.e) AS c FROM {p}d a JOIN {p}d b ON a.parameter = b.parameter AND a.split = b.split AND b.draw > a.draw GROUP BY 1, 2, 3),
+{p}r AS (SELECT l.parameter, l.lag, 1 - (any_value(w) - avg(c / (n - lag))) / ((any_value(n) - 1) / any_value(n)::DOUBLE * any_value(w) + any_value(b)) AS rho FROM {p}l l JOIN {p}v v ON l.parameter = v.parameter GROUP BY 1, 2),
+{p}q AS (SELECT parameter, (lag - 1) // 2 AS pair, sum(rho) p FROM {p}r GROUP BY 1, 2 HAVING count(*) = 2),
+{p}o AS (SELECT *, max((p < 0)::INTEGER) OVER w AS ended, min(p) OVER w AS fall FROM {p}q WINDOW w AS (PARTITION BY parameter ORDER BY pair ROWS UNBOUNDED PRECEDING)),
+{p}ess AS (SELECT v.parameter, n * chains / (1 + 2 * coalesce(sum(fall) FILTER (ended = 0), 0)) AS ess FROM {p}v v LEFT JOIN {p}o o ON v.parameter = o.parameter GROUP BY v.parameter, n, chains)"""
+
+
+def _rank_rhat_sql(p: str, t: str, v: str) -> str:
+    """CTEs after which ``{p}z`` has normal scores z of column v of t and ``{p}rhat`` their R-hat."""
+    return f""", {p}k AS (SELECT *, rank() OVER (PARTITION BY parameter ORDER BY {v}) + (count(*) OVER (PARTITION BY parameter, {v}) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY parameter) AS total FROM {t}),
+{p}p AS (SELECT *, (rk - 0.375::DOUBLE) / (total + 0.25::DOUBLE) AS pr FROM {p}k), {p}z AS (SELECT *, {_inverse_normal_sql("pr")} AS z FROM {p}p),
+{p}rhat AS (SELECT parameter, sqrt(((n - 1) / n::DOUBLE * w + b) / w) AS rhat FROM (SELECT parameter, avg(v) w, var_samp(m) b, min(n) n FROM (SELECT parameter, split, avg(z) m, var_samp(z) v, count(*) n FROM {p}z GROUP BY 1, 2) GROUP BY 1))"""
+
+
+_DIAGNOSTICS = (
+    _SPLIT
+    + ", mid AS (SELECT parameter, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM s GROUP BY 1), x AS (SELECT s.*, abs(value - med) AS folded, (value <= lo)::DOUBLE AS low, (value >= hi)::DOUBLE AS high FROM s JOIN mid USING (parameter))"
+    + _rank_rhat_sql("a", "x", "value")
+    + _rank_rhat_sql("f", "x", "folded")
+    + _ess_sql("b", "az", "z")
+    + _ess_sql("c", "x", "low")
+    + _ess_sql("e", "x", "high")
+    + ", diagnostics AS (SELECT arhat.parameter, greatest(arhat.rhat, frhat.rhat) AS rhat, bess.ess AS bulk_ess, least(cess.ess, eess.ess) AS tail_ess FROM arhat JOIN frhat USING (parameter) JOIN bess USING (parameter) JOIN cess USING (parameter) JOIN eess USING (parameter))"
+)
+
+
+@query("chain_diagnostics", _DIAGNOSTICS + " SELECT parameter, round(rhat, 4) AS rhat, round(bulk_ess, 4) AS bulk_ess, round(tail_ess, 4) AS tail_ess FROM diagnostics")
 def chain_diagnostics(spark, sf):
     return rounded(windows.chain_diagnostics(chains(spark, sf), ["parameter"], "chain", ["ts", "event_id"], "value"), 4)
 
 
+@query(
+    "chain_health",
+    _DIAGNOSTICS
+    + """, g AS (SELECT parameter, chain, value, value - lag(value) OVER (PARTITION BY parameter, chain ORDER BY ts, event_id) AS d FROM ("""
+    + _CHAINS
+    + """)), f AS (SELECT parameter, chain, sum(d * d) / (count(*) - 1) / var_pop(value) AS bfmi, count(*) FILTER (value > 400) AS divergences FROM g GROUP BY 1, 2)
+SELECT round((SELECT max(rhat) FROM diagnostics), 4) AS max_rhat, round((SELECT min(least(bulk_ess, tail_ess)) FROM diagnostics), 3) AS min_ess, round(min(bfmi), 6) AS min_bfmi, sum(divergences)::BIGINT AS divergences, 0::BIGINT AS depth_hits,
+(SELECT max(rhat) FROM diagnostics) <= 1.01 AND (SELECT min(least(bulk_ess, tail_ess)) FROM diagnostics) >= 400 AND min(bfmi) >= 0.3 AND sum(divergences) = 0 AS healthy FROM f""",
+)
+def chain_health(spark, sf):
+    """The verdict on all chains: worst diagnostics, energy fractions, values above 400 as divergences."""
+    d = chains(spark, sf)
+    worst = windows.chain_diagnostics(d, ["parameter"], "chain", ["ts", "event_id"], "value")
+    energy = windows.energy_bfmi(d, ["parameter", "chain"], ["ts", "event_id"], "value")
+    odd = d.groupBy("parameter", "chain").agg(F.count_if(F.col("value") > 400).alias("divergences"), F.lit(0).cast("long").alias("depth_hits"))
+    out = windows.health(worst, energy.join(odd, ["parameter", "chain"]))
+    return out.select(F.round("max_rhat", 4).alias("max_rhat"), F.round("min_ess", 3).alias("min_ess"), F.round("min_bfmi", 6).alias("min_bfmi"), "divergences", "depth_hits", "healthy")
+
+
 @query(
     "tail_indicators",
     _SPLIT + " , q AS (SELECT parameter, quantile_cont(value, 0.05) q FROM s GROUP BY 1) SELECT parameter, split, draw, (value <= q)::DOUBLE AS tail FROM s JOIN q USING (parameter)",
@@ -584,19 +670,28 @@ def pattern_summary(spark, sf):
     return rounded(matrix.pattern_summary(embedding_covariance(spark, sf), 1e-3), 8)
 
 
-_NATION = """m AS (SELECT c_nationkey AS i, s_nationkey AS j, sum(l_extendedprice) / 1000 AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE abs(c_nationkey - s_nationkey) <= 2 GROUP BY 1, 2)"""
+_NATION = """m AS (SELECT c_nationkey AS i, s_nationkey AS j, sum(l_extendedprice) / 1000 AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 
 
 def nation_matrix(spark, sf):
-    """Trade between customers' and suppliers' nations that are near each other in number."""
+    """Trade between customers' and suppliers' nations."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("i"))
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("j"))
-    met = li.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").filter(F.abs(F.col("i") - F.col("j")) <= 2)
+    met = li.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey")
     return met.groupBy("i", "j").agg((F.sum("l_extendedprice") / 1000).alias("value"))
 
 
+def nation_counts(spark, sf):
+    """Lines between customers' and suppliers' nations."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("i"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("j"))
+    return li.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey").groupBy("i", "j").agg(F.count("*").cast("double").alias("value"))
+
+
 @query(
     "structure_detect",
     f"""WITH {_NATION}, s AS (SELECT count(*) AS nnz, count(*) FILTER (a.i = a.j) AS diagonal_nnz, max(abs(a.i - a.j))::BIGINT AS bandwidth, max(abs(a.value - coalesce(b.value, 0))) AS asym, bool_and(b.value IS NOT NULL) AS structurally_symmetric FROM m a LEFT JOIN m b ON a.i = b.j AND a.j = b.i WHERE abs(a.value) > 1e-12)
@@ -618,24 +713,11 @@ def pivot_matrix(spark, sf):
 
 @query(
     "asof_override",
-    """WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderkey % 3 = 0), v AS (SELECT p_partkey AS row_no, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][(p_partkey % 5 + 1)::INTEGER] AS pr, TIMESTAMP '1992-01-01' + INTERVAL (p_partkey * 7) DAY AS since, p_retailprice / 1000 AS weight FROM part WHERE p_partkey <= 300)
-SELECT o_orderkey, round(coalesce(arg_max(weight, row_no), 1), 6) AS weight FROM o LEFT JOIN v ON o_orderpriority = pr AND since <= o_orderdate GROUP BY 1""",
-)
-def asof_override(spark, sf):
-    rows = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_orderpriority", "o_orderdate")
-    names = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
-    over = table(spark, sf, "part").filter("p_partkey <= 300").select(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("o_orderpriority"), F.expr("timestamp_ntz'1992-01-01' + make_dt_interval(cast(p_partkey * 7 as int))").alias("since"), F.col("p_partkey").alias("row_no"), (F.col("p_retailprice") / 1000).alias("weight"))
-    out = joins.last_override(rows, over, ["o_orderpriority"], at="o_orderdate", since="since", order="row_no", value="weight", default=F.lit(1.0))
-    return rounded(out.select("o_orderkey", "weight"))
-
-
-@query(
-    "asof_override_all",
     """WITH v AS (SELECT p_partkey AS row_no, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][(p_partkey % 5 + 1)::INTEGER] AS pr, TIMESTAMP '1992-01-01' + INTERVAL (p_partkey * 7) DAY AS since, p_retailprice / 1000 AS weight FROM part)
 SELECT o_orderkey, round(coalesce(arg_max(weight, row_no), 1), 6) AS weight FROM orders LEFT JOIN v ON o_orderpriority = pr AND since <= o_orderdate GROUP BY 1""",
 )
-def asof_override_all(spark, sf):
-    """As ``asof_override``, over all orders and all of part."""
+def asof_override(spark, sf):
+    """The weight last set for an order's priority before its date, over all orders and all of part."""
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
     names = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
     over = table(spark, sf, "part").select(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("o_orderpriority"), F.expr("timestamp_ntz'1992-01-01' + make_dt_interval(cast(p_partkey * 7 as int))").alias("since"), F.col("p_partkey").alias("row_no"), (F.col("p_retailprice") / 1000).alias("weight"))
@@ -685,18 +767,16 @@ def season_of_month(spark, sf):
     return rounded(table(spark, sf, "events").select("event_id", got["season"].alias("season"), got["time"].alias("time")))
 
 
-_YEARLY = "SELECT year(o_orderdate) AS year, avg(o_totalprice) AS value FROM orders {w} GROUP BY 1"
-
-
 @query(
     "mohns_rho",
-    f"""WITH f AS ({_YEARLY.format(w="")}), p AS (SELECT year, value, k AS peel FROM (SELECT year(o_orderdate) AS year, k, avg(o_totalprice) AS value FROM orders, range(1, 4) t(k) WHERE year(o_orderdate) <= 1998 - k AND o_orderkey % 5 <> k GROUP BY 1, 2)),
+    """WITH f AS (SELECT year(o_orderdate) AS year, avg(o_totalprice) AS value FROM orders GROUP BY 1), p AS (SELECT year(o_orderdate) AS year, k AS peel, exp(avg(ln(o_totalprice))) AS value FROM orders, range(1, 4) t(k) WHERE year(o_orderdate) <= 1998 - k GROUP BY 1, 2),
 l AS (SELECT peel, arg_max(value, year) AS terminal, max(year) AS year FROM p GROUP BY 1) SELECT round(avg((terminal - value) / value), 8) AS rho, count(*) AS n_peels FROM l JOIN f USING (year) WHERE abs(value) > 1e-12""",
 )
 def mohns_rho(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), "o_totalprice")
+    """Peels of 1 to 3 years, estimated by geometric means, against the full run's arithmetic means."""
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), "o_totalprice")
     full = o.groupBy("year").agg(F.avg("o_totalprice").alias("value"))
-    peels = o.withColumn("peel", F.explode(F.sequence(F.lit(1), F.lit(3)))).filter("year <= 1998 - peel and o_orderkey % 5 <> peel").groupBy("peel", "year").agg(F.avg("o_totalprice").alias("value"))
+    peels = o.withColumn("peel", F.explode(F.sequence(F.lit(1), F.lit(3)))).filter("year <= 1998 - peel").groupBy("peel", "year").agg(F.exp(F.avg(F.ln("o_totalprice"))).alias("value"))
     return rounded(joins.mohns_rho(full, peels), 8)
 
 
@@ -716,10 +796,10 @@ def unpivot_draws(spark, sf):
     return sets.unpivot(table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_partkey"], ["p_size", "p_retailprice"])
 
 
-@query("unpivot_arrays", "SELECT vec_id, ['q0', 'q1', 'q2'][i + 1] AS quantity, round(embedding[i + 1]::DOUBLE, 6) AS value FROM embeddings, range(3) t(i)")
+@query("unpivot_arrays", "SELECT vec_id, 'q' || i AS quantity, round(embedding[i + 1]::DOUBLE, 6) AS value FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)")
 def unpivot_arrays(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("e"))
-    return rounded(sets.unpivot_arrays(rows, ["vec_id"], "e", ["q0", "q1", "q2"]))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return rounded(sets.unpivot_arrays(rows, ["vec_id"], "e", "q"))
 
 
 @query("summary_metrics", "SELECT unnest(['rows', 'total', 'largest']) AS metric, unnest([count(*)::DOUBLE, round(sum(o_totalprice), 0), max(o_totalprice)]) AS value FROM orders")
@@ -773,10 +853,11 @@ def sums_to_one(spark, sf):
     return rounded(validation.sums_to_one(rows, ["s_nationkey"], "p"))
 
 
-@query("key_sets_differ", "SELECT c_nationkey AS k, 'left' AS side FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9990) WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT s_nationkey, 'right' FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9990)")
+@query("key_sets_differ", "SELECT c_custkey AS k, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, 'right' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
 def key_sets_differ(spark, sf):
-    a = table(spark, sf, "customer").filter("c_acctbal > 9990").select(F.col("c_nationkey").alias("k")).distinct()
-    return validation.key_sets_differ(a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).distinct(), ["k"])
+    """Numbers that only customers or only suppliers have."""
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).distinct()
+    return validation.key_sets_differ(a, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).distinct(), ["k"])
 
 
 @query("peel_years", "SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n FROM orders WHERE year(o_orderdate) <= 1995 GROUP BY 1")
@@ -976,14 +1057,51 @@ def reference_points(spark, sf):
     return rounded(surplus.reference_points(s).select("s_suppkey", "b_msy", "f_msy", "msy", "b_ratio", "f_ratio"))
 
 
-@query("age_structured_runs")
+_AGE_WEIGHT = (0.2, 0.5, 0.9, 1.4, 1.9, 2.4, 2.8, 3.1, 3.4, 3.6)
+_AGE_MATURE = (0.0, 0.1, 0.4, 0.7, 0.9, 1.0, 1.0, 1.0, 1.0, 1.0)
+
+
+def _over_ages(term: str) -> str:
+    return " + ".join(term.replace("AGE", str(k + 1)).replace("WEIGHT", str(_AGE_WEIGHT[k])).replace("MATURE", str(_AGE_MATURE[k])) for k in range(10))
+
+
+@query(
+    "age_structured_runs",
+    f"""WITH RECURSIVE k AS (SELECT s_suppkey AS id, exp(7.0 + s_suppkey % 5 / 10.0::DOUBLE) AS r0, 0.18::DOUBLE AS m, 0.05 + (s_suppkey % 7) / 20.0::DOUBLE AS fbar FROM supplier),
+p AS (SELECT *, [{", ".join(f"1 / (1 + exp(-1.2 * ({a} - 3)))" for a in range(1, 11))}]::DOUBLE[] AS s FROM k), z AS (SELECT *, list_transform(s, lambda x : m + fbar * x) AS z FROM p),
+w AS (SELECT *, 1 AS year, [{", ".join(f"r0 * exp(-{a} * m)" + (" / (1 - exp(-m))" if a == 9 else "") for a in range(10))}]::DOUBLE[] AS n FROM z
+UNION ALL SELECT id, r0, m, fbar, s, z, year + 1, [r0, {", ".join(f"n[{a}] * exp(-z[{a}])" for a in range(1, 9))}, n[9] * exp(-z[9]) + n[10] * exp(-z[10])]::DOUBLE[] FROM w WHERE year < 15),
+o AS (SELECT *, {_over_ages("n[AGE] * WEIGHT")} AS biomass, {_over_ages("n[AGE] * WEIGHT * MATURE")} AS ssb, {_over_ages("n[AGE] * WEIGHT * fbar * s[AGE] * (1 - exp(-z[AGE])) / z[AGE]")} AS caught FROM w)
+SELECT id AS set, year, round(biomass, 6) AS biomass, round(ssb, 6) AS ssb, round(ssb / first_value(ssb) OVER (PARTITION BY id ORDER BY year), 6) AS depletion, round(caught, 6) AS catch, round(0.001 * biomass, 6) AS index FROM o""",
+)
 def age_structured_runs(spark, sf):
-    """Yearly age-structured dynamics of one stock per supplier; checked in the tests by hand recursions."""
+    """Yearly age-structured dynamics of one stock per supplier; the oracle runs the recursion by age in SQL."""
     from lakewright.models.age_structured import run_stocks
 
     k = F.col("s_suppkey")
     sets_ = table(spark, sf, "supplier").select(k.alias("set"), (7.0 + k % 5 / 10.0).alias("log_r0"), F.lit(math.log(0.18)).alias("log_m"), (F.ln(0.05 + (k % 7) / 20.0)).alias("log_fbar"), F.lit(math.log(1e-3)).alias("log_q"), F.lit(3.0).alias("a50"), F.lit(1.2).alias("slope"))
-    return rounded(run_stocks(sets_, 15, [0.2, 0.5, 0.9, 1.4, 1.9, 2.4, 2.8, 3.1, 3.4, 3.6], [0.0, 0.1, 0.4, 0.7, 0.9, 1.0, 1.0, 1.0, 1.0, 1.0]))
+    return rounded(run_stocks(sets_, 15, list(_AGE_WEIGHT), list(_AGE_MATURE)))
+
+
+@query(
+    "tridiagonal_series",
+    """WITH RECURSIVE k AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, 2 + value / 100 AS d FROM events), r AS (SELECT event_type, k, d AS v, ln(d) AS logdet FROM k WHERE k = 1
+UNION ALL SELECT k.event_type, k.k, k.d - 0.49 / r.v, r.logdet + ln(k.d - 0.49 / r.v) FROM r JOIN k ON k.event_type = r.event_type AND k.k = r.k + 1)
+SELECT event_type, max(k) AS n, round(arg_max(logdet, k), 6) AS logdet, round(1 / arg_max(v, k), 8) AS last_variance FROM r GROUP BY 1""",
+)
+def tridiagonal_series(spark, sf):
+    """Log determinant and last marginal variance of one tridiagonal precision per series; the oracle runs the pivots."""
+    import pandas as pd
+
+    from lakewright.plans.linalg import Tridiagonal
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
+        t = Tridiagonal(2 + pdf.value.to_numpy() / 100, np.full(len(pdf) - 1, -0.7))
+        return pd.DataFrame({"event_type": [pdf.event_type.iloc[0]], "n": [len(pdf)], "logdet": [round(t.logdet(), 6)], "last_variance": [round(float(t.inverse_diagonal()[-1]), 8)]})
+
+    rows = table(spark, sf, "events").select("event_type", "ts", "event_id", "value")
+    return rows.groupBy("event_type").applyInPandas(run, "event_type string, n long, logdet double, last_variance double")
 
 
 @query("state_space_series")

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lakewright.operators import joins, matrix, windows
+from lakewright.plans import catalog
 from lakewright.plans.catalog import embedding_covariance, query, rounded, table
 from lakewright.sinks import writers
 
@@ -54,13 +55,22 @@ def spatial_animation(spark, sf):
     return writers.spatial_animation(r, m).select("record", "year", "season", "region", "from_region", "to_region", "value")
 
 
-@query("management_summary", "SELECT vec_id AS run, i + 1 AS year, embedding[i + 1]::DOUBLE AS ssb, CASE WHEN embedding[1] > 0 THEN round(embedding[i + 1]::DOUBLE / embedding[1]::DOUBLE, 6) END AS depletion FROM embeddings, (SELECT unnest(range(5))::INTEGER AS i)")
+@query("management_summary", "SELECT vec_id AS run, i + 1 AS year, embedding[i + 1]::DOUBLE AS ssb, CASE WHEN embedding[1] > 0 THEN round(embedding[i + 1]::DOUBLE / embedding[1]::DOUBLE, 6) END AS depletion FROM (SELECT vec_id, embedding, unnest(range(len(embedding)))::INTEGER AS i FROM embeddings)")
 def management_summary(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("run"), F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")).alias("ssb"), F.element_at("embedding", 1).cast("double").alias("ssb0"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("run"), F.transform("embedding", lambda x: x.cast("double")).alias("ssb"), F.element_at("embedding", 1).cast("double").alias("ssb0"))
     return writers.management_summary(e).select("run", "year", "ssb", F.round("depletion", 6).alias("depletion"))
 
 
-@query("structure_report")
+@query(
+    "structure_report",
+    f"""WITH {catalog._COV}, {catalog._BANDS}, {catalog._TARGETS}, big AS (SELECT * FROM cov WHERE abs(value) > 1e-12),
+a AS (SELECT abs(value) AS a, row_number() OVER (ORDER BY abs(value) DESC, i, j) AS k, sum(abs(value)) OVER (ORDER BY abs(value) DESC, i, j ROWS UNBOUNDED PRECEDING) / sum(abs(value)) OVER () AS c FROM cov WHERE abs(value) > 1e-8),
+sp AS (SELECT target, CASE WHEN target >= 1 THEN count(*) ELSE min(k) FILTER (c >= target) END AS need, count(*)::DOUBLE AS nonzeros FROM a, t GROUP BY target),
+bw AS (SELECT target, CASE WHEN target >= 1 THEN 63 ELSE min(band_distance) FILTER (cum >= target) END::BIGINT AS bandwidth FROM c, t GROUP BY target)
+SELECT unnest(['nnz', 'diagonal_nnz', 'bandwidth', 'max_row_nnz', 'fill_ratio']) AS metric, NULL::DOUBLE AS target, unnest([count(*)::DOUBLE, count(*) FILTER (i = j), max(abs(i - j)), (SELECT max(k) FROM (SELECT count(*) AS k FROM big GROUP BY i)), round(count(*) / 4096.0::DOUBLE, 6)]) AS value, '' AS extra FROM big
+UNION ALL SELECT 'effective_sparsity', target, need::DOUBLE, 'compression=' || round(nonzeros / need, 6)::DOUBLE FROM sp
+UNION ALL SELECT 'effective_bandwidth', target, bandwidth::DOUBLE, 'entries=' || (64 * (2 * bandwidth + 1) - bandwidth * (bandwidth + 1)) FROM bw""",
+)
 def structure_report(spark, sf):
     cov = embedding_covariance(spark, sf)
     return rounded(writers.structure_report(matrix.structure(cov, 64), matrix.effective_sparsity(cov), matrix.effective_bandwidth(cov, 64)))
@@ -102,12 +112,14 @@ def derived_uncertainty(spark, sf):
 
 @query(
     "projection_comparison",
-    """WITH a AS (SELECT o_orderpriority AS scenario, year(o_orderdate)::INTEGER AS year, avg(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT o_orderpriority AS scenario, year(o_orderdate)::INTEGER AS year, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)
+    """WITH t AS (SELECT l_orderkey, sum(l_extendedprice) AS lines FROM lineitem GROUP BY 1), a AS (SELECT o_orderpriority AS scenario, year(o_orderdate)::INTEGER AS year, avg(lines) AS v FROM orders JOIN t ON l_orderkey = o_orderkey GROUP BY 1, 2), b AS (SELECT o_orderpriority AS scenario, year(o_orderdate)::INTEGER AS year, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)
 SELECT scenario, year, round(a.v - b.v, 4) AS difference, round((a.v - b.v) / b.v, 8) AS relative, abs(a.v - b.v) <= 0.02 * abs(b.v) AS within FROM a JOIN b USING (scenario, year)""",
 )
 def projection_comparison(spark, sf):
+    """Means of orders' lines against means of orders' totals by priority and year."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("scenario"), F.year("o_orderdate").alias("year"), "o_totalprice")
-    a = o.filter("o_orderkey % 2 = 0").groupBy("scenario", "year").agg(F.avg("o_totalprice").alias("v"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("lines"))
+    a = o.join(lines, "o_orderkey").groupBy("scenario", "year").agg(F.avg("lines").alias("v"))
     out = joins.compare_values(a, o.groupBy("scenario", "year").agg(F.avg("o_totalprice").alias("v")), ["scenario", "year"], "v", rtol=0.02)
     return out.select("scenario", "year", F.round("difference", 4).alias("difference"), F.round("relative", 8).alias("relative"), "within")
 

@@ -94,9 +94,11 @@ def publish(spark: SparkSession, text: str, path: str) -> str:
         stream.write(bytearray(data))
     finally:
         stream.close()
-    fs.delete(to, False)
-    if not fs.rename(tmp, to):
-        raise OSError(f"could not publish {path}")
+    # one rename that replaces: readers see the old file or the new one, and a crash loses neither
+    rename = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(tmp, to, options)
     return hashlib.sha256(data).hexdigest()
 
 
