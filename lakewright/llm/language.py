@@ -26,7 +26,7 @@ from lakewright.llm.text import BLOCK, slices, texts_of
 
 UNKNOWN = "und"
 #: The longest context, and how often some language must have a context of more than two bytes.
-ORDER, LEAST = 4, 8
+ORDER, LEAST = 4, 16
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -74,51 +74,65 @@ def train(samples: dict[str, list[bytes]], fresh: dict[str, list[bytes]] | None
     languages = sorted(x for x, texts in samples.items() if any(texts))
     if not languages:
         return None
-    joined = {x: [_FOLD[np.frombuffer(t, np.uint8)] for t in samples[x] if t] for x in languages}
-    used = np.unique(np.concatenate([np.unique(t) for x in languages for t in joined[x]] + [np.array([32], np.uint8)]))
+    gap = np.full(ORDER, 32, np.uint8)
+    joined = [np.concatenate([p for t in samples[x] if t for p in (gap, _FOLD[np.frombuffer(t, np.uint8)])]) for x in languages]
+    used = np.flatnonzero(np.bincount(np.concatenate([np.unique(t) for t in joined]), minlength=256))
     symbols = np.full(256, len(used), np.uint8)
     symbols[used] = np.arange(len(used))
     a = len(used) + 1  # the last symbol: any byte never seen
-    # symbols of each language's texts, ORDER spaces before each, and which positions are text
-    gap = np.full(ORDER, 32, np.uint8)
-    text = [symbols[np.concatenate([p for t in joined[x] for p in (gap, t)])].astype(np.int64) for x in languages]
-    real = [np.flatnonzero(np.concatenate([p for t in joined[x] for p in (np.zeros(ORDER, bool), np.ones(len(t), bool))])) for x in languages]
-    at = [np.zeros(len(r), np.int64) for r in real]  # the node of each position, -1 where its walk has ended
-    lower = np.full((len(languages), 1, a), 1.0 / a)
-    tables, links, base, width = [], [], 0, 1
+    # symbols of each language's texts, which positions are text, and the node of each (-1 where its walk has ended)
+    text = [symbols[t] for t in joined]
+    real = []
+    for x in languages:
+        sizes = np.array([len(t) for t in samples[x] if t])
+        real.append((np.arange(sizes.sum()) + np.repeat(ORDER * np.arange(1, len(sizes) + 1), sizes)).astype(np.int32))
+    at = [np.zeros(len(r), np.int32) for r in real]
+    del joined
+    counts: list[list[np.ndarray]] = []
+    links: list[np.ndarray] = []
+    width = 1
     for order in range(ORDER + 1):
-        counts = np.zeros((len(languages), width, a))
-        for k, (s, r, node) in enumerate(zip(text, real, at, strict=True)):
-            on = node >= 0
-            counts[k] = np.bincount(node[on] * a + s[r[on]], minlength=width * a).reshape(width, a)
-        lower = _ppm(counts, lower)
-        tables.append(lower)
-        if order == ORDER:
+        counts.append([np.bincount(node[node >= 0].astype(np.int64) * a + s[r[node >= 0]], minlength=width * a).astype(np.int32) for s, r, node in zip(text, real, at, strict=True)])
+        if order == ORDER or not width:
             break
         # contexts one symbol longer, by node of this order and the symbol before
-        key = [np.where(node >= 0, node * a + s[r - order - 1], -1) for s, r, node in zip(text, real, at, strict=True)]
-        often = np.max([np.bincount(q[q >= 0], minlength=width * a) for q in key], axis=0)
+        often = np.zeros(width * a, np.int64)
+        for s, r, node in zip(text, real, at, strict=True):
+            on = node >= 0
+            often = np.maximum(often, np.bincount(node[on].astype(np.int64) * a + s[r[on] - order - 1], minlength=width * a))
         found = np.flatnonzero(often >= (1 if order < 2 else LEAST))
-        number = np.full(width * a + 1, -1)
+        number = np.full(width * a, -1, np.int32)
         number[found] = np.arange(len(found))
-        links.append((base + found // a, found % a, base + width + np.arange(len(found))))
-        at = [number[q] for q in key]
-        lower = lower[:, found // a]
-        base, width = base + width, len(found)
-        if not width:
-            break
-    p = np.concatenate(tables, 1)
-    nodes = p.shape[1]
+        for s, r, node in zip(text, real, at, strict=True):
+            on = np.flatnonzero(node >= 0)
+            node[on] = number[node[on].astype(np.int64) * a + s[r[on] - order - 1]]
+        links.append(found)
+        width = len(found)
+    del text, real, at
+    widths = [1, *map(len, links)]
+    first = np.concatenate([[0], np.cumsum(widths)])
+    nodes = int(first[-1])
     child = np.repeat(np.arange(2 * nodes, dtype=np.int32)[:, None], a, 1)
     child[:nodes] += nodes  # a walk ends where there is no longer context
-    for parent, symbol, node in links:
-        child[parent, symbol] = node
-    bits = np.moveaxis(-np.log2(np.maximum(p, 1e-30)), 0, 2).astype(np.float32)
-    model = Model(languages, symbols, child.reshape(-1), np.ascontiguousarray(bits).reshape(nodes * a, len(languages)), np.zeros(len(languages)))
+    for order, found in enumerate(links):
+        child[first[order] + found // a, found % a] = first[order + 1] + np.arange(len(found))
+    bits = np.empty((nodes, a, len(languages)), np.float32)
+    for k in range(len(languages)):
+        before, parent = np.full((1, a), 1.0 / a), np.zeros(1, np.int64)
+        for order, n in enumerate(widths):
+            p = np.empty((n, a))
+            for lo in range(0, n, 1 << 12):
+                some = slice(lo, min(lo + (1 << 12), n))
+                p[some] = _ppm(counts[order][k][lo * a : some.stop * a].reshape(-1, a).astype(float), before[parent[some]])
+            bits[first[order] : first[order + 1], :, k] = -np.log2(np.maximum(p, 1e-30))
+            before, parent = p, links[order] // a if order < len(links) else parent
+    model = Model(languages, symbols, child.reshape(-1), bits.reshape(nodes * a, len(languages)), np.zeros(len(languages)))
     for k, x in enumerate(languages):
         texts = [t for t in (fresh or {}).get(x, []) if t] or [t for t in samples[x] if t]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        model.typical[k] = np.median(code_lengths(model, np.frombuffer(b"".join(texts), np.uint8), offsets)[:, k] / np.diff(offsets))
+        per = []
+        for t in texts:
+            per.append(code_lengths(model, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0, k] / len(t))
+        model.typical[k] = np.median(per)
     return model
 
 
