@@ -96,9 +96,20 @@ def ddirichlet_multinomial_linear(x: Column, p: Column, theta: Number, log: bool
     return _out(_polya(x, F.transform(p, lambda v: v / col(theta))), log)
 
 
+#: Factors of a rising factorial that are multiplied one by one.
+RISING = 512
+
+
 def _rising_log(a: Column, n: Column) -> Column:
-    """log of a (a+1) ... (a+n-1)."""
-    return F.when(n <= 0, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(0), (n - 1).cast("int")), F.lit(0.0), lambda acc, k: acc + F.ln(a + k)))
+    """log of a (a+1) ... (a+n-1): factor by factor, from ``RISING`` factors on by Stirling's series, which has all
+    digits there."""
+
+    def stirling(z: Column) -> Column:
+        return (z - 0.5) * F.ln(z) - z + 1 / (12 * z)
+
+    few = F.aggregate(F.sequence(F.lit(0), (F.least(n, F.lit(RISING)) - 1).cast("int")), F.lit(0.0), lambda acc, k: acc + F.ln(a + k))
+    rest = F.when(n > RISING, stirling(a + n) - stirling(a + RISING)).otherwise(0.0)
+    return F.when(n <= 0, F.lit(0.0)).otherwise(few + rest)
 
 
 def ddirichlet_multinomial_robust(x: Column, weight: Column, concentration: Number, log: bool = True) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lakewright.functions.biology import surplus_production
 from lakewright.operators.aggregates import envelope
 from lakewright.plans import expr as X
 from lakewright.plans.laplace import ChainLaplace
+from lakewright.plans.optimize import finite_gradient, lbfgs
 
 #: Default catch multipliers of projection scenarios.
 SCENARIOS = {"zero_catch": 0.0, "low_catch": 0.75, "status_quo": 1.0, "high_catch": 1.25}
@@ -86,3 +89,34 @@ def reference_points(stocks: DataFrame, r: str = "r", k: str = "k", biomass: str
     rr, kk = F.col(r), F.col(k)
     out = stocks.withColumns({"b_msy": kk / 2, "f_msy": rr / 2, "msy": rr * kk / 4})
     return out.withColumn("b_ratio", F.col(biomass) / F.col("b_msy")).withColumn("f_ratio", F.try_divide(F.col(catch) / F.col(biomass), F.col("f_msy")))
+
+
+#: Centres and sds of the soft priors on log r, log K and log q of the deterministic fit.
+SOFT_PRIORS = ((math.log(0.34), 0.5), (math.log(950.0), 0.75), (math.log(1e-3), 1.0))
+
+
+def deterministic_objective(x: np.ndarray, catch: np.ndarray, index: np.ndarray, *, start: float = 0.82, index_sd: float = 0.1, priors: tuple[tuple[float, float], ...] = SOFT_PRIORS) -> float:
+    """Negative log density of log r, log K, log q: lognormal index errors around B' = B + r B (1 - B / K) - catch
+    from a given share of K, and normal soft priors; biomass has a floor of a millionth of K."""
+    r, k, q = np.exp(x)
+    b, out = start * k, 0.0
+    for c, i in zip(catch, index, strict=True):
+        out += 0.5 * ((math.log(i) - math.log(q * b)) / index_sd) ** 2
+        b = max(1e-6 * k, b + r * b * (1 - b / k) - c)
+    return out + sum(0.5 * ((v - m) / s) ** 2 for v, (m, s) in zip(x, priors, strict=True))
+
+
+def fit_deterministic(rows: DataFrame, series: str, year: str, catch: str, index: str) -> DataFrame:
+    """(series, r, k, q, objective, converged) of each series; a series is a group of a grouped map. Years without
+    a positive index or with a null are left out of the data but an empty series is not."""
+    kind = dict(rows.dtypes)[series]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = pdf.dropna().sort_values(year)
+        some = some[some[index] > 0]
+        c, i = some[catch].to_numpy(float), some[index].to_numpy(float)
+        f = lambda x: deterministic_objective(x, c, i)
+        got = lbfgs(lambda x: (f(x), finite_gradient(f, x)), np.array([m for m, _ in SOFT_PRIORS]), tol=1e-3, most=200)
+        return pd.DataFrame({series: [pdf[series].iloc[0]], **dict(zip("rkq", np.exp(got.x)[:, None].tolist(), strict=True)), "objective": [got.value], "converged": [got.converged]})
+
+    return rows.select(series, year, catch, index).groupBy(series).applyInPandas(run, f"{series} {kind}, r double, k double, q double, objective double, converged boolean")

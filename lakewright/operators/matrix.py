@@ -133,13 +133,25 @@ def _targets(spark: SparkSession) -> DataFrame:
 
 
 def effective_sparsity(coo: DataFrame, tol: float = 1e-8) -> DataFrame:
-    """Entries, largest first, that hold each target share of total absolute value; all non-zeros for 1."""
-    big = coo.filter(F.abs("value") > tol).select(F.abs("value").alias("a"), "i", "j")
-    w = Window.orderBy(F.desc("a"), "i", "j")
-    run = big.withColumn("k", F.row_number().over(w)).withColumn("c", F.sum("a").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("a").over(Window.partitionBy()))
-    first = [F.min(F.when(F.col("c") >= t, F.col("k"))) if t < 1 else F.count("*") for t in TARGETS]
-    one = run.agg(F.count("*").alias("nonzeros"), F.array(*[F.coalesce(x, F.count("*")).cast("long") for x in first]).alias("e"))
-    return one.select(F.posexplode("e").alias("p", "entries_required"), "nonzeros").select(F.element_at(F.array(*[F.lit(t) for t in TARGETS]), F.col("p") + 1).alias("target"), "entries_required", F.try_divide("nonzeros", "entries_required").alias("compression"))
+    """Entries, largest first, that hold each target share of total absolute value; all non-zeros for 1.
+
+    Entries are summed by magnitude, in buckets of a sixteenth of a power of two, of which there are a few
+    thousand at most; only the buckets in which a target is met, one per target, are put in order.
+    """
+    big = coo.filter(F.abs("value") > tol).select(F.abs("value").alias("a"), "i", "j", F.floor(16 * F.log2(F.abs("value"))).alias("b"))
+    per = big.groupBy("b").agg(F.count("*").alias("n"), F.sum("a").alias("s"))
+    up = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    run = per.withColumn("upto", F.sum("s").over(up)).withColumn("before", F.coalesce(F.sum("n").over(up) - F.col("n"), F.lit(0))).withColumn("total", F.sum("s").over(Window.partitionBy()))
+    met = run.withColumn("prior", F.col("upto") - F.col("s"))
+    crossed = met.select("b", "before", "prior", "upto", "total", F.explode(F.array(*[F.lit(t) for t in TARGETS if t < 1])).alias("target")).filter((F.col("upto") >= F.col("target") * F.col("total")) & (F.col("prior") < F.col("target") * F.col("total")))
+    inside = big.join(F.broadcast(crossed), "b")  # a row per target
+    w = Window.partitionBy("target").orderBy(F.desc("a"), "i", "j")
+    held = (F.col("prior") + F.sum("a").over(w.rowsBetween(Window.unboundedPreceding, 0))) / F.col("total")
+    need = inside.withColumn("k", F.col("before") + F.row_number().over(w)).withColumn("c", held).groupBy("target").agg(F.min(F.when(F.col("c") >= F.col("target"), F.col("k"))).alias("need"))
+    count = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nonzeros"))
+    out = _targets(coo.sparkSession).join(F.broadcast(need), "target", "left").crossJoin(count)  # a row per target, and one
+    entries = F.coalesce("need", "nonzeros").cast("long")
+    return out.select("target", entries.alias("entries_required"), F.try_divide("nonzeros", entries).alias("compression"))
 
 
 def banded_entry_count(n: Column | int, b: Column | int) -> Column | int:

@@ -145,6 +145,16 @@ def laplace_fit(spark, sf):
     return rounded(inference.fixed_effect_report(spark, model.params, x, c.covariance), 4)
 
 
+@query("surplus_fits")
+def surplus_fits(spark, sf):
+    """Deterministic surplus production with soft priors, fitted to each priority's yearly orders; checked in the tests on simulated data."""
+    from lakewright.models.surplus import fit_deterministic
+
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("stock"), F.year("o_orderdate").alias("year"))
+    rows = o.agg((F.count("*") * 20.0 / F.lit(table(spark, sf, "orders").count()) * 35).alias("catch_mt"), (F.avg("o_totalprice") / 200_000).alias("index"))
+    return rounded(fit_deterministic(rows, "stock", "year", "catch_mt", "index"), 3)
+
+
 def _target():
     """Log density of a correlated normal with known moments: means 1 and -2, sds 1 and 2, correlation 0.5."""
     mean, c = np.array([1.0, -2.0]), np.array([[1.0, 1.0], [1.0, 4.0]])
