@@ -118,7 +118,7 @@ def test_overrides_over_whole_tables(spark, tmp_path):
     part = [(p, 900.0 + p) for p in range(1, 701)]
     spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(part, "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.o_orderkey: r.weight for r in catalog.QUERIES["asof_override_all"](spark, str(tmp_path)).collect()}
+    got = {r.o_orderkey: r.weight for r in catalog.QUERIES["asof_override"](spark, str(tmp_path)).collect()}
     want = {}
     for k, pr, at in orders:
         met = [(p, price / 1000) for p, price in part if names[p % 5] == pr and day + datetime.timedelta(days=7 * p) <= at]
