@@ -1,4 +1,4 @@
-"""Model library: year effects, latent abundance, selectivity random walk, recruitment deviations, catch at age."""
+"""Model library: year effects, latent abundance, selectivity random walk, recruitment deviations and curves, catch at age."""
 
 from __future__ import annotations
 
@@ -35,6 +35,21 @@ def selectivity_random_walk() -> ChainLaplace:
     return ChainLaplace(X.normal_nll(u, 0.0, 0.0), X.normal_nll(v, u, X.param("log_sd")), observe, ["a50", "slope", "log_sd"])
 
 
+def ar1_nll(u: np.ndarray, rho: float, sd: float) -> float:
+    """Negative log density, without constants, of a stationary AR(1) with innovations of ``sd``; 0 for no values."""
+    if not len(u):
+        return 0.0
+    first = sd / np.sqrt(1 - rho**2)
+    return float(0.5 * (u[0] / first) ** 2 + np.log(first) + (0.5 * ((u[1:] - rho * u[:-1]) / sd) ** 2 + np.log(sd)).sum())
+
+
+def _aged(alive: np.ndarray, recruits: float) -> np.ndarray:
+    """Numbers a year on: recruits first, the last age a plus group."""
+    n = np.concatenate([[recruits], alive[:-1]])
+    n[-1] += alive[-1]
+    return n
+
+
 @dataclass
 class Recruitment:
     """Cohorts with recruitment deviations that follow a stationary AR(1), an index and optional catches.
@@ -65,16 +80,12 @@ class Recruitment:
         for y in range(len(u)):
             n[0] = r0 * np.exp(u[y] - self.sd**2 / 2)
             b[y], c[y] = (n * self.weight).sum(), (n * self.weight * f * exposure(z, 1.0)).sum()
-            alive = n * np.exp(-z)
-            n = np.concatenate([[0.0], alive[:-1]])
-            n[-1] += alive[-1]
+            n = _aged(n * np.exp(-z), 0.0)
         return b, c
 
     def joint(self, theta: np.ndarray, u: np.ndarray) -> float:
         b, c = self.series(theta, u)
-        first = self.sd / np.sqrt(1 - self.rho**2)
-        total = 0.5 * ((theta[0] - 8) / 4) ** 2 + 0.5 * ((theta[1] + 3.7) / 3) ** 2
-        total += 0.5 * (u[0] / first) ** 2 + np.log(first) + (0.5 * ((u[1:] - self.rho * u[:-1]) / self.sd) ** 2 + np.log(self.sd)).sum()
+        total = 0.5 * ((theta[0] - 8) / 4) ** 2 + 0.5 * ((theta[1] + 3.7) / 3) ** 2 + ar1_nll(u, self.rho, self.sd)
         e = (np.log(self.index) - self.log_q - np.log(np.maximum(b, 1e-12))) / self.index_sd
         total += 0.5 * e @ e
         if self.use_catch:
@@ -83,6 +94,55 @@ class Recruitment:
         return float(total)
 
 
+@dataclass
+class RickerStock:
+    """Ages fished by the observed catches, recruits from a Ricker curve times AR(1) deviations.
+
+    theta: log_r0, log_fbar. u: a deviation of the recruits that each year's spawners leave (so the last one is
+    told by its prior alone), or none at all. Catches take at most ``most_removed`` of what fbar would take.
+    """
+
+    index: np.ndarray
+    catch: np.ndarray
+    weight: np.ndarray
+    maturity: np.ndarray
+    m: float = 0.25
+    log_q: float = -8.78
+    a50: float = 4.0
+    slope: float = 1.0
+    rho: float = 0.6
+    sd: float = 0.15
+    index_sd: float = 0.3
+    catch_sd: float = 0.25
+    use_catch: bool = False
+    spawners_per_r0: float = 4.0  # the curve gives r0 recruits at this many spawners a recruit of r0
+    most_removed: float = 0.95
+
+    def series(self, theta: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(biomass, predicted catch, catch removed) by year."""
+        r0, f = np.exp(theta[0]), np.exp(theta[1]) * logistic(self.slope * (np.arange(1, len(self.weight) + 1) - self.a50))
+        harvest = f * exposure(self.m + f, 1.0)
+        n, out = r0 * survivorship(np.full(len(f), self.m)), np.empty((3, len(self.catch)))
+        for y, dev in enumerate(u if len(u) else np.zeros(len(self.catch))):
+            made = (n * harvest * self.weight).sum()
+            share = min(self.catch[y] / made, self.most_removed)
+            out[:, y] = (n * self.weight).sum(), made, share * made
+            s = (n * self.weight * self.maturity).sum() / (self.spawners_per_r0 * r0)
+            n = _aged(n * (1 - share * harvest) * np.exp(-self.m), r0 * s * np.exp(1 - s + dev))
+        return out[0], out[1], out[2]
+
+    def joint(self, theta: np.ndarray, u: np.ndarray) -> float:
+        b, c, _ = self.series(theta, u)
+        total = 0.5 * ((theta[0] - 8) / 4) ** 2 + 0.5 * ((theta[1] + 3.7) / 3) ** 2 + ar1_nll(u, self.rho, self.sd)
+        pairs = [(self.index, self.log_q + np.log(np.maximum(b, 1e-12)), self.index_sd)]
+        if self.use_catch:
+            pairs.append((self.catch, np.log(np.maximum(c, 1e-12)), self.catch_sd))
+        for seen, made, sd in pairs:
+            e = (np.log(np.maximum(seen, 1e-12)) - made) / sd
+            total += 0.5 * e @ e
+        return float(total)
+
+
 @dataclass
 class CatchAtAge:
     """Catches at age with yearly recruitment and fishing deviations: u holds both, theta log_r0, log_f, log_sd.
@@ -105,9 +165,7 @@ class CatchAtAge:
             n[0] = r[y]
             z = self.m + f[y] * s
             out[y] = n * f[y] * s * exposure(z, 1.0)
-            alive = n * np.exp(-z)
-            n = np.concatenate([[0.0], alive[:-1]])
-            n[-1] += alive[-1]
+            n = _aged(n * np.exp(-z), 0.0)
         return out
 
     def joint(self, theta: np.ndarray, u: np.ndarray) -> float:

@@ -118,6 +118,63 @@ def test_spatial(spark):
     assert len(table) == 2 * d.catch.size and abs(table.residual.std() - 1) < 0.15
 
 
+def test_spatial_reference_points(spark):
+    from dataclasses import replace
+
+    d, p = spatial_data(), spatial.SpatialFit(8.0, -3.0, -1.0)
+    f = spatial.fishing_pattern(d, p)
+    # constant effort for many years comes to the solved equilibrium
+    long = replace(d, **{k: np.repeat(d.effort[:, -3:].mean(1, keepdims=True), 120, 1) for k in ("effort", "catch", "index")})
+    run, eq = spatial.dynamics(long, p), spatial.equilibrium(d, f, p.log_r0)
+    assert run["ssb"][-1] == pytest.approx(eq["ssb"], rel=1e-9) and run["catch"][:, -1].sum() == pytest.approx(eq["yield"], rel=1e-9)
+    assert spatial.equilibrium(d, 0 * f, p.log_r0)["ssb"] == pytest.approx(run["ssb0"], rel=1e-9)
+    # with a stock-recruit curve, projections come to it as well
+    far = spatial.project(d, p, 0.7, 600, steepness=0.6)
+    eq = spatial.equilibrium(d, 0.7 * f, p.log_r0, 0.6)
+    assert far["ssb"][-1] == pytest.approx(eq["ssb"], rel=1e-6) and far["yield"][-1] == pytest.approx(eq["yield"], rel=1e-6)
+    assert spatial.equilibrium(d, 500 * f, p.log_r0, 0.3)["recruits"] == 0
+    r = spatial.reference_points(d, p, steepness=0.6)
+    near = spatial.equilibrium(d, r["f_msy"] * np.linspace(0.5, 1.5, 101)[:, None, None, None, None] * f, p.log_r0, 0.6)["yield"]
+    assert not r["at_boundary"] and near.max() <= r["msy"] * (1 + 1e-9) and r["status_quo_f_ratio"] == pytest.approx(1 / r["f_msy"])
+    assert spatial.reference_points(d, p, most=1e-3, doublings=1)["at_boundary"]
+    with pytest.raises(ValueError):
+        spatial.reference_points(replace(d, effort=0 * d.effort), p)
+    for bad in (lambda: spatial.project(d, p, -1.0, 3), lambda: spatial.project(d, p, 1.0, 3, recruitment=np.ones(2)), lambda: spatial.equilibrium(d, f, 8.0, 0.2)):
+        with pytest.raises(ValueError):
+            bad()
+    doubled = spatial.project(d, p, 1.0, 2, recruitment=np.array([2.0, 1.0]))
+    assert doubled["ssb"][1] > spatial.project(d, p, 1.0, 2)["ssb"][1]
+    cases = spark.createDataFrame([("a", 0.5, 0.7), ("b", 1.5, 0.7)], "case string, multiple double, steepness double")
+    rows = spatial.project_cases(cases, d, p, 4).collect()
+    assert len(rows) == 8 and spatial.project_cases(cases.limit(0), d, p, 4).count() == 0 and spatial.reference_cases(cases.limit(0), d, p).count() == 0
+    assert {x["case"]: x["f_msy"] for x in spatial.reference_cases(cases, d, p).collect()}["a"] == pytest.approx(spatial.reference_points(d, p, steepness=0.7)["f_msy"])
+
+
+def test_ricker_stock():
+    from lakewright.models.examples import RickerStock, ar1_nll
+    from lakewright.plans.dense import DenseLaplace
+
+    weight, maturity = np.array([0.2, 0.45, 0.75, 1.1, 1.45, 1.75, 2.0]), np.array([0, 0.1, 0.45, 0.8, 0.95, 1, 1])
+    u = np.array([0.3, -0.1, 0.2])
+    cov = 0.15**2 / (1 - 0.36) * 0.6 ** np.abs(np.subtract.outer(np.arange(3), np.arange(3)))
+    assert ar1_nll(u, 0.6, 0.15) == pytest.approx(0.5 * u @ np.linalg.solve(cov, u) + 0.5 * np.linalg.slogdet(cov)[1])
+    assert ar1_nll(np.zeros(0), 0.6, 0.15) == 0
+    theta = np.array([8.0, -2.0])
+    small = RickerStock(np.ones(6), np.full(6, 50.0), weight, maturity)
+    b, made, removed = small.series(theta, np.zeros(6))
+    assert np.allclose(removed, 50) and (made > 50 / 0.95).all()
+    assert np.allclose(RickerStock(np.ones(6), made * 9, weight, maturity).series(theta, np.zeros(6))[2][0], 0.95 * made[0])
+    # recruits of the second year by the curve's usual form, a * s * exp(-b * s)
+    r0, first = np.exp(8.0), np.exp(8.0) * np.append(np.exp(-0.25 * np.arange(6)), np.exp(-1.5) / (1 - np.exp(-0.25)))
+    s, slope = (first * weight * maturity).sum(), 1 / (4 * r0)
+    more = small.series(theta, np.array([0.5, 0, 0, 0, 0, 0]))[0]
+    assert (more - b)[1] == pytest.approx(weight[0] * r0 * np.e * slope * s * np.exp(-slope * s) * (np.exp(0.5) - 1))
+    true = np.array([0.1, -0.1, 0.15, 0.0, 0.1, 0.0])
+    model = RickerStock(np.exp(-8.78) * small.series(theta, true)[0], np.full(6, 50.0), weight, maturity)
+    fit = DenseLaplace(model.joint, np.zeros(6)).fit(np.array([7.6, -2.2]), most=15, tol=0.05)
+    assert abs(fit.x[0] - 8) < 0.3 and model.joint(theta, np.zeros(0)) > 0
+
+
 def test_dense_laplace_like_chain():
     from lakewright.models.examples import latent_abundance
     from lakewright.plans.dense import DenseLaplace
