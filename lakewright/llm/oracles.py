@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lakewright.llm.chat import BOS, CONTROL, ESCAPE, FRAMES
+from lakewright.llm.license_scan import LEAST_STRIDE, PERCENT, TEMPLATES, words_of
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,4 +61,50 @@ _BASE32 = """array_to_string(list_transform(range(32), lambda k: substr('ABCDEFG
 OP8 = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op2_embedding_neardup": OP2, "op5_topk": OP5, "op6_substring_dedup": OP6, "op7_chat": OP7, "op8_warc": OP8}
+OP11 = """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS a, ('0x' || h[9:16])::BIGINT AS b, ('0x' || h[17:24])::BIGINT AS c, ('0x' || h[25:32])::BIGINT AS e FROM h),
+k AS (SELECT *, least(a % (n + 1), b % (n + 1)) AS lo, greatest(a % (n + 1), b % (n + 1)) AS hi, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c % 100 >= 90 THEN 'plain' WHEN e % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, substr(t, 1, lo) AS p, substr(t, lo + 1, hi - lo) AS m, substr(t, hi + 1) AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _values(rows: list[tuple]) -> str:
+    """Rows of strings, numbers and lists of words as SQL values."""
+
+    def one(x) -> str:
+        return "[" + ", ".join(map(one, x)) + "]" if isinstance(x, list) else "'" + x + "'" if isinstance(x, str) else str(x)
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+_PHRASES = _values([(t.label, words_of(t.text)) for t in TEMPLATES if t.phrase])
+_NOTICES = _values([(t.label, sorted(set(words_of(t.text))), max(LEAST_STRIDE, 1 << (len(words_of(t.text)) - 1).bit_length())) for t in TEMPLATES if not t.phrase])
+
+#: Every block against every template, by the words that both have.
+OP12 = f"""WITH w AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+p(label, words) AS (VALUES {_PHRASES}), t(label, words, s) AS (VALUES {_NOTICES}),
+x AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (SELECT k, label, i - 1 AS place FROM x JOIN p ON w[i] = words[1] AND w[i:i + len(words) - 1] = words),
+a AS (SELECT k, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM f GROUP BY k),
+b AS (SELECT k, s, i * s AS start, w[i * s + 1:(i + 2) * s] AS b FROM (SELECT k, w, s, unnest(range(greatest((len(w) + s - 1) // s - 1, 1))) AS i FROM w, (SELECT DISTINCT s FROM t))),
+c AS (SELECT k, label, len(list_intersect(words, b)) / len(words) AS share FROM b JOIN t USING (s) WHERE 100 * len(list_intersect(words, b)) >= {PERCENT} * len(words)),
+m AS (SELECT k, list(DISTINCT label) AS labels, max(share) AS share FROM c GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(a.n, 0)::BIGINT AS n_base, a.lo AS first_word, a.hi AS last_word, coalesce(array_to_string(list_sort(a.labels), ','), '') AS base_labels,
+array_to_string(list_sort(list_distinct(list_concat(coalesce(a.labels, []), coalesce(m.labels, [])))), ',') AS labels, greatest(CASE WHEN a.n > 0 THEN 1 ELSE 0 END, coalesce(m.share, 0))::DOUBLE AS score FROM w LEFT JOIN a USING (k) LEFT JOIN m USING (k)"""
+
+#: crc32 byte by byte. Words replaced at a place share what is left without it; an inserted character leaves the shorter word.
+OP13 = """WITH RECURSIVE z AS (SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k)) AS z),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL),
+c AS (SELECT run, n, length(run) AS l, xor(4294967295, list_reduce(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [192 + (ord(x) >> 6)::BIGINT, 128 + (ord(x) & 63)::BIGINT] END)), lambda c, b: xor(c >> 8, z[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM r, z),
+w AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS l FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % l) || substr(run, h % l + 2) ELSE run END AS word, n FROM c) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, l + 1)) AS i FROM w)),
+e AS (SELECT DISTINCT d.word AS long, d.n AS long_n, w.word AS short, w.n AS short_n FROM d JOIN w ON w.word = d.rest),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION ALL SELECT long, long_n, short, short_n FROM e UNION ALL SELECT short, short_n, long, long_n FROM e),
+f AS (SELECT word, n, count(*) AS n_near, max(m) AS m FROM p GROUP BY 1, 2),
+g AS (SELECT f.word, f.n_near, min(p.other) FILTER (p.m = f.m AND p.m >= 2 * p.n) AS form, min(p.m) FILTER (p.m = f.m AND p.m >= 2 * p.n) AS form_n FROM f JOIN p ON p.word = f.word GROUP BY 1, 2),
+s AS (SELECT word, word AS root, 0 AS step FROM w UNION ALL SELECT s.word, g.form, s.step + 1 FROM s JOIN g ON g.word = s.root WHERE g.form IS NOT NULL),
+o AS (SELECT word, arg_max(root, step) AS root FROM s GROUP BY word)
+SELECT w.word, g.form, o.root, w.n, coalesce(g.n_near, 0)::BIGINT AS n_near, g.form_n FROM w JOIN o ON o.word = w.word LEFT JOIN g ON g.word = w.word"""
+
+ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op2_embedding_neardup": OP2, "op5_topk": OP5, "op6_substring_dedup": OP6, "op7_chat": OP7, "op8_warc": OP8, "op11_fill_in_middle": OP11, "op12_license_scan": OP12, "op13_spelling_groups": OP13}

@@ -101,6 +101,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.fim import fill_in_middle, restore
+
+    out = fill_in_middle(table(spark, sf_dir, "documents")).withColumn("restored", restore(F.col("output"), F.col("form")))
+    return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), sha256("output").alias("output_sha256"), sha256("restored").alias("restored_sha256"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.license_scan import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    starts, named, held = F.col("phrases.start"), F.col("phrases.label"), F.col("blocks.label")
+    score = F.greatest(F.when(F.size("phrases") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)))
+    return out.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(named, held)), ",").alias("labels"), score.alias("score"),
+    )
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakewright.llm.spelling import occurrences, spelling_groups
+
+    return spelling_groups(occurrences(table(spark, sf_dir, "documents"), slip_one_in=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -112,4 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_license_scan": op12_license_scan,
+    "op13_spelling_groups": op13_spelling_groups,
 }
