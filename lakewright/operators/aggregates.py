@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions.special import finite
+from lakewright.operators.ordered import quantiles
 
 LOG_FLOOR = 1e-12
 
@@ -50,12 +53,20 @@ def parameter_displacement(value: Column, initial: Column) -> dict[str, Column]:
     return {"displacement": d, "extreme": ~finite(value) | (F.abs(value) > 20) | (F.abs(d) > 8)}
 
 
+def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of a row per group side by side; null groups meet."""
+    names = [f"__{k}" for k in range(len(by))]
+    right = b.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], *[c for c in b.columns if c not in by])
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)], F.lit(True))
+    return a.join(right, same).drop(*names)
+
+
 def envelope(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, sd (0 for one sample), median, 95 % limits by linear interpolation and n, over finite samples."""
     x = F.when(finite(F.col(value)), F.col(value).cast("double"))
-    q = F.percentile(x, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    out = rows.groupBy(*by).agg(F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.when(F.count(x) == 1, 0.0)).alias("se"), q.alias("__q"), F.count(x).alias("n_samples"))
-    return out.select(*by, "mean", F.col("__q")[1].alias("median"), F.col("__q")[0].alias("lwr_95"), F.col("__q")[2].alias("upr_95"), "se", "n_samples")
+    out = rows.groupBy(*by).agg(F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.when(F.count(x) == 1, 0.0)).alias("se"), F.count(x).alias("n_samples"))
+    q = quantiles(rows, by, value, {"median": 0.5, "lwr_95": 0.025, "upr_95": 0.975})
+    return _beside(out, q, by).select(*by, "mean", "median", "lwr_95", "upr_95", "se", "n_samples")
 
 
 def latent_summary(rows: DataFrame, by: list[str], value: str, index: str) -> DataFrame:
@@ -77,7 +88,9 @@ def bias_summary(rows: DataFrame, by: list[str], bias: str, depletion: str, low:
     """Mean, median, 10 and 90 % points of a bias and the rate of low depletion over finite cases."""
     ok = finite(F.col(bias)) & finite(F.col(depletion))
     b = F.when(ok, F.col(bias).cast("double"))
-    return rows.groupBy(*by).agg(F.count(b).alias("n"), F.avg(b).alias("mean_bias"), F.percentile(b, 0.5).alias("median_bias"), F.percentile(b, 0.1).alias("p10"), F.percentile(b, 0.9).alias("p90"), F.avg(F.when(ok, (F.col(depletion) < low).cast("double"))).alias("low_rate"))
+    out = rows.groupBy(*by).agg(F.count(b).alias("n"), F.avg(b).alias("mean_bias"), F.avg(F.when(ok, (F.col(depletion) < low).cast("double"))).alias("low_rate"))
+    q = quantiles(rows.select(*by, b.alias("__b")), by, "__b", {"median_bias": 0.5, "p10": 0.1, "p90": 0.9})
+    return _beside(out, q, by).select(*by, "n", "mean_bias", "median_bias", "p10", "p90", "low_rate")
 
 
 def gradient_volatility(rows: DataFrame, sample: str, component: str, gradient: str, baseline: str) -> tuple[DataFrame, DataFrame]:

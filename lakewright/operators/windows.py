@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakewright.functions.distributions import dnorm
 from lakewright.functions.special import inverse_normal_cdf, normal_cdf
+from lakewright.operators.ordered import average_ranks, quantiles
 
 
 def ar1_logpdf(rows: DataFrame, series: list[str], order: list[str], x: str, mean: float, phi: float, sd: float) -> DataFrame:
@@ -32,9 +33,8 @@ def iid_logpdf(rows: DataFrame, by: list[str], x: str, mean: float, sd: float) -
 
 def rank_normalize(draws: DataFrame, parameter: list[str], value: str) -> DataFrame:
     """z = inverse normal of (average rank - 3/8) / (N + 1/4) over all chains of a parameter."""
-    w = Window.partitionBy(*parameter)
-    rank = F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*parameter, value)) - 1) / 2.0
-    return draws.withColumn("z", inverse_normal_cdf((rank - 0.375) / (F.count("*").over(w) + 0.25)))
+    ranked = average_ranks(draws, parameter, value)
+    return ranked.withColumn("z", inverse_normal_cdf((F.col("__rank") - 0.375) / (F.col("__n") + 0.25))).drop("__rank", "__n")
 
 
 def split_chains(draws: DataFrame, parameter: list[str], chain: str, iteration: list[str]) -> DataFrame:
@@ -97,7 +97,7 @@ def effective_sample_size(split: DataFrame, parameter: list[str], value: str) ->
 
 def tail_indicators(split: DataFrame, parameter: list[str], value: str, p: float, lower: bool) -> DataFrame:
     """Whether a draw is at or beyond the p quantile, as 0 or 1."""
-    q = split.groupBy(*parameter).agg(F.percentile(F.col(value).cast("double"), p).alias("__q"))
+    q = quantiles(split, parameter, value, {"__q": p})
     beyond = F.col(value) <= F.col("__q") if lower else F.col(value) >= F.col("__q")
     return split.join(q, parameter).withColumn("tail", beyond.cast("double")).drop("__q")
 
@@ -105,7 +105,7 @@ def tail_indicators(split: DataFrame, parameter: list[str], value: str, p: float
 def chain_diagnostics(draws: DataFrame, parameter: list[str], chain: str, iteration: list[str], value: str) -> DataFrame:
     """R-hat (the larger of rank-normalised and folded), bulk ESS and tail ESS (the smaller of both tails)."""
     split = split_chains(draws, parameter, chain, iteration)
-    middle = split.groupBy(*parameter).agg(F.percentile(F.col(value).cast("double"), 0.5).alias("__m"))
+    middle = quantiles(split, parameter, value, {"__m": 0.5})
     folded = split.join(middle, parameter).withColumn("__f", F.abs(F.col(value) - F.col("__m"))).drop("__m")
     z, zf = rank_normalize(split, parameter, value), rank_normalize(folded, parameter, "__f")
     out = split_rhat(z, parameter, "z").withColumnRenamed("rhat", "__r1").join(split_rhat(zf, parameter, "z").withColumnRenamed("rhat", "__r2"), parameter)

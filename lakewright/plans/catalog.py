@@ -1090,18 +1090,14 @@ UNION ALL SELECT k.event_type, k.k, k.d - 0.49 / r.v, r.logdet + ln(k.d - 0.49 /
 SELECT event_type, max(k) AS n, round(arg_max(logdet, k), 6) AS logdet, round(1 / arg_max(v, k), 8) AS last_variance FROM r GROUP BY 1""",
 )
 def tridiagonal_series(spark, sf):
-    """Log determinant and last marginal variance of one tridiagonal precision per series; the oracle runs the pivots."""
-    import pandas as pd
-
-    from lakewright.plans.linalg import Tridiagonal
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-        t = Tridiagonal(2 + pdf.value.to_numpy() / 100, np.full(len(pdf) - 1, -0.7))
-        return pd.DataFrame({"event_type": [pdf.event_type.iloc[0]], "n": [len(pdf)], "logdet": [round(t.logdet(), 6)], "last_variance": [round(float(t.inverse_diagonal()[-1]), 8)]})
-
-    rows = table(spark, sf, "events").select("event_type", "ts", "event_id", "value")
-    return rows.groupBy("event_type").applyInPandas(run, "event_type string, n long, logdet double, last_variance double")
+    """Log determinant and last marginal variance of one tridiagonal precision per series, whose rows lie over many
+    tasks; the oracle runs the pivots."""
+    from lakewright.operators import ordered
+
+    rows = ordered.in_order(table(spark, sf, "events").select("event_type", "ts", "event_id", (2 + F.col("value") / 100).alias("d")), "event_type", "ts", "event_id")
+    pivots = ordered.tridiagonal_pivots(rows, ("event_type",), F.col("d"), F.lit(-0.7))
+    out = pivots.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.ln("pivot")).alias("logdet"), F.max_by("pivot", F.struct("ts", "event_id")).alias("last"))
+    return out.select("event_type", "n", F.round("logdet", 6).alias("logdet"), F.round(1 / F.col("last"), 8).alias("last_variance"))
 
 
 @query("state_space_series")

@@ -141,7 +141,7 @@ def laplace_fit(spark, sf):
     # steps are measured in rough standard errors
     f, back = optimize.scaled(model.evaluate, np.array([mean, math.log(sd)]), np.diag([sd * sd / n, 0.5 / n]))
     x = back(optimize.lbfgs(f, np.zeros(2), tol=1e-3, most=30).x)
-    c = inference.covariance_from_hessian(optimize.gradient_hessian(lambda t: model.evaluate(t)[1], x))
+    c = inference.covariance_from_hessian(model.outer_hessian(x)[2])
     return rounded(inference.fixed_effect_report(spark, model.params, x, c.covariance), 4)
 
 

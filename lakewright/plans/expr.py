@@ -246,6 +246,6 @@ def _column_power(x: Column, n: float) -> Column:
     return F.pow(x, F.lit(n))
 
 
-def to_column(e: Expr, values: Mapping[Expr, Column]) -> Column:
-    """A Column; Spark shares equal subtrees when it generates code."""
-    return _evaluate(e, values, {}, SPARK, F.lit, _column_power)
+def to_column(e: Expr, values: Mapping[Expr, Column], known: Mapping[Expr, Column] | None = None) -> Column:
+    """A Column; subtrees in ``known`` are taken from there. Spark shares equal subtrees when it generates code."""
+    return _evaluate(e, values, dict(known or {}), SPARK, F.lit, _column_power)
