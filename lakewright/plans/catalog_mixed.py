@@ -77,3 +77,50 @@ def laplace_intercept_slope(spark, sf):
     value, g = model.evaluate(_AT)
     model.close()
     return spark.createDataFrame([tuple(round(float(x), 3) for x in (value, *g[:4]))], "objective double, d_mu double, d_log_sigma double, d_log_tau0 double, d_log_tau1 double")
+
+
+_CROSSED = (11.0, 0.9, 0.4, 0.3)
+#: Steps whose result is compared; each adds three tables to the SQL.
+_STEPS = 4
+
+
+def _steps_sql() -> str:
+    mean, sigma, c, p = _CROSSED
+    out = f"""WITH l AS MATERIALIZED (SELECT 0 AS f, o_custkey AS c, l_partkey AS p, ln(l_extendedprice) - {mean} AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+a AS MATERIALIZED (SELECT fi, i, fj, j, v / {sigma**2} + CASE WHEN fi = fj THEN CASE fi WHEN 0 THEN {1 / c**2} ELSE {1 / p**2} END ELSE 0 END AS v FROM (SELECT 0 AS fi, c AS i, 0 AS fj, c AS j, count(*) AS v FROM l GROUP BY c UNION ALL SELECT 1, p, 1, p, count(*) FROM l GROUP BY p
+UNION ALL SELECT 0, c, 1, p, count(*) FROM l GROUP BY c, p UNION ALL SELECT 1, p, 0, c, count(*) FROM l GROUP BY c, p)),
+b AS (SELECT 0 AS f, c AS k, sum(y) / {sigma**2} AS b FROM l GROUP BY c UNION ALL SELECT 1, p, sum(y) / {sigma**2} FROM l GROUP BY p),
+s0 AS MATERIALIZED (SELECT f, k, v AS d, 0.0::DOUBLE AS x, b AS r, b / v AS p FROM b JOIN a ON fi = f AND i = k AND fj = f AND j = k)"""
+    for t in range(_STEPS):
+        out += f""", q{t} AS MATERIALIZED (SELECT f, k, d, x, r, s.p, q FROM s{t} s JOIN (SELECT fi, i, sum(v * p) AS q FROM a JOIN s{t} ON f = fj AND k = j GROUP BY 1, 2) ON fi = f AND i = k),
+t{t} AS MATERIALIZED (SELECT f, k, d, x + al * p AS x, r - al * q AS r, p, rr FROM q{t}, (SELECT sum(r * r / d) / sum(p * q) AS al, sum(r * r / d) AS rr FROM q{t})),
+s{t + 1} AS MATERIALIZED (SELECT f, k, d, x, r, r / d + be * p AS p FROM t{t}, (SELECT sum(r * r / d) / max(rr) AS be FROM t{t}))"""
+    return out + f" SELECT f::INTEGER AS factor, k AS level, round(x, 7) AS effect FROM s{_STEPS}"
+
+
+def crossed_effects(spark, sf):
+    """Log line prices with an effect of each customer and one of each part."""
+    from lakewright.plans.krylov import crossed_system
+
+    mean, sigma, c, p = _CROSSED
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", (F.ln("l_extendedprice") - mean).alias("y")).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return crossed_system(rows, {"o_custkey": c, "l_partkey": p}, "y", sigma)
+
+
+@query("crossed_effects_steps", _steps_sql())
+def crossed_effects_steps(spark, sf):
+    """Effects of customers and parts after a fixed number of conjugate-gradient steps; the oracle takes the same steps in SQL."""
+    system, right = crossed_effects(spark, sf)
+    out = system.solve(right, ["b"], steps=_STEPS).solution
+    return rounded(out.select(F.col("node.factor").alias("factor"), F.col("node.level").alias("level"), F.col("b").alias("effect")), 7)
+
+
+@query("crossed_effects_fit")
+def crossed_effects_fit(spark, sf):
+    """Unknowns, relative residual and log determinant of the crossed model; checked against dense matrices in the tests."""
+    system, right = crossed_effects(spark, sf)
+    run = system.solve(right, ["b"], steps=60, tol=1e-8)
+    value, error = system.log_determinant(probes=8, steps=10)
+    out = spark.createDataFrame([(system.side, bool(run.residual[0] <= 1e-8), value, error)], "unknowns long, solved boolean, log_determinant double, standard_error double")
+    system.close()
+    return out
