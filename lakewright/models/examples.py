@@ -50,6 +50,12 @@ def _aged(alive: np.ndarray, recruits: float) -> np.ndarray:
     return n
 
 
+def normal_prior(x: np.ndarray, prior: tuple[tuple[float, float], ...]) -> float:
+    """Half the squared distances from (centre, sd) of each number."""
+    centre, sd = np.array(prior).T
+    return float(0.5 * (((x - centre) / sd) ** 2).sum())
+
+
 @dataclass
 class Recruitment:
     """Cohorts with recruitment deviations that follow a stationary AR(1), an index and optional catches.
@@ -60,18 +66,19 @@ class Recruitment:
     index: np.ndarray
     catch: np.ndarray
     weight: np.ndarray
-    m: float = 0.25
-    log_q: float = -8.78
-    a50: float = 4.0
-    slope: float = 1.0
-    rho: float = 0.6
-    sd: float = 0.15
-    index_sd: float = 0.3
-    catch_sd: float = 0.25
+    m: float = 0.2
+    log_q: float = 0.0
+    a50: float = 3.0
+    slope: float = 1.5
+    rho: float = 0.5
+    sd: float = 0.2
+    index_sd: float = 0.2
+    catch_sd: float = 0.2
     use_catch: bool = True
+    prior: tuple[tuple[float, float], ...] = ((7.0, 5.0), (-2.0, 2.0))
 
     def series(self, theta: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(biomass, catch) by year."""
+        """(biomass, catch) by year; catches by Baranov's equation."""
         ages = np.arange(1, len(self.weight) + 1)
         f = np.exp(theta[1]) * logistic(self.slope * (ages - self.a50))
         z, r0 = self.m + f, np.exp(theta[0])
@@ -85,62 +92,56 @@ class Recruitment:
 
     def joint(self, theta: np.ndarray, u: np.ndarray) -> float:
         b, c = self.series(theta, u)
-        total = 0.5 * ((theta[0] - 8) / 4) ** 2 + 0.5 * ((theta[1] + 3.7) / 3) ** 2 + ar1_nll(u, self.rho, self.sd)
-        e = (np.log(self.index) - self.log_q - np.log(np.maximum(b, 1e-12))) / self.index_sd
-        total += 0.5 * e @ e
-        if self.use_catch:
-            e = (np.log(self.catch) - np.log(np.maximum(c, 1e-12))) / self.catch_sd
-            total += 0.5 * e @ e
-        return float(total)
+        seen = [(self.index, np.exp(self.log_q) * b, self.index_sd), *([(self.catch, c, self.catch_sd)] if self.use_catch else [])]
+        return normal_prior(theta, self.prior) + ar1_nll(u, self.rho, self.sd) + sum(float(0.5 * (np.log(x / np.maximum(m, 1e-12)) ** 2).sum() / sd**2) for x, m, sd in seen)
 
 
 @dataclass
 class RickerStock:
-    """Ages fished by the observed catches, recruits from a Ricker curve times AR(1) deviations.
+    """Ages under known catches, recruits by Ricker's curve times deviations that follow an AR(1).
+
+    Ricker's curve R = alpha S exp(-beta S) in unfished terms: with x the spawners over those of an unfished
+    stock of r0 recruits, R = r0 x exp(a (1 - x)). Catches are taken at mid-year, as in Pope's
+    approximation: a rate of the selected biomass then, at most ``most``.
 
-    theta: log_r0, log_fbar. u: a deviation of the recruits that each year's spawners leave (so the last one is
-    told by its prior alone), or none at all. Catches take at most ``most_removed`` of what fbar would take.
+    theta: log_r0, log_a. u: a deviation of the recruits that each year's spawners leave (so the last one is
+    told by its prior alone), or none at all.
     """
 
     index: np.ndarray
     catch: np.ndarray
     weight: np.ndarray
     maturity: np.ndarray
-    m: float = 0.25
-    log_q: float = -8.78
-    a50: float = 4.0
-    slope: float = 1.0
-    rho: float = 0.6
-    sd: float = 0.15
-    index_sd: float = 0.3
-    catch_sd: float = 0.25
-    use_catch: bool = False
-    spawners_per_r0: float = 4.0  # the curve gives r0 recruits at this many spawners a recruit of r0
-    most_removed: float = 0.95
-
-    def series(self, theta: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(biomass, predicted catch, catch removed) by year."""
-        r0, f = np.exp(theta[0]), np.exp(theta[1]) * logistic(self.slope * (np.arange(1, len(self.weight) + 1) - self.a50))
-        harvest = f * exposure(self.m + f, 1.0)
-        n, out = r0 * survivorship(np.full(len(f), self.m)), np.empty((3, len(self.catch)))
-        for y, dev in enumerate(u if len(u) else np.zeros(len(self.catch))):
-            made = (n * harvest * self.weight).sum()
-            share = min(self.catch[y] / made, self.most_removed)
-            out[:, y] = (n * self.weight).sum(), made, share * made
-            s = (n * self.weight * self.maturity).sum() / (self.spawners_per_r0 * r0)
-            n = _aged(n * (1 - share * harvest) * np.exp(-self.m), r0 * s * np.exp(1 - s + dev))
-        return out[0], out[1], out[2]
+    m: float = 0.2
+    log_q: float = 0.0
+    a50: float = 3.0
+    slope: float = 1.5
+    rho: float = 0.5
+    sd: float = 0.2
+    index_sd: float = 0.2
+    most: float = 0.9
+    prior: tuple[tuple[float, float], ...] = ((7.0, 5.0), (0.0, 1.0))
+
+    def series(self, theta: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(biomass, catch removed) by year."""
+        r0, steep = np.exp(theta)
+        alive = survivorship(np.full(len(self.weight), self.m))
+        unfished = r0 * (alive * self.weight * self.maturity).sum()
+        selected = logistic(self.slope * (np.arange(1, len(self.weight) + 1) - self.a50))
+        dev, n, out = np.zeros(len(self.catch)), r0 * alive, []
+        dev[: len(u)] = u
+        for caught, d in zip(self.catch, dev, strict=True):
+            at_hand = np.exp(-self.m / 2) * (n * selected * self.weight).sum()
+            rate = min(self.most, caught / at_hand)
+            out.append(((n * self.weight).sum(), rate * at_hand))
+            x = (n * self.weight * self.maturity).sum() / unfished
+            n = _aged(n * np.exp(-self.m) * (1 - rate * selected), r0 * x * np.exp(steep * (1 - x) + d))
+        b, removed = np.array(out).T
+        return b, removed
 
     def joint(self, theta: np.ndarray, u: np.ndarray) -> float:
-        b, c, _ = self.series(theta, u)
-        total = 0.5 * ((theta[0] - 8) / 4) ** 2 + 0.5 * ((theta[1] + 3.7) / 3) ** 2 + ar1_nll(u, self.rho, self.sd)
-        pairs = [(self.index, self.log_q + np.log(np.maximum(b, 1e-12)), self.index_sd)]
-        if self.use_catch:
-            pairs.append((self.catch, np.log(np.maximum(c, 1e-12)), self.catch_sd))
-        for seen, made, sd in pairs:
-            e = (np.log(np.maximum(seen, 1e-12)) - made) / sd
-            total += 0.5 * e @ e
-        return float(total)
+        e = np.log(self.index) - self.log_q - np.log(self.series(theta, u)[0])
+        return normal_prior(theta, self.prior) + ar1_nll(u, self.rho, self.sd) + float(0.5 * (e @ e) / self.index_sd**2)
 
 
 @dataclass

@@ -267,44 +267,48 @@ def spatial_projection(spark, sf):
     return rounded(project_cases(cases, spatial_data(), SpatialFit(8.0, -3.0, -1.0), 10), 4)
 
 
-_RICKER_WEIGHT = (0.2, 0.45, 0.75, 1.1, 1.45, 1.75, 2.0)
-_RICKER_MATURE = (0.0, 0.1, 0.45, 0.8, 0.95, 1.0, 1.0)
-
-
 def _ages(term: str) -> str:
-    """The SQL sum of ``term`` over ages; N, H, W and M stand for an age's numbers, harvest, weight and maturity."""
-    return " + ".join(term.replace("N", f"n[{a + 1}]").replace("H", f"h[{a + 1}]").replace("W", str(_RICKER_WEIGHT[a])).replace("M", str(_RICKER_MATURE[a])) for a in range(7))
+    """The SQL sum of ``term`` over seven ages; N, S, W and M stand for an age's numbers, selectivity, weight and maturity."""
+    return " + ".join(term.replace("N", f"n[{a}]").replace("S", f"s[{a}]").replace("W", f"w[{a}]").replace("M", f"m[{a}]") for a in range(1, 8))
 
 
 def _left(a: int) -> str:
-    return f"n[{a}] * (1 - share * h[{a}]) * exp(-0.25)"
+    return f"n[{a}] * exp(-0.2) * (1 - rate * s[{a}])"
+
+
+_AGES = "[" + ", ".join(f"{a}.0" for a in range(1, 8)) + "]::DOUBLE[]"
 
 
 @query(
     "ricker_stock",
     f"""WITH RECURSIVE g AS (SELECT c_nationkey AS k, year(o_orderdate) AS yr, count(*)::DOUBLE AS c, sum(o_totalprice)::DOUBLE / 1e5 AS i FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
-o AS (SELECT k, c, i, row_number() OVER (PARTITION BY k ORDER BY yr) AS y, avg(c) OVER (PARTITION BY k) * 4 AS r0 FROM g),
-f AS (SELECT list_transform([{", ".join(f"{a}.0" for a in range(1, 8))}]::DOUBLE[], lambda a : exp(-1.2) / (1 + exp(4.0 - a))) AS f),
-q AS (SELECT list_transform(f, lambda x : x * (1 - exp(-0.25 - x)) / (0.25 + x)) AS h FROM f),
-b AS (SELECT k, 1 AS y, r0, h, [{", ".join(f"r0 * exp(-{a} * 0.25)" + (" / (1 - exp(-0.25))" if a == 6 else "") for a in range(7))}]::DOUBLE[] AS n FROM o, q WHERE o.y = 1
-UNION ALL SELECT k, y + 1, r0, h, [r0 * s * exp(1 - s + ((y - 1) % 3 - 1) / 10.0::DOUBLE), {", ".join(_left(a) for a in range(1, 6))}, {_left(6)} + {_left(7)}]::DOUBLE[]
-FROM (SELECT b.k, b.y, b.r0, h, n, least(o.c / ({_ages("N * H * W")}), 0.95) AS share, ({_ages("N * W * M")}) / (4 * b.r0) AS s FROM b JOIN o ON b.k = o.k AND b.y = o.y)),
-e AS (SELECT o.k, o.y, o.r0, {_ages("N * W")} AS biomass, least(o.c, 0.95 * ({_ages("N * H * W")})) AS removed, ln(o.i) - ln({_ages("N * W")}) AS ei, ln(o.c) - ln({_ages("N * H * W")}) AS ec,
+o AS (SELECT k, c, i, row_number() OVER (PARTITION BY k ORDER BY yr) AS y, avg(c) OVER (PARTITION BY k) * 2 AS r0 FROM g),
+a AS (SELECT list_transform({_AGES}, lambda a : 1 / (1 + exp(1.5 * (3 - a)))) AS s, list_transform({_AGES}, lambda a : 2 * (1 - exp(-0.4 * a)) ** 3) AS w, list_transform({_AGES}, lambda a : 1 / (1 + exp(3 - a))) AS m,
+[{", ".join(f"exp(-{a} * 0.2)" + (" / (1 - exp(-0.2))" if a == 6 else "") for a in range(7))}]::DOUBLE[] AS n),
+p AS (SELECT *, {_ages("N * W * M")} AS per FROM a),
+b AS (SELECT k, 1 AS y, r0, s, w, m, per, list_transform(n, lambda x : r0 * x) AS n FROM o, p WHERE o.y = 1
+UNION ALL SELECT k, y + 1, r0, s, w, m, per, [r0 * x * exp(1.5 * (1 - x) + ((y - 1) % 3 - 1) / 10.0::DOUBLE), {", ".join(_left(a) for a in range(1, 6))}, {_left(6)} + {_left(7)}]::DOUBLE[]
+FROM (SELECT b.*, least(0.9, o.c / (exp(-0.1) * ({_ages("N * S * W")}))) AS rate, ({_ages("N * W * M")}) / (b.r0 * per) AS x FROM b JOIN o ON b.k = o.k AND b.y = o.y)),
+e AS (SELECT o.k, o.y, o.r0, {_ages("N * W")} AS biomass, least(o.c, 0.9 * exp(-0.1) * ({_ages("N * S * W")})) AS removed, ln(o.i) - ln({_ages("N * W")}) AS e,
 ((o.y - 1) % 3 - 1) / 10.0::DOUBLE AS u, ((o.y + 1) % 3 - 1) / 10.0::DOUBLE AS v FROM b JOIN o ON b.k = o.k AND b.y = o.y)
-SELECT k AS nation, round(arg_max(biomass, y), 6) AS biomass, round(sum(removed), 6) AS removed, round(0.5 * ((ln(any_value(r0)) - 8) / 4) ** 2 + 0.5 * (2.5 / 3) ** 2 + sum(0.5 * (ei / 0.3) ** 2 + 0.5 * (ec / 0.25) ** 2
-+ CASE WHEN y = 1 THEN 0.5 * (u / 0.1875) ** 2 + ln(0.1875) ELSE 0.5 * ((u - 0.6 * v) / 0.15) ** 2 + ln(0.15::DOUBLE) END), 6) AS objective FROM e GROUP BY k""",
+SELECT k AS nation, round(arg_max(biomass, y), 6) AS biomass, round(sum(removed), 6) AS removed, round(0.5 * ((ln(any_value(r0)) - 7) / 5) ** 2 + 0.5 * ln(1.5) ** 2 + sum(0.5 * (e / 0.2) ** 2
++ CASE WHEN y = 1 THEN 0.5 * 0.75 * (u / 0.2) ** 2 + ln(0.2 / sqrt(0.75)) ELSE 0.5 * ((u - 0.5 * v) / 0.2) ** 2 + ln(0.2::DOUBLE) END), 6) AS objective FROM e GROUP BY k""",
 )
 def ricker_stock(spark, sf):
-    """Joint objective, last biomass and removals of one Ricker stock per nation; the oracle runs the recursion by age in SQL."""
+    """Joint objective, last biomass and removals of one Ricker stock per nation under its yearly orders as catches;
+    weights follow a growth curve. The oracle runs the recursion by age in SQL."""
     import pandas as pd
 
     from lakewright.models.examples import RickerStock
 
+    ages = np.arange(1, 8)
+    weight, mature = 2 * (1 - np.exp(-0.4 * ages)) ** 3, 1 / (1 + np.exp(3.0 - ages))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("year")
-        stock = RickerStock(pdf.i.to_numpy(), pdf.c.to_numpy(), np.array(_RICKER_WEIGHT), np.array(_RICKER_MATURE), log_q=0.0, use_catch=True)
-        theta, u = np.array([np.log(4 * pdf.c.mean()), -1.2]), (np.arange(len(pdf)) % 3 - 1) / 10
-        b, _, removed = stock.series(theta, u)
+        stock = RickerStock(pdf.i.to_numpy(), pdf.c.to_numpy(), weight, mature)
+        theta, u = np.log([2 * pdf.c.mean(), 1.5]), (np.arange(len(pdf)) % 3 - 1) / 10
+        b, removed = stock.series(theta, u)
         return pd.DataFrame({"nation": [pdf.k.iloc[0]], "biomass": [b[-1]], "removed": [removed.sum()], "objective": [stock.joint(theta, u)]})
 
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("k"))

@@ -154,24 +154,31 @@ def test_ricker_stock():
     from lakewright.models.examples import RickerStock, ar1_nll
     from lakewright.plans.dense import DenseLaplace
 
-    weight, maturity = np.array([0.2, 0.45, 0.75, 1.1, 1.45, 1.75, 2.0]), np.array([0, 0.1, 0.45, 0.8, 0.95, 1, 1])
+    ages = np.arange(1, 8)
+    weight, maturity = 2 * (1 - np.exp(-0.4 * ages)) ** 3, 1 / (1 + np.exp(3.0 - ages))
     u = np.array([0.3, -0.1, 0.2])
     cov = 0.15**2 / (1 - 0.36) * 0.6 ** np.abs(np.subtract.outer(np.arange(3), np.arange(3)))
     assert ar1_nll(u, 0.6, 0.15) == pytest.approx(0.5 * u @ np.linalg.solve(cov, u) + 0.5 * np.linalg.slogdet(cov)[1])
     assert ar1_nll(np.zeros(0), 0.6, 0.15) == 0
-    theta = np.array([8.0, -2.0])
-    small = RickerStock(np.ones(6), np.full(6, 50.0), weight, maturity)
-    b, made, removed = small.series(theta, np.zeros(6))
-    assert np.allclose(removed, 50) and (made > 50 / 0.95).all()
-    assert np.allclose(RickerStock(np.ones(6), made * 9, weight, maturity).series(theta, np.zeros(6))[2][0], 0.95 * made[0])
-    # recruits of the second year by the curve's usual form, a * s * exp(-b * s)
-    r0, first = np.exp(8.0), np.exp(8.0) * np.append(np.exp(-0.25 * np.arange(6)), np.exp(-1.5) / (1 - np.exp(-0.25)))
-    s, slope = (first * weight * maturity).sum(), 1 / (4 * r0)
+    theta = np.array([8.0, 0.4])
+    # without catches and deviations an unfished stock stays as it is
+    idle = RickerStock(np.ones(9), np.zeros(9), weight, maturity).series(theta, np.zeros(0))
+    assert np.allclose(idle[0], idle[0][0]) and not idle[1].any()
+    small = RickerStock(np.ones(6), np.full(6, 500.0), weight, maturity)
+    b, removed = small.series(theta, np.zeros(6))
+    assert np.allclose(removed, 500) and (np.diff(b) < 0).any()
+    # the first year's catch above what may be taken
+    first = np.exp(8.0) * np.append(np.exp(-0.2 * np.arange(6)), np.exp(-1.2) / (1 - np.exp(-0.2)))
+    at_hand = np.exp(-0.1) * (first * weight / (1 + np.exp(-1.5 * (ages - 3.0)))).sum()
+    assert RickerStock(np.ones(6), np.full(6, 1e9), weight, maturity).series(theta, np.zeros(6))[1][0] == pytest.approx(0.9 * at_hand)
+    # recruits of the second year by the curve's usual form, alpha * s * exp(-beta * s)
+    s, a = (first * weight * maturity).sum(), np.exp(0.4)
+    alpha, beta = np.exp(8.0) / s * np.exp(a), a / s
     more = small.series(theta, np.array([0.5, 0, 0, 0, 0, 0]))[0]
-    assert (more - b)[1] == pytest.approx(weight[0] * r0 * np.e * slope * s * np.exp(-slope * s) * (np.exp(0.5) - 1))
+    assert (more - b)[1] == pytest.approx(weight[0] * alpha * s * np.exp(-beta * s) * (np.exp(0.5) - 1))
     true = np.array([0.1, -0.1, 0.15, 0.0, 0.1, 0.0])
-    model = RickerStock(np.exp(-8.78) * small.series(theta, true)[0], np.full(6, 50.0), weight, maturity)
-    fit = DenseLaplace(model.joint, np.zeros(6)).fit(np.array([7.6, -2.2]), most=15, tol=0.05)
+    model = RickerStock(small.series(theta, true)[0], np.full(6, 500.0), weight, maturity)
+    fit = DenseLaplace(model.joint, np.zeros(6)).fit(np.array([7.6, 0.2]), most=15, tol=0.05)
     assert abs(fit.x[0] - 8) < 0.3 and model.joint(theta, np.zeros(0)) > 0
 
 
@@ -206,10 +213,10 @@ def test_model_library(spark):
     data = {"age": age, "n": np.full(10, 20.0), "k": k}
     _, g, u = s.evaluate(t, data, np.zeros(10))
     assert np.allclose(g, finite_gradient(lambda p: s.evaluate(p, data, u)[0], t), atol=1e-4)
-    weight = np.array([0.2, 0.45, 0.75, 1.1, 1.45, 1.75, 2.0])
+    weight = 2 * (1 - np.exp(-0.4 * np.arange(1, 8))) ** 3
     base = Recruitment(np.ones(6), np.ones(6), weight)
     b, c = base.series(np.array([8.0, -3.0]), np.zeros(6))
-    r = Recruitment(np.exp(-8.78) * b, c, weight)
+    r = Recruitment(b, c, weight)
     fit = DenseLaplace(r.joint, np.zeros(6)).fit(np.array([7.5, -3.3]), most=15, tol=0.05)
     assert np.allclose(fit.x, [8.0, -3.0], atol=0.3)
     caa = CatchAtAge(np.ones((4, 5)))
