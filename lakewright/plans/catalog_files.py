@@ -292,3 +292,62 @@ def labels_of_numbers(spark, sf):
 def spectral_shares(spark, sf):
     """How many of the largest absolute values hold half and nine tenths of their sum."""
     return aggregates.largest_holding(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal", "c_custkey", {"k_50": 0.5, "k_90": 0.9})
+
+
+@query(
+    "token_stream",
+    "SELECT 'nation' AS part, n_nationkey AS n, n_name AS name, n_regionkey::DOUBLE AS a, NULL::DOUBLE AS b FROM nation UNION ALL SELECT 'lineitem', l_orderkey, l_returnflag || ' by \"' || l_linestatus || '\"', l_extendedprice, l_linenumber::DOUBLE FROM lineitem",
+)
+def token_stream(spark, sf):
+    """A stream with a version, single values and two counted collections, the second one all of lineitem; many tasks
+    write it and many read it."""
+    from lakewright.sources.streams import TokenStream, write_stream
+
+    nation, lines = table(spark, sf, "nation"), table(spark, sf, "lineitem")
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.concat("l_returnflag", F.lit(' by "'), "l_linestatus", F.lit('"')), '"', '\\\\"'), F.lit('"'))
+    head = spark.createDataFrame([(0, 0, f"LAKEWRIGHT_1 1992 1998 4\n3 3 3 3 {nation.count()}"), (2, 0, str(lines.count()))], "s int, k long, line string")
+    body = nation.select(F.lit(1).alias("s"), F.col("n_nationkey").cast("long").alias("k"), F.format_string('%d "%s"\t%d', F.col("n_nationkey"), F.col("n_name"), F.col("n_regionkey")).alias("line"))
+    rows = lines.select(F.lit(3).alias("s"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.concat_ws(" ", "l_orderkey", quoted, "l_extendedprice", "l_linenumber").alias("line"))
+    path = folder(spark, "stream")
+    write_stream(head.unionByName(body).unionByName(rows), path, "s", "k")
+    stream = TokenStream(spark, path, "LAKEWRIGHT_1")
+    stream.numbers(7)
+    nations = stream.collection("key int, name string, region int", most=1000)
+    items = stream.collection("key int, name string, price double, place int")
+    stream.finish()
+    a = nations.select(F.lit("nation").alias("part"), F.col("key").cast("long").alias("n"), "name", F.col("region").cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    return a.unionByName(items.select(F.lit("lineitem").alias("part"), F.col("key").cast("long").alias("n"), "name", F.col("price").alias("a"), F.col("place").cast("double").alias("b")))
+
+
+@query(
+    "control_file",
+    """SELECT o_orderkey AS key, abs(CASE o_orderpriority WHEN '5-LOW' THEN -999 ELSE year(o_orderdate) END)::INTEGER AS year, o_totalprice AS value, o_orderpriority = '5-LOW' AS initial, o_orderpriority <> '5-LOW' AND o_orderstatus = 'P' AS excluded,
+CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE CASE WHEN year(o_orderdate) BETWEEN 1992 AND 1994 THEN 1 WHEN year(o_orderdate) BETWEEN 1995 AND 1998 THEN 2 ELSE 0 END END::INTEGER AS part FROM orders""",
+)
+def control_file(spark, sf):
+    """A control file made from orders: flags, block patterns, parameters with priors, a table up to its sentinel with
+    excluded and initial rows, and an end mark; read by many tasks, each order with its time block's part."""
+    from lakewright.sources.streams import PARAMETER, ControlFile, block_parameters, estimated, prior_nll, write_stream
+
+    top = "0 1 # flags\n2 # block patterns\n1 2\n1996 1997\n1992 1994 1995 1998\n\n# parameters\n3\n-5 5 0.5 0 1 6 2 2 # with a prior and blocks\n0 1 0.25 0 0 0 -1 0\n1 9 4 5 2 6 1 0"
+    year = F.when(F.col("o_orderpriority") == "5-LOW", -999).when(F.col("o_orderstatus") == "P", -F.year("o_orderdate")).otherwise(F.year("o_orderdate"))
+    body = table(spark, sf, "orders").select(F.lit(1).alias("s"), F.col("o_orderkey").alias("k"), F.concat_ws(" ", "o_orderkey", year.cast("string"), F.col("o_totalprice").cast("string"), F.concat(F.lit("# "), "o_orderpriority")).alias("line"))
+    head = spark.createDataFrame([(0, 0, top), (2, 0, "-9999 0 0\n999")], "s int, k long, line string")
+    path = folder(spark, "control")
+    write_stream(head.unionByName(body), path, "s", "k")
+    control = ControlFile(spark, path)
+    control.expect(0, 1)
+    (patterns,) = control.numbers(1)
+    ranges = []
+    for block, n in enumerate(control.numbers(int(patterns)), 1):
+        years = control.numbers(2 * int(n))
+        ranges += [(block, part + 1, int(years[2 * part]), int(years[2 * part + 1])) for part in range(int(n))]
+    parameters = estimated(control.counted(PARAMETER)).withColumn("name", F.concat(F.lit("p"), "n"))
+    parts = block_parameters(parameters, spark.createDataFrame(ranges, "block int, part int, first int, last int"))
+    if round(parameters.agg(F.sum(prior_nll(F.col("initial"), F.col("prior_mean"), F.col("prior_sd"), F.col("prior_type")))).first()[0], 6) != 0.25:
+        raise ValueError("priors differ")
+    rows = readers.catch_flags(control.table("key int, year int, value double"))
+    control.finish()
+    # ranges of block patterns, a few
+    met = rows.join(F.broadcast(parts), F.col("abs_year").between(F.col("first"), F.col("last")) & ~F.col("initial"), "left")
+    return met.select(F.col("key").cast("long").alias("key"), F.col("abs_year").cast("int").alias("year"), "value", "initial", "excluded", F.coalesce("part", F.lit(0)).alias("part"))
