@@ -220,10 +220,11 @@ def save_archives(archives: DataFrame, folder: str) -> None:
     """Write each archive as a file in ``folder``, from the executors, through Spark's file systems.
 
     Contents go through the text sink, which writes a string's bytes as they are; a file is one row and
-    ends with an empty skippable frame. An empty table gives a folder without archives.
+    ends with an empty skippable frame. Output is not compressed again, whatever the cluster's setting. An
+    empty table gives a folder without archives.
     """
     content = archives.select(F.col("content").cast("string").alias("value"))
-    content.write.option("maxRecordsPerFile", 1).option("lineSep", ROW_END).text(folder)
+    content.write.option("maxRecordsPerFile", 1).option("lineSep", ROW_END).option("compression", "none").text(folder)
 
 
 def load_archives(spark: SparkSession, folder: str) -> DataFrame:

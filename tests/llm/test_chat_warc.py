@@ -96,6 +96,17 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(warc.load_archives(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_archives_where_the_cluster_compresses_output(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"<p>{i % 3}</p>" * 50, "d", 1) for i in range(20)], PAGES)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.output.fileoutputformat.compress", "true")
+    try:
+        warc.save_archives(warc.write_archives(df), f"file://{tmp_path}/out")
+        assert warc.read_archives(warc.load_archives(spark, f"file://{tmp_path}/out")).count() == 20
+    finally:
+        conf.unset("mapreduce.output.fileoutputformat.compress")
+
+
 def test_few_and_long_records_have_a_dictionary(spark):
     df = spark.createDataFrame([(1, "u", "x" * 100, "d", 1), (2, None, "".join(f"<p>{k}</p>" for k in range(40_000)), "d", 1)], PAGES)
     samples = warc.sample_records(df)
