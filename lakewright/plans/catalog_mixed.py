@@ -124,3 +124,38 @@ def crossed_effects_fit(spark, sf):
     out = spark.createDataFrame([(system.side, bool(run.residual[0] <= 1e-8), value, error)], "unknowns long, solved boolean, log_determinant double, standard_error double")
     system.close()
     return out
+
+
+_PHI, _PROCESS, _NOISE = 0.9, 0.4, 0.7
+
+
+def _kalman(name: str, dq: str, dr: str) -> tuple[str, str, str]:
+    """(first row's, next rows' and objective's derivative columns) of a Kalman filter by one parameter."""
+    dp = f"{_PHI**2} * dp_{name} + {dq}"
+    ds = f"({dp} + {dr})"
+    dk = f"(({dp}) / s - pm * {ds} / (s * s))"
+    dm = f"{_PHI} * dm_{name}"
+    return f"{dm} + {dk} * v - pm / s * {dm} AS dm_{name}", f"(({dp}) * {_NOISE**2} + pm * {dr}) / s - pm * {_NOISE**2} * {ds} / (s * s) AS dp_{name}", f"dl_{name} + 0.5 * ({ds} / s - 2 * v * {dm} / s - v * v * {ds} / (s * s)) AS dl_{name}"
+
+
+@query(
+    "long_series_laplace",
+    f"""WITH RECURSIVE y AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, value / 100 AS y FROM events),
+f AS (SELECT event_type, 0 AS k, 0.0::DOUBLE AS m, {(1 - _PROCESS**2) / _PHI**2}::DOUBLE AS p, 0.0::DOUBLE AS l, 0.0::DOUBLE AS dm_q, {-2 * _PROCESS**2 / _PHI**2}::DOUBLE AS dp_q, 0.0::DOUBLE AS dl_q, 0.0::DOUBLE AS dm_r, 0.0::DOUBLE AS dp_r, 0.0::DOUBLE AS dl_r FROM (SELECT DISTINCT event_type FROM events)
+UNION ALL SELECT event_type, k, {_PHI} * m + pm / s * v, pm * {_NOISE**2} / s, l + 0.5 * ({LOG_2PI} + ln(s) + v * v / s), """
+    + ", ".join([*_kalman("q", str(2 * _PROCESS**2), "0"), *_kalman("r", "0", str(2 * _NOISE**2))])
+    + f""" FROM (SELECT f.* EXCLUDE (k), y.k, {_PHI**2} * p + {_PROCESS**2} AS pm, {_PHI**2} * p + {_PROCESS**2 + _NOISE**2} AS s, y - {_PHI} * m AS v FROM f JOIN y ON y.event_type = f.event_type AND y.k = f.k + 1))
+SELECT event_type, max(k) AS n, round(arg_max(l, k), 5) AS value, round(arg_max(dl_q, k), 5) AS d_log_process, round(arg_max(dl_r, k), 5) AS d_log_noise FROM f GROUP BY 1""",
+)
+def long_series_laplace(spark, sf):
+    """Marginal objective and gradient of an autoregressive state seen through noise, series lying over many tasks; the
+    oracle runs the Kalman filter and its derivatives."""
+    from lakewright.plans import expr as X
+    from lakewright.plans.laplace import ChainLaplace
+    from lakewright.plans.long_chain import LongChain
+
+    u, v = X.random("u"), X.random("v")
+    model = ChainLaplace(X.normal_nll(u, 0.0, 0.0), X.normal_nll(v, _PHI * u, X.param("log_process")), X.normal_nll(X.data("y"), u, X.param("log_noise")), ["log_process", "log_noise"])
+    rows = table(spark, sf, "events").select("event_type", "ts", "event_id", (F.col("value") / 100).alias("y"))
+    out = LongChain(rows, "event_type", ("ts", "event_id"), model).evaluate(np.log([_PROCESS, _NOISE]))
+    return rounded(out.select("event_type", "n", "value", "d_log_process", "d_log_noise"), 5)
