@@ -159,3 +159,21 @@ def long_series_laplace(spark, sf):
     rows = table(spark, sf, "events").select("event_type", "ts", "event_id", (F.col("value") / 100).alias("y"))
     out = LongChain(rows, "event_type", ("ts", "event_id"), model).evaluate(np.log([_PROCESS, _NOISE]))
     return rounded(out.select("event_type", "n", "value", "d_log_process", "d_log_noise"), 5)
+
+
+@query(
+    "curvature_directions",
+    _POISSON
+    + f""", e AS (SELECT o_custkey, n * exp(0.8 + u) AS l, h FROM m), d AS (SELECT c_nationkey AS direction, c_custkey AS o_custkey, c_acctbal / 1e4 AS w FROM customer WHERE c_acctbal <> 0),
+v AS (SELECT direction, o_custkey, w * l AS value, h FROM d JOIN e USING (o_custkey) UNION ALL SELECT -1, o_custkey, 0.5 * l - 2 * (-2 / {TAU**2}), h FROM e)
+SELECT direction, count(*) AS n_entries, round(sum(value), 4) AS total, round(sum(value / h), 6) AS log_determinant FROM v GROUP BY 1""",
+)
+def curvature_directions(spark, sf):
+    """How the curvature of every customer changes along one direction per nation (its customers' effects) and one of
+    parameters, as entries formed and changes of the log determinant; the oracle differentiates by hand."""
+    model = poisson_intercept(spark, sf)
+    own = table(spark, sf, "customer").select(F.col("c_nationkey").cast("int").alias("direction"), F.col("c_custkey").alias("group"), F.lit("u").alias("name"), (F.col("c_acctbal") / 1e4).alias("weight"))
+    both = spark.createDataFrame([(-1, None, "mu", 0.5), (-1, None, "log_tau", -2.0)], own.schema)
+    out = model.curvature_along(np.array([0.8, math.log(TAU)]), own.unionByName(both))
+    per = out.groupBy("direction").agg(F.count("*").alias("n_entries"), F.sum("value").alias("total"), F.sum("trace").alias("log_determinant"))
+    return per.select("direction", "n_entries", F.round("total", 4).alias("total"), F.round("log_determinant", 6).alias("log_determinant"))

@@ -30,6 +30,8 @@ LOG_2PI = math.log(2 * math.pi)
 
 #: Rows of a group that one task sums at most; a larger group is dealt over several.
 SLICE_ROWS = 1 << 20
+#: The most parameter weights of directions, which are broadcast.
+MOST_DIRECTIONS = 100_000
 #: Part of the expected decrease that a Newton step must reach.
 ARMIJO = 1e-4
 
@@ -437,6 +439,57 @@ class GroupedLaplace:
             hessian[a, b] = hessian[b, a] = x
         return value - 0.5 * groups * k * LOG_2PI if groups else 0.0, np.array(rest[:p], dtype=float), hessian
 
+    def active_names(self) -> dict[str, list[tuple[int, int]]]:
+        """Effects and parameters along which some entry of the curvature changes, with those entries."""
+        k, out = range(len(self.u)), {}
+        for name, us, ts in [*((e, (i,), ()) for i, e in enumerate(self.effects)), *((p, (), (a,)) for a, p in enumerate(self.params))]:
+            entries = [(i, j) for i in k for j in range(i, len(self.u)) if not all(X.is_number(e, 0.0) for e in self._derivative((i, j, *us), ts))]
+            if entries:
+                out[name] = entries
+        return out
+
+    def curvature_along(self, theta: np.ndarray, directions: DataFrame) -> DataFrame:
+        """(direction, group, i, j, value, trace): how each group's curvature at its mode changes along directions.
+
+        ``directions`` (direction, group, name, weight) are rows: weights of a group's effects, or of parameters,
+        where the group is null and all groups are meant. Names along which no entry changes are dropped
+        before anything is formed; so are groups that no direction touches, unless a parameter does. Entries
+        i <= j that stay zero are not formed. ``trace`` is the entry's part of the trace of the inverse
+        curvature times the change: over a direction's rows it adds up to the change of the log determinant.
+        Weights of one name add up. Parameter directions are a checked table.
+        """
+        active = self.active_names()
+        kept = directions.filter(F.col("name").isin(*active) & (F.col("weight") != 0)) if active else directions.limit(0)
+        kept = cut(kept.groupBy("direction", "group", "name").agg(F.sum("weight").alias("weight")))
+        named = {r[0] for r in kept.select("name").distinct().collect()}  # no more than effects and parameters
+        everywhere = kept.filter(F.col("group").isNull() & F.col("name").isin(*self.params))
+        if everywhere.limit(MOST_DIRECTIONS + 1).count() > MOST_DIRECTIONS:
+            raise ValueError(f"more than {MOST_DIRECTIONS} parameter weights")
+        modes = self.solve_modes(theta)
+        if everywhere.isEmpty():
+            modes = modes.join(kept.select(F.col("group").alias("__g")).distinct(), "__g", "left_semi")
+        k = len(self.u)
+        number = {**{e: ((i,), ()) for i, e in enumerate(self.effects)}, **{p: ((), (a,)) for a, p in enumerate(self.params)}}
+        wanted = {self._name((i, j)): self._derivative((i, j)) for i in range(k) for j in range(i, k)}
+        for name in sorted(named):
+            us, ts = number[name]
+            wanted |= {self._name((i, j, *us), ts): self._derivative((i, j, *us), ts) for i, j in active[name]}
+        per, part = self._by_group(modes, theta, wanted)
+        sheet = _Sheet(per, "__c")
+        inverse = inverse_columns(sheet, cholesky_columns(sheet, lambda i, j: part((i, j)), k), k)
+        entries = [
+            F.struct(F.lit(name).alias("name"), F.lit(i).alias("i"), F.lit(j).alias("j"), part((i, j, *number[name][0]), number[name][1]).alias("value"), (_or_zero(inverse(i, j)) * (1.0 if i == j else 2.0)).alias("inverse"))
+            for name in sorted(named)
+            for i, j in active[name]
+        ]
+        none = F.array().cast("array<struct<name: string, i: int, j: int, value: double, inverse: double>>")
+        formed = sheet.df.select("__g", F.explode(F.array(*entries) if entries else none).alias("e")).select("__g", "e.*")
+        own = kept.filter(F.col("group").isNotNull() & F.col("name").isin(*self.effects))
+        one = formed.join(own.withColumnRenamed("group", "__g"), ["__g", "name"])
+        all_ = formed.join(F.broadcast(everywhere.drop("group")), "name")
+        out = one.unionByName(all_).groupBy("direction", "__g", "i", "j").agg(F.sum(F.col("weight") * F.col("value")).alias("value"), F.first("inverse").alias("inverse"))
+        return out.select("direction", F.col("__g").alias(self.group), "i", "j", "value", (F.col("inverse") * F.col("value")).alias("trace"))
+
     def mode_sensitivity(self, theta: np.ndarray) -> DataFrame:
         """Modes with du / d theta of each group by the implicit function theorem, and conditional (co)variances.
 

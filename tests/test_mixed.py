@@ -191,3 +191,57 @@ def test_no_rows_and_no_parameters(spark):
     model = two_effects(spark, crossed_rows(spark)[1].limit(0))
     value, g, h = model.outer_hessian(THETA)
     assert value == 0.0 and not g.any() and not h.any()
+
+
+DIRECTIONS = "direction int, group int, name string, weight double"
+
+
+def test_directions_like_differences_and_only_where_active(spark):
+    rows, df = crossed_rows(spark, groups=5)
+    model = two_effects(spark, df)
+    named = [(1, 0, "a", 1.0), (1, 3, "b", -2.0), (2, 2, "a", 0.5), (2, 2, "a", 0.5), (3, 77, "a", 1.0), (4, 1, "nothing", 1.0), (5, 1, "a", 0.0)]
+    out = model.curvature_along(THETA, spark.createDataFrame(named, DIRECTIONS)).collect()
+    # no direction but 1 and 2 meets a group; groups 1 and 4 are not formed
+    assert {(r.direction, r.g) for r in out} == {(1, 0), (1, 3), (2, 2)} and len(out) == 9
+    modes = {r.g: (r.a, r.b) for r in model.mode_sensitivity(THETA).collect()}
+
+    def block(g, a, b):
+        x = np.array([r[1] for r in rows if r[0] == g])
+        lam = np.exp(THETA[0] + a + b * x)
+        return {(0, 0): lam.sum(), (0, 1): (lam * x).sum(), (1, 1): (lam * x * x).sum()}
+
+    for r in out:
+        a, b = modes[r.g]
+        da, db = {(1, 0): (1, 0), (1, 3): (0, -2), (2, 2): (1, 0)}[r.direction, r.g]
+        h = 1e-5
+        want = (block(r.g, a + h * da, b + h * db)[r.i, r.j] - block(r.g, a - h * da, b - h * db)[r.i, r.j]) / (2 * h)
+        assert r.value == pytest.approx(want, rel=1e-6)
+    model.close()
+
+
+def test_parameter_directions_are_log_determinants(spark):
+    """At fixed modes the traces of a parameter's direction add up to the derivative of the log determinants."""
+    _, df = crossed_rows(spark, groups=4)
+    model = two_effects(spark, df)
+    out = model.curvature_along(THETA, spark.createDataFrame([(7, None, "la", 1.0), (8, None, "mu", 1.0)], DIRECTIONS)).groupBy("direction").agg({"trace": "sum", "*": "count"}).collect()
+    got = {r.direction: (r["sum(trace)"], r["count(1)"]) for r in out}
+    # la changes two of three entries of each block, mu all
+    assert got[7][1] == 4 * 2 and got[8][1] == 4 * 3
+    modes = model.solve_modes(THETA)
+
+    def logdet(theta):
+        per, part = model._by_group(modes, theta, model._parts(2))
+        return sum(math.log(r[model._name((0, 0))] * r[model._name((1, 1))] - r[model._name((0, 1))] ** 2) for r in per.collect())
+
+    for d, k in ((7, 1), (8, 0)):
+        e = 1e-5 * np.eye(4)[k]
+        assert got[d][0] == pytest.approx((logdet(THETA + e) - logdet(THETA - e)) / 2e-5, rel=1e-5)
+
+
+def test_directions_of_a_normal_model_are_dropped(spark):
+    """The curvature of a normal model doesn't change along its effects or its mean: nothing is formed."""
+    u, mu, ls = X.random("u"), X.param("mu"), X.param("ls")
+    model = GroupedLaplace(counts(spark), "g", X.normal_nll(X.data("y"), mu + u, ls), X.normal_nll(u, 0.0, 0.0), ["mu", "ls"])
+    assert set(model.active_names()) == {"ls"}
+    got = model.curvature_along(np.zeros(2), spark.createDataFrame([(1, 0, "u", 1.0), (2, None, "mu", 1.0)], DIRECTIONS))
+    assert got.collect() == []
