@@ -33,7 +33,7 @@ def in_order(rows: DataFrame, *order: str, parts: int | None = None) -> DataFram
     Rows of equal order are dealt over parts too, in the order that they came in.
     """
     tie = rows.withColumn("__tie", F.monotonically_increasing_id())
-    dealt = tie.repartitionByRange(parts or 4 * partitions(rows.sparkSession), *order, "__tie").sortWithinPartitions(*order, "__tie")
+    dealt = tie.repartitionByRange(parts or partitions(rows.sparkSession), *order, "__tie").sortWithinPartitions(*order, "__tie")
     return cut(dealt.drop("__tie").withColumn(PART, F.spark_partition_id()))
 
 

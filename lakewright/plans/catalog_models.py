@@ -155,34 +155,48 @@ def surplus_fits(spark, sf):
     return rounded(fit_deterministic(rows, "stock", "year", "catch_mt", "index"), 3)
 
 
-def _target():
-    """Log density of a correlated normal with known moments: means 1 and -2, sds 1 and 2, correlation 0.5."""
-    mean, c = np.array([1.0, -2.0]), np.array([[1.0, 1.0], [1.0, 4.0]])
-    p = np.linalg.inv(c)
+def order_posterior(spark, sf):
+    """(target's maker, what turns its coordinates into mu and log_sigma): the posterior of a normal law of all orders'
+    log prices under flat priors, in rough standard errors about its mode. Counts, mean and sd are the table's."""
+    rows = table(spark, sf, "orders").select(F.ln("o_totalprice").alias("y"))
+    n, mean, sd = rows.agg(F.count("y"), F.avg("y"), F.stddev_pop("y")).first()
+    root = math.sqrt(n)
 
-    def f(q):
-        d = q - mean
-        return -0.5 * float(d @ p @ d), -p @ d
+    def make():
+        def f(q):
+            a, b = q[0], q[1] / (math.sqrt(2) * root)
+            shrink = math.exp(-2 * b)
+            # n times log sigma's deviation, and the squares about mu
+            value = -n * b - 0.5 * (n + a * a) * shrink
+            return value, np.array([-a * shrink, (-n + (n + a * a) * shrink) / (math.sqrt(2) * root)])
 
-    return f
+        return f
+
+    return make, (lambda a: mean + a * sd / root), (lambda b: math.log(sd) + b / (math.sqrt(2) * root)), n
 
 
 @query("nuts_chains")
 def nuts_chains(spark, sf):
-    """Four chains of the sampler with diagnostics; moments are checked in the tests."""
+    """Four chains over the posterior of mean and log sd of all orders' log prices, with diagnostics; moments are checked
+    in the tests."""
     from lakewright.plans.sampling import Options, sample
 
-    draws = sample(spark, _target, ["a", "b"], np.array([1.0, -2.0]), chains=4, options=Options(warmup=200, draws=200)).cache()
+    make, mu, log_sigma, _ = order_posterior(spark, sf)
+    draws = sample(spark, make, ["mu", "log_sigma"], np.zeros(2), chains=4, options=Options(warmup=200, draws=200))
+    draws = draws.withColumn("value", F.when(F.col("parameter") == "mu", mu(F.col("value"))).otherwise(log_sigma(F.col("value")))).cache()
     per = draws.groupBy("parameter").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"))
-    return rounded(per.join(windows.chain_diagnostics(draws, ["parameter"], "chain", ["iteration"], "value"), "parameter"), 4)
+    return rounded(per.join(windows.chain_diagnostics(draws, ["parameter"], "chain", ["iteration"], "value"), "parameter"), 6)
 
 
 @query("posterior_simulation")
 def posterior_simulation(spark, sf):
+    """Predicted prices of new orders from draws of the posterior; checked in the tests by moments."""
     from lakewright.plans.sampling import Options, sample, simulate
 
-    draws = sample(spark, _target, ["a", "b"], np.array([1.0, -2.0]), chains=2, options=Options(warmup=100, draws=100))
-    return rounded(simulate(draws, ["a", "b"], ["sum", "noisy"], lambda q, rng: np.array([q.sum(), q[0] + rng.standard_normal()]), healthy=True, every=2, most=60))
+    make, mu, log_sigma, _ = order_posterior(spark, sf)
+    draws = sample(spark, make, ["mu", "log_sigma"], np.zeros(2), chains=2, options=Options(warmup=100, draws=100))
+    price = lambda q, rng: np.array([math.exp(mu(q[0])), math.exp(mu(q[0]) + math.exp(log_sigma(q[1])) * rng.standard_normal())])
+    return rounded(simulate(draws, ["mu", "log_sigma"], ["median", "new_order"], price, healthy=True, every=2, most=60))
 
 
 # ---- assessment models
@@ -202,26 +216,43 @@ def seasonal_stock():
 
 @query("seasonal_projection")
 def seasonal_projection(spark, sf):
-    """Five kinds of scenario targets resolved and projected ten years."""
+    """A scenario for every supplier, of one of five kinds of targets by its nation and with a value by its balance,
+    resolved and projected ten years."""
     from lakewright.models.age_structured import project_scenarios
 
     stock = seasonal_stock()
-    cases = spark.createDataFrame([("base", "multiplier", 1.0), ("msy", "msy", 0.0), ("spr40", "spr", 0.4), ("half", "ssb_ratio", 0.5), ("f02", "annual_f", 0.2)], "scenario string, target string, value double")
+    share = (F.abs("s_acctbal") % 1000) / 1000
+    kinds = F.array(*[F.struct(F.lit(k).alias("target"), v.alias("value")) for k, v in (("multiplier", 0.2 + share), ("msy", F.lit(0.0)), ("spr", 0.25 + share / 2), ("ssb_ratio", 0.3 + share / 3), ("annual_f", 0.05 + share / 4))])
+    cases = table(spark, sf, "supplier").withColumn("kind", F.get(kinds, F.col("s_nationkey") % 5)).select(F.col("s_name").alias("scenario"), "kind.target", "kind.value")
     return rounded(project_scenarios(cases, stock, stock.unfished()[0], np.full((4, 2), 0.1), 10), 4)
 
 
-def spatial_data():
-    """Two fleets, six years, four seasons and three regions of made-up effort; catches and indices are the model's."""
+def order_effort(spark, sf) -> np.ndarray:
+    """Orders of two kinds of priority as the effort of two fleets by year (1992 to 1997), quarter and region of the
+    customer, against their mean; the model's 240 cells come to the driver."""
+    place = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").cast("int").alias("region"))
+    day = F.col("o_orderdate")
+    cells = table(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("fleet"), (F.year(day) - 1992).alias("year"), (F.quarter(day) - 1).alias("season"))
+    counts = cells.filter("year between 0 and 5").join(place, "o_custkey").groupBy("fleet", "year", "season", "region").agg(F.count("*").alias("n")).filter("region between 0 and 4").collect()
+    out = np.ones((2, 6, 4, 5))
+    for r in counts:
+        out[r.fleet, r.year, r.season, r.region] += r.n
+    return out / out.mean()
+
+
+def spatial_data(effort: np.ndarray | None = None):
+    """Data of a spatial model for effort by fleet, year, season and region (made up for three regions if not given);
+    catches and indices are the model's."""
     from dataclasses import replace
 
     from lakewright.models.age_structured import logistic
     from lakewright.models.spatial import SpatialData, SpatialFit, dynamics
 
-    f, y, s, r, a = 2, 6, 4, 3, 8
-    rng = np.random.default_rng(5)
+    rng, a = np.random.default_rng(5), 8
+    f, y, s, r = (2, 6, 4, 3) if effort is None else effort.shape
     move = rng.random((s, r, r)) + 3 * np.eye(r)
     age = np.arange(a)
-    d = SpatialData(rng.uniform(0.5, 2, (f, y, s, r)), np.zeros((f, y, s, r)), np.zeros((f, y, s, r)), move / move.sum(2, keepdims=True), np.full(a, 0.3), 1 - np.exp(-0.4 * (age + 0.5)), logistic(2 * (age - 2)), np.stack([logistic(age - 2), logistic(age - 3)]))
+    d = SpatialData(rng.uniform(0.5, 2, (f, y, s, r)) if effort is None else effort, np.zeros((f, y, s, r)), np.zeros((f, y, s, r)), move / move.sum(2, keepdims=True), np.full(a, 0.3), 1 - np.exp(-0.4 * (age + 0.5)), logistic(2 * (age - 2)), np.stack([logistic(age - 2), logistic(age - 3)]))
     out = dynamics(d, SpatialFit(8.0, -3.0, -1.0))
     return replace(d, catch=out["catch"], index=out["index"])
 
@@ -231,7 +262,7 @@ def spatial_retrospective(spark, sf):
     """Refits of a spatial model to peeled data, in parallel, and Mohn's rho of each peel's last year."""
     from lakewright.models.spatial import by_case
 
-    data = spatial_data()
+    data = spatial_data(order_effort(spark, sf))
     cases = spark.createDataFrame([(f"peel{k}",) for k in range(3)], "case string")
     fits = by_case(cases, lambda name: data.peel(6 - int(name[4:])), np.array([7.8, -3.1, -0.9])).cache()
     peels = fits.filter("case <> 'peel0'").select(F.col("case").alias("peel"), "year", F.col("ssb").alias("value"))
@@ -244,7 +275,7 @@ def spatial_residuals(spark, sf):
     from lakewright.models.spatial import SpatialFit, dynamics, residual_table, simulate
     from lakewright.operators.aggregates import residual_strata
 
-    data, p = spatial_data(), SpatialFit(8.0, -3.0, -1.0)
+    data, p = spatial_data(order_effort(spark, sf)), SpatialFit(8.0, -3.0, -1.0)
     rows = spark.createDataFrame(residual_table(simulate(data, p, 7), dynamics(data, p)))
     return rounded(residual_strata(rows, ["component", "fleet"], ["year", "season", "region"]))
 
@@ -255,7 +286,7 @@ def spatial_reference_points(spark, sf):
     from lakewright.models.spatial import SpatialFit, reference_cases
 
     cases = table(spark, sf, "nation").select(F.col("n_name").alias("case"), (0.4 + F.col("n_nationkey") / 50).alias("steepness"))
-    return rounded(reference_cases(cases, spatial_data(), SpatialFit(8.0, -3.0, -1.0)), 4)
+    return rounded(reference_cases(cases, spatial_data(order_effort(spark, sf)), SpatialFit(8.0, -3.0, -1.0)), 4)
 
 
 @query("spatial_projection")
@@ -264,7 +295,7 @@ def spatial_projection(spark, sf):
     from lakewright.models.spatial import SpatialFit, project_cases
 
     cases = table(spark, sf, "supplier").select(F.col("s_name").alias("case"), (F.abs("s_acctbal") / 5000).alias("multiple"), F.lit(0.8).alias("steepness"))
-    return rounded(project_cases(cases, spatial_data(), SpatialFit(8.0, -3.0, -1.0), 10), 4)
+    return rounded(project_cases(cases, spatial_data(order_effort(spark, sf)), SpatialFit(8.0, -3.0, -1.0), 10), 4)
 
 
 def _ages(term: str) -> str:
@@ -319,13 +350,16 @@ def ricker_stock(spark, sf):
 
 @query("projection_uncertainty")
 def projection_uncertainty(spark, sf):
-    """Envelopes of scenario projections from draws of the terminal state."""
+    """Envelopes of scenario projections of the suppliers' typical balance, from draws of its terminal state: the mean
+    logarithm over all suppliers and its variance."""
     from lakewright.models.surplus import SCENARIOS, project, projection_envelopes
 
-    one = spark.createDataFrame([("s", 600.0, 18.0, 0.34, 950.0, 1e-3)], "stock string, biomass double, recent_catch double, r double, k double, q double")
+    log_b = F.ln(F.greatest("s_acctbal", F.lit(100.0)))
+    centre, variance = table(spark, sf, "supplier").agg(F.avg(log_b), F.var_samp(log_b) / F.count("*")).first()
+    one = spark.createDataFrame([("s", math.exp(centre), 0.07 * math.exp(centre), 0.34, 8000.0, 1e-3)], "stock string, biomass double, recent_catch double, r double, k double, q double")
     cases = spark.createDataFrame(list(SCENARIOS.items()), "scenario string, catch_multiplier double")
     path = project(one, cases, years=10, start_year=2025, keys=["stock"])
-    return rounded(projection_envelopes(path, math.log(600.0), 0.01, 1e-3, samples=400), 4)
+    return rounded(projection_envelopes(path, centre, variance, 1e-3, samples=400), 4)
 
 
 @query("streaming_summary", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY 1, 2""")
