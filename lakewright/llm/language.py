@@ -3,7 +3,8 @@
 One model per language over one tree of byte contexts of order 0 to 4: a context is in the tree if some
 language's training texts have it often enough, so contexts are as long as the texts bear out. Escape
 probabilities are those of method C (distinct symbols over total plus distinct) with exclusion, down to a
-uniform order -1. The statistics are frozen after training, so every tree node has the exact code length
+uniform order -1. The tree has a budget of bytes over all languages: where contexts would go beyond it,
+the rarest of their order are left out. The statistics are frozen after training, so every tree node has the exact code length
 of every symbol under every language; a text's code length is a sum over its bytes, each looked up at the
 deepest node that its context reaches, walking back from it. The language of the shortest code wins; the
 score is its posterior probability under equal priors.
@@ -27,6 +28,8 @@ from lakewright.llm.text import BLOCK, slices, texts_of
 UNKNOWN = "und"
 #: The longest context, and how often some language must have a context of more than two bytes.
 ORDER, LEAST = 4, 16
+#: The most bytes of a model's tables, whatever the languages and their alphabet: it is broadcast to every worker.
+MODEL_BYTES = 64 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -70,7 +73,9 @@ def _ppm(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 def train(samples: dict[str, list[bytes]], fresh: dict[str, list[bytes]] | None = None) -> Model | None:
     """Models of the languages given with texts; None without any. ``fresh``: texts of the languages that are
-    not trained on, to measure usual code lengths by; a language without any is measured on its own."""
+    not trained on, to measure usual code lengths by; a language without any is measured on its own. Tables
+    hold at most ``MODEL_BYTES``: of an order's contexts the most frequent are kept, none of equal frequency
+    where only some would fit (order 0 always is)."""
     languages = sorted(x for x, texts in samples.items() if any(texts))
     if not languages:
         return None
@@ -91,6 +96,8 @@ def train(samples: dict[str, list[bytes]], fresh: dict[str, list[bytes]] | None
     counts: list[list[np.ndarray]] = []
     links: list[np.ndarray] = []
     width = 1
+    # a node has a number of bits for each symbol and language, and two links for each symbol
+    room = MODEL_BYTES // (a * (4 * len(languages) + 8)) - 1
     for order in range(ORDER + 1):
         counts.append([np.bincount(node[node >= 0].astype(np.int64) * a + s[r[node >= 0]], minlength=width * a).astype(np.int32) for s, r, node in zip(text, real, at, strict=True)])
         if order == ORDER or not width:
@@ -101,6 +108,10 @@ def train(samples: dict[str, list[bytes]], fresh: dict[str, list[bytes]] | None
             on = node >= 0
             often = np.maximum(often, np.bincount(node[on].astype(np.int64) * a + s[r[on] - order - 1], minlength=width * a))
         found = np.flatnonzero(often >= (1 if order < 2 else LEAST))
+        if len(found) > room:
+            most = np.sort(often[found])[::-1][max(0, room)]
+            found = found[often[found] > most]
+        room -= len(found)
         number = np.full(width * a, -1, np.int32)
         number[found] = np.arange(len(found))
         for s, r, node in zip(text, real, at, strict=True):
@@ -199,28 +210,28 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, *, per_language: int = 300, fresh: int = 100, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on at most ``per_language`` whole documents of each language, those of the smallest id hashes,
-    and measure usual code lengths on at most ``fresh`` more.
+def fit(docs: DataFrame, *, per_language: int = 300, fresh: int = 100, piece: int = 1 << 16, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """Train on at most ``per_language`` documents of each language, those of the smallest id hashes, and measure
+    usual code lengths on at most ``fresh`` more. Of a text longer than ``piece`` characters a piece of so many
+    is taken, from a place that the id's hash says.
 
     Documents with null text, lang or id and those of the held-out fold are never used. The bounds hold
-    what comes to the driver: ``per_language + fresh`` texts of each language.
+    what comes to the driver: ``per_language + fresh`` texts of at most ``piece`` characters of each language.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter((fold("i") != held_out) & F.col("t").isNotNull() & F.col("l").isNotNull())
     # hashes that a language's row count says are too large go before the window
     both = per_language + fresh
-    known = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
-    share = F.lit(1.0)
-    for name, count in known.items():
-        share = F.when(F.col("l") == name, F.lit(min(1.0, 4.0 * both / count))).otherwise(share)
-    few = rows.select("i", "l").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) <= share * (1 << 30))
+    counts = rows.groupBy(F.col("l").alias("m")).agg(F.least(F.lit(1.0), 4.0 * both / F.count("*")).alias("share"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("i", F.lit("piece")), F.greatest(F.lit(1), F.length("t") - piece + 1)))
+    few = rows.select("i", "l").join(counts, F.col("l") == F.col("m")).filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("i", "l")
     order = Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 30)), "i")
     ids = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= both)
     ids = ids.groupBy(F.col("i").alias("j")).agg(F.min("k").alias("k"))
     chosen = rows.join(F.broadcast(ids), F.col("i") == F.col("j"))
     trained: dict[str, list[bytes]] = {}
     measured: dict[str, list[bytes]] = {}
-    for r in chosen.select("l", "t", "k").toLocalIterator():
+    text = F.substring("t", F.col("at").cast("int") + 1, F.lit(piece)).alias("t")
+    for r in chosen.select("l", text, "k").toLocalIterator():
         (trained if r.k <= per_language else measured).setdefault(r.l, []).append(r.t.encode())
     return train(trained, measured)
 

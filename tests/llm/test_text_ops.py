@@ -221,6 +221,38 @@ def test_code_lengths_are_exact(monkeypatch, seed):
         assert np.allclose(language.code_lengths(model, buf, at), whole)
 
 
+def test_models_of_many_languages_fit_their_budget(monkeypatch):
+    rng = random.Random(3)
+    alphabet = [chr(c) for c in [*range(97, 123), *range(0xE0, 0x100), *range(0x430, 0x450)]]
+    vocabulary = {f"l{k:02d}": ["".join(rng.choices(rng.sample(alphabet, 30), k=rng.randint(2, 9))) for _ in range(300)] for k in range(32)}
+    say = lambda x, n: " ".join(rng.choices(vocabulary[x], k=n)).encode()
+    samples = {x: [say(x, 60) for _ in range(25)] for x in vocabulary}
+    monkeypatch.setattr(language, "MODEL_BYTES", 8 << 20)
+    model = language.train(samples)
+    assert 4 << 20 < model.bits.nbytes + model.child.nbytes <= 8 << 20
+    tested = [(x, say(x, 30)) for x in vocabulary for _ in range(3)]
+    buf, at, _ = text.texts_of(pa.array([t.decode() for _, t in tested]))
+    assert language.predict_batch(model, buf, at)[0] == [x for x, _ in tested]
+    p = np.exp2(-model.bits.astype(float)).reshape(-1, model.alphabet, 32).sum(1)
+    assert np.allclose(p, 1, atol=1e-4)
+    # the least budget leaves order 0
+    monkeypatch.setattr(language, "MODEL_BYTES", 1)
+    assert language.train(samples).bits.shape[0] == language.train(samples).alphabet
+
+
+def test_long_training_texts_come_in_pieces(spark):
+    rows = [(i, f"{'abc ' * 50}{i}" + " xyz" * 3000, "x", None) for i in range(40)] + [(100 + i, "klm nop " * 20, "y", None) for i in range(40)]
+    seen = {}
+    plain = language.train
+    try:
+        language.train = lambda samples, fresh=None: seen.update(samples) or plain(samples, fresh)
+        model = language.fit(docs(spark, rows), per_language=10, fresh=5, piece=100)
+    finally:
+        language.train = plain
+    assert all(len(t) <= 100 for texts in seen.values() for t in texts) and len(seen["x"]) <= 10 and any(t.startswith(b"xyz") or b" xyz" in t for t in seen["x"])
+    assert model.languages == ["x", "y"]
+
+
 def test_noise_is_in_no_language(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
