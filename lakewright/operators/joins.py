@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -50,15 +53,70 @@ def last_override(rows: DataFrame, overrides: DataFrame, keys: list[str], *, at:
     return rows.join(found, [*keys, at], "left").withColumn(value, F.coalesce("__v", default)).select(*rows.columns, value)
 
 
+#: Block edges up to which the axis is split on the driver and looked up by comparisons alone.
+MOST_EDGES = 256
+
+
+def _pieces(blocks: list[Row]) -> tuple[list, list[list[Row]]]:
+    """(edges, blocks of each piece): pieces are what lies before, at and between the edges, in order."""
+    edges = sorted({x for b in blocks for x in (b.lo, b.hi)})
+    place = {x: 2 * k + 1 for k, x in enumerate(edges)}
+    held: list[list[Row]] = [[] for _ in range(2 * len(edges) + 1)]
+    for b in blocks:
+        for k in range(place[b.lo], place[b.hi] + 1):
+            held[k].append(b)
+    return edges, held
+
+
+def _adjusted(value: Column, blocks: list[Row]) -> Column:
+    """``value`` after blocks in order: what a block replaces is forgotten, the rest is one factor and one term."""
+    factor, term, kept = 1.0, 0.0, True
+    for b in blocks:
+        if b.code == 0:
+            factor, term = factor * math.exp(b.adjustment), term * math.exp(b.adjustment)
+        elif b.code == 1:
+            term += b.adjustment
+        else:
+            factor, term, kept = 0.0, b.adjustment, False
+    return (value * factor + term if blocks else value) if kept else F.lit(float(term))
+
+
 def interval_blocks(rows: DataFrame, blocks: DataFrame, *, at: str, low: str = "lo", high: str = "hi", base: str, most: int = 10_000) -> DataFrame:
     """Adjust ``base`` by all blocks that hold ``at``, in block order.
 
-    Blocks: block, lo, hi, code, adjustment. Code 0 multiplies by exp(adjustment), 1 adds it, 2 replaces.
-    The blocks table is configuration: its size is checked, then it is packed into one array, so rows need
-    no shuffle whatever the number of matches.
+    Blocks: block, lo, hi, code, adjustment. Code 0 multiplies by exp(adjustment), 1 adds it, 2 replaces;
+    others are errors. Blocks with a null end hold nothing, and a null ``at`` is in none. The blocks table is
+    configuration: its size is checked. The axis is split at block edges, so that a row finds its piece by
+    halving and applies all blocks of it at once; beyond MOST_EDGES edges blocks are packed into one array
+    that every row goes through. Rows need no shuffle whatever the number of matches.
     """
     if blocks.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} blocks")
+    view = blocks.select("block", F.col(low).alias("lo"), F.col(high).alias("hi"), F.col("code").cast("int").alias("code"), F.col("adjustment").cast("double").alias("adjustment")).filter("lo is not null and hi is not null and lo <= hi")
+    known = view.limit(MOST_EDGES + 1).collect()
+    if len({x for b in known for x in (b.lo, b.hi)}) > MOST_EDGES or len(known) > MOST_EDGES:
+        return _packed_blocks(rows, blocks, at, low, high, base)
+    if any(b.code not in (0, 1, 2) or b.adjustment is None for b in known):
+        raise ValueError("unknown block code or no adjustment")
+    known.sort(key=lambda b: (b.block, b.lo, b.hi, b.code, b.adjustment))
+    edges, held = _pieces(known)
+    x, value = F.col(at), F.col(base).cast("double")
+
+    def look(lo: int, hi: int, leaf: Callable[[list[Row]], Column]) -> Column:
+        """The piece among edges lo to hi - 1 and what lies around them."""
+        if lo == hi:
+            return leaf(held[2 * lo])
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(edges[mid]), look(lo, mid, leaf)).when(x == F.lit(edges[mid]), leaf(held[2 * mid + 1])).otherwise(look(mid + 1, hi, leaf))
+
+    nothing = x.isNull()
+    adjusted = F.when(nothing, value).otherwise(look(0, len(edges), lambda b: _adjusted(value, b)))
+    count = F.when(nothing, F.lit(0)).otherwise(look(0, len(edges), lambda b: F.lit(len(b))))
+    return rows.withColumn("adjusted", adjusted).withColumn("n_blocks", count)
+
+
+def _packed_blocks(rows: DataFrame, blocks: DataFrame, at: str, low: str, high: str, base: str) -> DataFrame:
+    """``interval_blocks`` by one array of all blocks."""
     packed = blocks.agg(F.array_sort(F.collect_list(F.struct("block", F.col(low).alias("lo"), F.col(high).alias("hi"), "code", "adjustment"))).alias("__blocks"))
 
     def step(value: Column, b: Column) -> Column:
@@ -67,7 +125,8 @@ def interval_blocks(rows: DataFrame, blocks: DataFrame, *, at: str, low: str = "
         return F.when(inside, new).otherwise(value)
 
     out = rows.crossJoin(F.broadcast(packed))
-    return out.withColumn("adjusted", F.aggregate("__blocks", F.col(base).cast("double"), step)).withColumn("n_blocks", F.size(F.filter("__blocks", lambda b: (F.col(at) >= b.lo) & (F.col(at) <= b.hi)))).drop("__blocks")
+    held = F.filter("__blocks", lambda b: (F.col(at) >= b.lo) & (F.col(at) <= b.hi))
+    return out.withColumn("adjusted", F.aggregate("__blocks", F.col(base).cast("double"), step)).withColumn("n_blocks", F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.size(held))).drop("__blocks")
 
 
 def season_of_month(month: Column, seasons: int = 4) -> dict[str, Column]:

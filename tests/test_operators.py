@@ -81,6 +81,8 @@ def test_overrides_and_blocks(spark):
     assert {r.id: (r.adjusted, r.n_blocks) for r in out.collect()} == {1: (pytest.approx(7.0), 2), 2: (4.0, 1), 3: (7.0, 3)}
     with pytest.raises(ValueError):
         joins.interval_blocks(rows, blocks, at="phase", base="id", most=2)
+    with pytest.raises(ValueError):
+        joins.interval_blocks(rows, blocks.withColumn("code", F.lit(7)), at="phase", base="id")
     late = rows.select(F.lit(12.5).alias("m")).limit(1).select(*[c.alias(n) for n, c in joins.season_of_month(F.col("m")).items()]).first()
     assert late.season == 4 and late.time == pytest.approx(5 / 6)
 
@@ -222,3 +224,18 @@ def test_stacks(spark):
     s = spark.createDataFrame([("d", 0.5, 0.0, 1.0), ("d", 0.25, math.log(2), 0.0)], "d string, inv double, u double, du double")
     got = matrix.random_walk_traces(s, "d", "inv", "u", "du", weight=2.0, weight_slope=0.5, rate=3.0, rate_slope=0.1).first()
     assert got["trace"] == pytest.approx(0.5 * (1 + 3 * 1.1) + 0.25 * (1 + 6 * 0.1))
+
+
+def test_blocks_by_pieces_like_one_after_the_other(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    blocks = [(int(rng.integers(9)), float(lo), float(lo + rng.integers(0, 4)), int(rng.integers(3)), float(rng.normal())) for lo in rng.integers(0, 20, 25)] + [(1, None, 3.0, 1, 1.0), (1, 5.0, 4.0, 1, 1.0)]
+    points = [(k, float(x), float(v)) for k, (x, v) in enumerate(zip(rng.integers(-2, 50, 200) / 2, rng.normal(size=200), strict=True))] + [(900, None, 2.0), (901, float("nan"), 3.0), (902, 3.0, None)]
+    rows, table = spark.createDataFrame(points, "id int, x double, v double"), spark.createDataFrame(blocks, "block int, lo double, hi double, code int, adjustment double")
+    found = []
+    for edges in (256, 0):
+        monkeypatch.setattr(joins, "MOST_EDGES", edges)
+        found.append({r.id: (r.adjusted, r.n_blocks) for r in joins.interval_blocks(rows, table, at="x", base="v").collect()})
+    assert found[0].keys() == found[1].keys()
+    for k in found[0]:
+        assert found[0][k] == (pytest.approx(found[1][k][0]) if found[1][k][0] is not None else None, found[1][k][1])
+    assert found[0][900] == (2.0, 0) and found[0][901] == (3.0, 0)
