@@ -177,3 +177,37 @@ def curvature_directions(spark, sf):
     out = model.curvature_along(np.array([0.8, math.log(TAU)]), own.unionByName(both))
     per = out.groupBy("direction").agg(F.count("*").alias("n_entries"), F.sum("value").alias("total"), F.sum("trace").alias("log_determinant"))
     return per.select("direction", "n_entries", F.round("total", 4).alias("total"), F.round("log_determinant", 6).alias("log_determinant"))
+
+
+@query(
+    "standardised_differences",
+    """WITH c AS (SELECT c_nationkey AS k, avg(c_acctbal) AS l, stddev_samp(c_acctbal) / sqrt(count(*)) AS se FROM customer GROUP BY 1), r AS (SELECT s_nationkey AS k, avg(s_acctbal) AS r FROM supplier GROUP BY 1),
+d AS (SELECT n_regionkey, (l - r) / CASE WHEN se <> 0 THEN se END AS e FROM c JOIN nation ON n_nationkey = k LEFT JOIN r USING (k))
+SELECT n_regionkey, count(*) AS compared, count(*) FILTER (e IS NULL) AS lost, round(max(abs(e)), 6) AS worst, count(*) FILTER (e IS NULL) = 0 AND coalesce(max(abs(e)) < 5, false) AS recovered FROM d GROUP BY 1""",
+)
+def standardised_differences(spark, sf):
+    """Balances of every nation's customers and suppliers compared in standard errors, with a verdict per region."""
+    from lakewright.operators.comparisons import recovered
+    from lakewright.operators.comparisons import standardised_differences as differences
+
+    place = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), "n_regionkey")
+    c = table(spark, sf, "customer").join(place, F.col("c_nationkey") == F.col("k"))
+    s = table(spark, sf, "supplier").join(place, F.col("s_nationkey") == F.col("k"))
+    keys = ["n_regionkey", "k"]
+    errors = c.groupBy(*keys).agg((F.stddev_samp("c_acctbal") / F.sqrt(F.count("*"))).alias("se"))
+    out = differences(c.groupBy(*keys).agg(F.avg("c_acctbal").alias("v")), s.groupBy(*keys).agg(F.avg("s_acctbal").alias("v")), errors, keys, "v", "se")
+    return rounded(recovered(out, most=5.0, by=["n_regionkey"]))
+
+
+@query(
+    "step_sensitivity",
+    """SELECT row_number() OVER (ORDER BY o_orderkey) AS place, o_clerk AS label, round(abs(o_totalprice * (1 + o_custkey / 1e8) / o_totalprice - 1), 9) AS change, abs(o_totalprice * (1 + o_custkey / 1e8) / o_totalprice - 1) >= 1e-5 AS sensitive FROM (SELECT *, o_orderpriority AS o_clerk FROM orders)""",
+)
+def step_sensitivity(spark, sf):
+    """Order values at two precisions, matched by their places in the order of keys, which no task counts alone."""
+    from lakewright.operators.comparisons import step_sensitivity as sensitivity
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"), "o_custkey", F.col("o_totalprice").alias("v"))
+    coarse = o.withColumn("v", F.col("v") * (1 + F.col("o_custkey") / 1e8))
+    out = sensitivity(coarse.select("o_orderkey", "label", "v"), o.select("o_orderkey", "label", "v"), ["o_orderkey"], "label", "v", most=1e-5)
+    return rounded(out.select("place", "label", "change", "sensitive"), 9)
