@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewright.llm.session import cut
 from lakewright.llm.text import BLOCK, slices, texts_of
 
 UNKNOWN = "und"
 #: The longest context, and how often some language must have a context of more than two bytes.
 ORDER, LEAST = 4, 16
+#: The most languages that are told apart; a row for each is broadcast while training texts are chosen.
+MOST_LANGUAGES = 10_000
 #: The most bytes of a model's tables, whatever the languages and their alphabet: it is broadcast to every worker.
 MODEL_BYTES = 64 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -217,13 +220,16 @@ def fit(docs: DataFrame, *, per_language: int = 300, fresh: int = 100, piece: in
 
     Documents with null text, lang or id and those of the held-out fold are never used. The bounds hold
     what comes to the driver: ``per_language + fresh`` texts of at most ``piece`` characters of each language.
+    More than ``MOST_LANGUAGES`` languages are an error.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter((fold("i") != held_out) & F.col("t").isNotNull() & F.col("l").isNotNull())
     # hashes that a language's row count says are too large go before the window
     both = per_language + fresh
-    counts = rows.groupBy(F.col("l").alias("m")).agg(F.least(F.lit(1.0), 4.0 * both / F.count("*")).alias("share"))
+    counts = cut(rows.groupBy(F.col("l").alias("m")).agg(F.least(F.lit(1.0), 4.0 * both / F.count("*")).alias("share")))
+    if counts.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("i", F.lit("piece")), F.greatest(F.lit(1), F.length("t") - piece + 1)))
-    few = rows.select("i", "l").join(counts, F.col("l") == F.col("m")).filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("i", "l")
+    few = rows.select("i", "l").join(F.broadcast(counts), F.col("l") == F.col("m")).filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("i", "l")
     order = Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 30)), "i")
     ids = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= both)
     ids = ids.groupBy(F.col("i").alias("j")).agg(F.min("k").alias("k"))
