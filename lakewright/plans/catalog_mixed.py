@@ -211,3 +211,20 @@ def step_sensitivity(spark, sf):
     coarse = o.withColumn("v", F.col("v") * (1 + F.col("o_custkey") / 1e8))
     out = sensitivity(coarse.select("o_orderkey", "label", "v"), o.select("o_orderkey", "label", "v"), ["o_orderkey"], "label", "v", most=1e-5)
     return rounded(out.select("place", "label", "change", "sensitive"), 9)
+
+
+@query(
+    "likelihood_parts",
+    _POISSON
+    + f""", c AS (SELECT sum(n * exp(0.8 + u) - s * (0.8 + u)) AS counts, sum({0.5 * LOG_2PI} + ln({TAU}) + u * u / (2 * {TAU**2})) AS effects, sum(0.5 * ln(h)) AS d, count(*) * {-0.5 * LOG_2PI} AS k, count(*) AS g FROM m),
+v AS (SELECT unnest(['counts', 'effects', 'log_determinant', 'constant']) AS component, unnest([counts, effects, d, k]) AS value, g AS groups FROM c)
+SELECT component, round(value, 4) AS value, round(abs(value) / sum(abs(value)) OVER (), 7) AS share, groups FROM v""",
+)
+def likelihood_parts(spark, sf):
+    """What counts, effects and the curvature contribute to a marginal objective."""
+    from lakewright.plans import expr as X
+
+    model = poisson_intercept(spark, sf)
+    out = model.components(np.array([0.8, math.log(TAU)]), {"counts": (model.row, X.num(0.0)), "effects": (X.num(0.0), model.prior)})
+    model.close()
+    return out.select("component", (F.round("value", 4) + F.lit(0.0)).alias("value"), F.round("share", 7).alias("share"), "groups")

@@ -439,6 +439,22 @@ class GroupedLaplace:
             hessian[a, b] = hessian[b, a] = x
         return value - 0.5 * groups * k * LOG_2PI if groups else 0.0, np.array(rest[:p], dtype=float), hessian
 
+    def components(self, theta: np.ndarray, parts: dict[str, tuple[X.Expr, X.Expr]]) -> DataFrame:
+        """(component, value, share, groups): parts of the objective at the modes, summed over all groups, and their
+        shares of the sum of absolute values; ``parts`` are named pairs of a row's and a group's expression. The
+        log determinants' half and its constant are components of their own, log_determinant and constant, so that
+        values add up to the marginal objective where the parts add up to the joint one.
+        """
+        named = {f"__q{k}": x for k, x in enumerate(parts.values())}
+        curve = {self._name((i, j)): self._derivative((i, j)) for i in range(len(self.u)) for j in range(i, len(self.u))}
+        sheet, part, _, logdet, bad = self._at_modes(theta, named | curve)
+        sums = [F.col(n) if n in sheet.df.columns else F.lit(0.0) for n in named]
+        groups, *values = self._totals(sheet, bad, [*sums, 0.5 * logdet])
+        constant = -0.5 * LOG_2PI * groups * len(self.u)
+        rows = list(zip([*parts, "log_determinant", "constant"], [*values, constant], strict=True))
+        size = sum(abs(v) for _, v in rows)
+        return self.rows.sparkSession.createDataFrame([(n, float(v), abs(v) / size if size else None, int(groups)) for n, v in rows], "component string, value double, share double, groups long")
+
     def active_names(self) -> dict[str, list[tuple[int, int]]]:
         """Effects and parameters along which some entry of the curvature changes, with those entries."""
         k, out = range(len(self.u)), {}

@@ -245,3 +245,11 @@ def test_directions_of_a_normal_model_are_dropped(spark):
     assert set(model.active_names()) == {"ls"}
     got = model.curvature_along(np.zeros(2), spark.createDataFrame([(1, 0, "u", 1.0), (2, None, "mu", 1.0)], DIRECTIONS))
     assert got.collect() == []
+
+
+def test_components_add_up(spark):
+    _, df = crossed_rows(spark, groups=4)
+    model = two_effects(spark, df)
+    out = {r.component: r for r in model.components(THETA, {"rows": (model.row, X.num(0.0)), "effects": (X.num(0.0), model.prior), "nothing": (X.num(0.0), X.num(0.0))}).collect()}
+    assert sum(r.value for r in out.values()) == pytest.approx(model.evaluate(THETA)[0])
+    assert out["nothing"].value == 0 and sum(r.share for r in out.values()) == pytest.approx(1) and out["rows"].groups == 4
