@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.plans.linalg import NotPositiveDefinite
-from lakewright.session import cut
+from lakewright.session import Tables
 
 #: Right-hand sides that go through the matrix together.
 TOGETHER = 8
@@ -67,9 +67,11 @@ class System:
         state = self.diagonal.join(right.select("node", *names), "node", "left").select("node", "d", *[F.lit(0.0).alias(f"x{c}") for c in at], *[b[c].alias(f"r{c}") for c in at], *[(b[c] / F.col("d")).alias(f"p{c}") for c in at])
         spark = self.matrix.sparkSession
         lengths, ratios, left, first = [], [], np.zeros(k), None
+        tables = Tables(spark)
         for _ in range(steps):
             q = self.times(state, [f"p{c}" for c in at]).select("node", *[F.col(f"p{c}").alias(f"q{c}") for c in at])
-            now = cut(state.join(q, "node"))
+            now = tables.write(state.join(q, "node"))
+            tables.drop(1)
             sums = [x for c in at for x in (F.sum(F.col(f"p{c}") * F.col(f"q{c}")), F.sum(F.col(f"r{c}") ** 2 / F.col("d")), F.sum(F.col(f"r{c}") * F.col(f"q{c}") / F.col("d")), F.sum(F.col(f"q{c}") ** 2 / F.col("d")))]
             pq, rr, rq, qq = np.array([x or 0.0 for x in now.agg(*sums).first()]).reshape(k, 4).T
             if (pq < 0).any():

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lakewright.plans import expr as X
 from lakewright.plans.linalg import NotPositiveDefinite, Tridiagonal
 from lakewright.plans.sums import ONE, Plan, staged
-from lakewright.session import cut
+from lakewright.session import Tables, cut
 
 LOG_2PI = math.log(2 * math.pi)
 
@@ -297,6 +297,7 @@ class GroupedLaplace:
         frontier = zero if self.modes is None else self.modes
         finished: list[DataFrame] = []
         state, self.converged = None, False
+        tables = Tables(self.rows.sparkSession)
         moved = [F.col(e) + F.col("__t") * F.col(f"__d{i}") for i, e in enumerate(self.effects)]
         d = [f"__d{i}" for i in range(len(self.u))]
         for _ in range(most):
@@ -313,7 +314,7 @@ class GroupedLaplace:
                 met = new.join(old, "__g").withColumn("__took", F.coalesce(F.col("__f") <= enough, F.lit(False)))
                 judged = met.select("__g", "__n", *[F.when(F.col("__took"), F.col(c)).otherwise(F.col(f"__o{c}")).alias(c) for c in kept], F.when(F.col("__took"), 1.0).otherwise(F.col("__o__t") / 2).alias("__t"), "__took")
             small = reduce(lambda a, b: a & b, [F.abs(F.col(x)) <= tol * (1 + F.abs(F.col(e))) for x, e in zip(d, self.effects, strict=True)])
-            state = cut(judged.withColumn("__done", F.col("__took") & F.coalesce(small, F.lit(False))))
+            state = tables.write(judged.withColumn("__done", F.col("__took") & F.coalesce(small, F.lit(False))))
             read, rows, left = state.agg(F.count("*"), F.sum("__n"), F.count_if(~F.col("__done"))).first()
             self.rounds.append((read, rows or 0))
             finished.append(state.filter("__done").select("__g", *[m.alias(e) for m, e in zip(moved, self.effects, strict=True)]))
@@ -325,6 +326,7 @@ class GroupedLaplace:
         if not self.converged:
             finished.append(state.select("__g", *self.effects))
         self.modes = cut(reduce(DataFrame.unionByName, finished))
+        tables.drop()
         return self.modes
 
     def _at_modes(self, theta: np.ndarray, parts: dict[str, tuple[X.Expr, X.Expr]]):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables of an iteration, each written in the shared folder and read again.
+
+    What is read has its real size as statistics. A checkpoint keeps the estimates of the plan that made it,
+    which square with every join of a round with the one before; after some twenty rounds the planner would
+    multiply numbers of millions of digits.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Remove all tables but the last ``keep``, which nothing may need any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        while len(self.paths) > keep:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished phases that nothing refers to any more."""
     gc.collect()
