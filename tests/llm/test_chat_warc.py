@@ -107,6 +107,14 @@ def test_archives_where_the_cluster_compresses_output(spark, tmp_path):
         conf.unset("mapreduce.output.fileoutputformat.compress")
 
 
+def test_a_record_larger_than_a_volume(spark):
+    html = "".join(f"<p>{k * 7919 % 1_000_003}</p>" for k in range(1_400_000))
+    df = spark.createDataFrame([(1, "u", html, "d", 1), (2, "v", "small", "d", 1)], PAGES)
+    got = {r.page_id: r for r in warc.read_archives(warc.write_archives(df)).collect()}
+    assert len(html) > 16 << 20 and got[1].payload_bytes == len(html) and got[2].payload_bytes == 5
+    assert got[1].payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+
+
 def test_few_and_long_records_have_a_dictionary(spark):
     df = spark.createDataFrame([(1, "u", "x" * 100, "d", 1), (2, None, "".join(f"<p>{k}</p>" for k in range(40_000)), "d", 1)], PAGES)
     samples = warc.sample_records(df)

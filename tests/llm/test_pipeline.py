@@ -78,6 +78,27 @@ def test_null_and_repeated_ids_keep_their_rows(spark, tmp_path):
     assert sorted(str(tuple(r)) for r in corpus_pipeline.mix_sources(spark, kept, str(tmp_path)).collect()) == want
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_an_empty_table(spark, tmp_path, k):
+    docs = spark.createDataFrame([], DOCS)
+    out = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
+    assert out.count() == 0
+    assert k == 4 or out.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_stages_with_nulls_in_other_columns(spark, tmp_path):
+    """Null languages, sources and sizes: every stage keeps the rows, with their nulls."""
+    rng = random.Random(7)
+    say = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    rows = [(i, say(), "xx" if i % 2 else None, None, None) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = sorted(map(str, rows))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert sorted(str(tuple(r)) for r in docs.collect()) == want
+    assert corpus_pipeline.tokenize(spark, docs, str(tmp_path)).filter("n_tokens > 0").count() == 20
+
+
 def test_pipeline_over_small_documents(spark, small):
     assert len(corpus_pipeline.STAGES) == 5
     out = corpus_pipeline.run(spark, small)

@@ -284,6 +284,38 @@ def test_token_counts(spark, rule):
     assert token_counts.count_tokens(df.limit(0), ranks, public.PATTERN).count() == 0
 
 
+def test_token_counts_of_long_and_repeated_texts(spark):
+    """More rows and lines than one step takes, and one text of very many lines."""
+    import tiktoken
+
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    enc = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    long = "".join(f"line {k} é\n" for k in range(30_000))
+    rows = [(7, "twice\nthe same", None, None)] * 600 + [(8, long, None, None)]
+    got = token_counts.count_tokens(docs(spark, rows).repartition(1), ranks, public.PATTERN).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("lines")).collect()
+    assert {r.doc_id: (r.n, r.lines) for r in got} == {7: (600 * len(enc.encode_ordinary("twice\nthe same")), 1200), 8: (len(enc.encode_ordinary(long)), 30_000)}
+
+
+def test_long_texts_of_many_words_encode_like_the_library(spark, spec):
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(public.path("word_bpe_49k.json")), random.Random(8)
+    long = " ".join("".join(rng.choices("abcdefghijé'", k=rng.randint(1, 9))) for _ in range(40_000))
+    got = bpe.encode(docs(spark, [(1, long, None, None)]), spec).first()
+    ids = lib.encode(long, add_special_tokens=False).ids
+    assert got.n_tokens == len(ids) and got.ids == " ".join(map(str, ids)) and got.decoded == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_equal_code_lengths_and_repeated_rows(spark):
+    """Languages with the same texts: the first by code point, with an even score; every row has its own prediction."""
+    both = [b"one two three four " * 3] * 4
+    model = language.train({"b": both, "a": both, "Z": both})
+    rows = [(1, "two three", None, None)] * 5 + [(None, "four four", None, None), (2, "one two " * 300_000, None, None)]
+    got = language.predict(docs(spark, rows), model).collect()
+    assert [r.lang_pred for r in got] == ["Z"] * 7 and all(r.score == pytest.approx(1 / 3) for r in got)
+
+
 def spans(t):
     out, at = [], 0
     for line in t.split("\n")[:-1]:
