@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakewright.plans import krylov
 from lakewright.plans.krylov import System, crossed_system, quadrature
 from lakewright.plans.linalg import NotPositiveDefinite
 
@@ -115,3 +116,30 @@ def test_quadrature_of_a_diagonal():
         rr = (r * r).sum()
         p = r + b[-1] * p
     assert 3 * quadrature(np.array(a), np.array(b), np.log) == pytest.approx(np.log(10.0))
+
+
+def test_blocks_hold_each_pair_once(spark, monkeypatch):
+    """Steps meet packed blocks of bounded size, not rows of entries; nodes of any type, one without entries beside its own."""
+    monkeypatch.setattr(krylov, "BLOCK", 40)
+    monkeypatch.setattr(krylov, "CHUNK", 20)
+    rng = np.random.default_rng(3)
+    h = np.triu(rng.normal(size=(50, 50)) * (rng.random((50, 50)) < 0.2), 1)
+    h[:, 49] = 0
+    h = h + h.T + np.diag(np.full(50, 12.0))
+    rows = [(f"n{i}", f"n{j}", float(h[i, j])) for i, j in zip(*np.nonzero(h), strict=True)]
+    system = System(spark.createDataFrame([*rows, ("n0", "elsewhere", 1.0), ("elsewhere", "n0", 1.0), ("n1", "n49", None)], "i string, j string, value double"))
+    assert system.chunks > 2 and system.side == 50
+    blocks = system.blocks.select("block", F.length("values") / 8).collect()
+    assert len(blocks) == len({b for b, _ in blocks}) <= system.chunks * (system.chunks + 1) // 2
+    assert sum(n for _, n in blocks) == np.count_nonzero(np.triu(h, 1)) and max(n for _, n in blocks) < 120
+    b = rng.normal(size=(50, 2))
+    right = spark.createDataFrame([(f"n{k}", float(b[k, 0]), float(b[k, 1])) for k in range(1, 50)], "node string, u double, v double")
+    run = system.solve(right, ["u", "v"], steps=20, tol=1e-9)
+    b[0] = 0
+    low = factor(h)
+    got = {r.node: (r.u, r.v) for r in run.solution.collect()}
+    assert len(got) == 50 and (run.residual <= 1e-9).all()
+    assert np.allclose([got[f"n{k}"] for k in range(50)], np.stack([solve(low, b[:, 0]), solve(low, b[:, 1])], 1), atol=1e-7)
+    system.close()
+    with pytest.raises(ValueError):
+        System(spark.createDataFrame([(0, 0, 1.0), (0, 0, 2.0)], "i long, j long, value double"))
